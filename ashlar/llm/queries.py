@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash
+from . import mixing, ogg, packing, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.text_media_digest(_docs(spark, sf_dir))
+
+
+def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir))
+
+
 def op9_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_docs(spark, sf_dir))
 
@@ -23,6 +31,8 @@ def op10_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ogg_media": op1_ogg_media,
+        "op3_harmonic_packing": op3_harmonic_packing,
         "op9_mix_to_weights": op9_mix_to_weights,
         "op10_simhash_pivot": op10_simhash_pivot,
     }
