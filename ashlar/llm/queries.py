@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ogg, packing, simhash, toxicity
+from . import line_dedup, mixing, ogg, packing, simhash, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
+def op5_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(_docs(spark, sf_dir))
+
+
 def op8_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     return toxicity.toxic_scores(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ogg_media": op1_ogg_media,
         "op3_harmonic_packing": op3_harmonic_packing,
+        "op5_line_alignment": op5_line_alignment,
         "op8_toxicity_fm": op8_toxicity_fm,
         "op9_mix_to_weights": op9_mix_to_weights,
         "op10_simhash_pivot": op10_simhash_pivot,

@@ -256,7 +256,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id names its component: one document of each group stays, with all its columns.
 
-    Of rows that share an id one stays; rows without an id all stay.
+    Of rows that share an id one stays; rows without an id all stay, as nothing names them. An empty table gives an
+    empty result.
     """
     found = near_duplicates(docs, id_col, text_col)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
