@@ -49,3 +49,15 @@ def arrow_schema(ddl: str):
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder in ``buckets`` hash buckets of ``key`` and read it back.
+
+    Grouping by ``key`` and joining on it then needs no further shuffle of these rows, however often they are read.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)

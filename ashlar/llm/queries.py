@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, ogg, packing, simhash, toxicity
+from . import line_dedup, mixing, ogg, packing, simhash, substring_dedup, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.text_media_digest(_docs(spark, sf_dir))
 
 
+def op2_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_docs(spark, sf_dir))
+
+
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
@@ -41,6 +45,7 @@ def op10_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ogg_media": op1_ogg_media,
+        "op2_substring_doubling": op2_substring_doubling,
         "op3_harmonic_packing": op3_harmonic_packing,
         "op5_line_alignment": op5_line_alignment,
         "op8_toxicity_fm": op8_toxicity_fm,
