@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, ogg, packing, simhash, substring_dedup, toxicity
+from . import language_id, line_dedup, mixing, ogg, packing, simhash, substring_dedup, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op5_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(_docs(spark, sf_dir))
 
 
+def op7_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return language_id.predict_languages(docs, language_id.train(docs))
+
+
 def op8_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     return toxicity.toxic_scores(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_doubling": op2_substring_doubling,
         "op3_harmonic_packing": op3_harmonic_packing,
         "op5_line_alignment": op5_line_alignment,
+        "op7_language_ftrl": op7_language_ftrl,
         "op8_toxicity_fm": op8_toxicity_fm,
         "op9_mix_to_weights": op9_mix_to_weights,
         "op10_simhash_pivot": op10_simhash_pivot,
