@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, mixing, ogg, packing, simhash, substring_dedup, toxicity
+from . import language_id, line_dedup, mixing, ogg, packing, pii, simhash, substring_dedup, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
+def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return pii.span_digest(docs, pii.train(docs))
+
+
 def op5_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(_docs(spark, sf_dir))
 
@@ -52,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ogg_media": op1_ogg_media,
         "op2_substring_doubling": op2_substring_doubling,
         "op3_harmonic_packing": op3_harmonic_packing,
+        "op4_pii_boosting": op4_pii_boosting,
         "op5_line_alignment": op5_line_alignment,
         "op7_language_ftrl": op7_language_ftrl,
         "op8_toxicity_fm": op8_toxicity_fm,
