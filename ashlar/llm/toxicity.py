@@ -66,7 +66,9 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def raw_scores(bias: float, w: np.ndarray, v: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
-    """Log-odds of each document, which is an array of buckets."""
+    """Log-odds of each document, which is an array of buckets; a thousand documents at a time."""
+    if len(docs) > 1000:
+        return np.concatenate([raw_scores(bias, w, v, docs[lo : lo + 1000]) for lo in range(0, len(docs), 1000)])
     at = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)
     flat = np.concatenate(docs) if docs else np.zeros(0, np.int32)
     factors = v[flat]
@@ -121,11 +123,14 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 15, rate: floa
     none = Machine(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
     if not 0 < share < 1:
         return none
-    sizes = [len(d) for d in docs]
-    flat, at = np.concatenate(docs), np.concatenate(([0], np.cumsum(sizes)))
 
     def counted(weight: np.ndarray | None = None) -> np.ndarray:
-        return np.bincount(flat, None if weight is None else np.repeat(weight, sizes), 1 << BITS)
+        total = np.zeros(1 << BITS)
+        for lo in range(0, len(docs), 1000):
+            part = docs[lo : lo + 1000]
+            each = None if weight is None else np.repeat(weight[lo : lo + 1000], [len(d) for d in part])
+            total += np.bincount(np.concatenate(part), each, 1 << BITS)
+        return total
 
     seen = counted()
     frequent = seen >= least
@@ -136,10 +141,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 15, rate: floa
         kept = np.flatnonzero(active)
         index = np.full(1 << BITS, -1, np.int64)
         index[kept] = np.arange(len(kept))
-        local = index[flat]
-        ends = np.concatenate(([0], np.cumsum(local >= 0)))[at]
-        local = local[local >= 0]
-        rows = [local[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
+        rows = [x[x >= 0] for x in (index[d] for d in docs)]
         b, w, v = _descend(rows, labels, len(kept), bias, epochs, rate, l1, seed)
         return Machine(b, kept, w, v)
 
@@ -148,7 +150,8 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 15, rate: floa
     first = fitted(active)
     w, v = first.dense()
     guess = 1 / (1 + np.exp(-np.clip(raw_scores(first.bias, w, v, docs), -30, 30)))
-    strength = _sums(np.abs(w)[flat], at)
+    size = np.abs(w)
+    strength = np.array([size[d].sum() for d in docs])
     spread = np.sqrt(counted(guess * (1 - guess) * strength**2))
     together = frequent & (np.abs(counted((labels - guess) * strength)) > screen * np.maximum(spread, 1e-3)) & (counted(strength) > 1)
     return fitted(active | together) if (together & ~active).any() else first
