@@ -233,7 +233,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             hashes = np.unique(group.level(n, known))
             part = _part(hashes, parts)
             at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
-            pieces = [hashes[s:e].tobytes() for s, e in zip(at, [*at[1:], len(part)], strict=True)]
+            pieces = [hashes[s:e].tobytes() for s, e in zip(at, [*at[1:], len(part)][: len(at)], strict=True)]
             g = key[0].as_py()
             return pa.table([pa.array([g] * len(at), pa.int32()), pa.array([n] * len(at), pa.int32()), pa.array(part[at].astype(np.int32)), pa.array(pieces, pa.binary())], schema=sent_schema)
 
