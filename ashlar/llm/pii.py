@@ -54,6 +54,7 @@ _CUES = {
     "phone": ("phone", "call", "tel", "mobile"),
 }
 
+FEATURES = 24
 Span = tuple[int, int, int]  # start, kind, end
 
 
@@ -264,14 +265,13 @@ def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 if label == 0.0 and any(s[1] == kind for s in base_spans(body)):
                     continue
                 add(around[0] + body + around[1], len(around[0]), len(around[0]) + len(body), kind, label)
-    return np.array(x).reshape(len(x), -1), np.array(y)
+    return np.array(x, float).reshape(len(x), FEATURES), np.array(y, float)
 
 
 def train(docs: DataFrame, most: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Trees:
     """Fits on at most ``most`` documents, whole ones. Without candidates of both labels nothing is added to the rules."""
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
     chosen = own.select("_id").distinct().orderBy(F.xxhash64("_id", F.lit(31)), "_id").limit(most)
-    dims = len(features(" ", (0, 0, 1)))
     ddl = "y double, x array<double>"
     schema = arrow_schema(ddl)
 
@@ -282,7 +282,7 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS, id_col: str = "doc_id", text_
 
     joined = own.join(F.broadcast(chosen), "_id").select("_text")  # at most `most` ids
     table = joined.mapInArrow(run, ddl).orderBy("y", F.xxhash64("x")).limit(40 * most).toArrow()
-    x = np.array(table.column("x").to_pylist(), float).reshape(-1, dims)
+    x = np.array(table.column("x").to_pylist(), float).reshape(-1, FEATURES)
     return fit(x, table.column("y").to_numpy())
 
 
