@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, mixing, ogg, packing, pii, simhash, substring_dedup, toxicity
+from . import ann, language_id, line_dedup, mixing, ogg, packing, pii, simhash, substring_dedup, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(_docs(spark, sf_dir))
 
 
+def op6_ann_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     return language_id.predict_languages(docs, language_id.train(docs))
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_harmonic_packing": op3_harmonic_packing,
         "op4_pii_boosting": op4_pii_boosting,
         "op5_line_alignment": op5_line_alignment,
+        "op6_ann_multiprobe": op6_ann_multiprobe,
         "op7_language_ftrl": op7_language_ftrl,
         "op8_toxicity_fm": op8_toxicity_fm,
         "op9_mix_to_weights": op9_mix_to_weights,
