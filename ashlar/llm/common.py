@@ -2,53 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-#: What separates words in every contract of this subpackage; ``bytes.split()`` splits at exactly these.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def partitions(spark: SparkSession) -> int:
-    """Number of shuffle partitions; whoever runs the job sizes it to the data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only a local session, whose driver and executors are one process, may fall back to a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="ashlar-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from ..session import arrow_schema, partitions, shared_folder, staged
 
+__all__ = ["WORD", "arrow_schema", "bucketed", "partitions", "shared_folder", "staged"]
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts the lineage with a table that survives a lost executor and fixes every decision made so far, so that a
-    retried task downstream sees the same rows.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def arrow_schema(ddl: str):
-    """Arrow schema of a DDL string, for building output batches."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
+#: What separates words in every contract of this subpackage; ``bytes.split()`` splits at exactly these.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
