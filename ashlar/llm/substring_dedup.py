@@ -22,35 +22,25 @@ Window hashes are 64 bits, so among n candidate windows about n*n/2**65 pairs ar
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, bucketed, partitions, staged
 
 WINDOW = 35
-#: Groups of documents for each shuffle partition; a group is what one task holds at a time.
-GROUPS = 6
+#: Bytes of text for each group of documents and for each range of hashes; a task holds one at a time.
+GROUP_BYTES, RANGE_BYTES = 4 << 20, 16 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
-class _WordHashes(dict):
-    """64-bit hash of each word, remembered for words seen lately."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 300_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word, 9)
-        return found
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
@@ -63,6 +53,52 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PIECE = 1 << 20
+_BYTES = np.random.default_rng(9).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+_ODD = 0xD6E8FEB86659FD93
+
+
+@functools.lru_cache(maxsize=2)
+def _byte_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the byte multiplier and of its inverse."""
+    out = []
+    for base in (_ODD, pow(_ODD, -1, 1 << 64)):
+        power = np.full(size, base, np.uint64)
+        power[0] = 1
+        out.append(np.cumprod(power, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start of each word of a byte string and a 64-bit hash of it; words longer than 64 bytes take XXH3."""
+    every = np.frombuffer(data, np.uint8)
+    starts, hashes, lo = [], [], 0
+    while lo < len(every):
+        hi = min(lo + _PIECE, len(every))
+        while hi < len(every) and not (gap := _SPACE[every[hi : hi + 4096]]).any():
+            hi += len(gap)
+        if hi < len(every):
+            hi += int(gap.argmax())
+        raw = every[lo:hi]
+        power, inverse = _byte_powers(max(_PIECE + 4096, 1 << (len(raw) - 1).bit_length()))
+        solid = np.zeros(len(raw) + 2, np.int8)
+        solid[1:-1] = ~_SPACE[raw]
+        change = np.diff(solid)
+        begin, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTES[raw] * power[: len(raw)], out=total[1:])
+        size = end - begin
+        found = _mix((total[end] - total[begin]) * inverse[begin] + size.astype(np.uint64) * _U(_MULTIPLIER))
+        for k in np.flatnonzero(size > 64).tolist():
+            found[k] = xxhash.xxh3_64_intdigest(data[lo + int(begin[k]) : lo + int(end[k])], 9)
+        starts.append(begin + lo)
+        hashes.append(found)
+        lo = hi
+    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
 def rolling(words: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` word hashes; built by doubling, so it costs log(size) passes."""
     if len(words) < size:
@@ -99,17 +135,14 @@ def lengths(window: int) -> tuple[int, int, int]:
 class Group:
     """The word sequences of one group's documents, and the candidate windows of each level."""
 
-    def __init__(self, texts: list[str | None], window: int, hashes: _WordHashes) -> None:
+    def __init__(self, texts: list[str | None], window: int) -> None:
         self.first, self.half, self.window = lengths(window)
         self.texts = texts
-        self.counts = np.zeros(len(texts), np.int64)
-        values = []
-        for i, text in enumerate(texts):
-            words = text.encode("utf-8", "surrogatepass").split() if text else []
-            self.counts[i] = len(words)
-            values.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-        self.words = np.concatenate(values) if values else np.zeros(0, np.uint64)
-        self.starts = np.concatenate(([0], np.cumsum(self.counts)))
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        begin, self.words = word_hashes(b" ".join(raw))
+        bounds = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
+        self.starts = np.searchsorted(begin, bounds)
+        self.counts = np.diff(self.starts)
         self.end = np.repeat(self.starts[1:], self.counts)
 
     def _inside(self, at: np.ndarray, size: int) -> np.ndarray:
@@ -201,7 +234,7 @@ def _read(replies: pa.Table) -> dict[tuple[int, int], bytes]:
 def _group(docs: pa.Table, window: int) -> tuple[pa.Table, Group]:
     # the same order at every visit; rows that agree in both columns are interchangeable
     docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return docs, Group(docs.column("text").to_pylist(), window, _WordHashes())
+    return docs, Group(docs.column("text").to_pylist(), window)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -215,10 +248,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     if window < 4:
         raise ValueError("windows of at least 4 words can be doubled twice")
     spark = docs.sparkSession
-    parts = partitions(spark)
-    spread = parts * GROUPS
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    grouped = bucketed(own.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int")), "g", parts, "substring_groups")
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    spread = max(partitions(spark), -(-size // GROUP_BYTES))
+    parts = max(1, -(-size // RANGE_BYTES))
+    grouped = bucketed(own.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int")), "g", partitions(spark), "substring_groups")
     reply_ddl = "g int, level int, part int, bits binary"
     sent_ddl = "g int, level int, part int, hashes binary"
     replies = spark.createDataFrame([], reply_ddl)

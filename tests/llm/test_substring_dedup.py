@@ -67,3 +67,18 @@ def test_rolling_hash_of_doubles():
 
 def test_empty_table(spark):
     assert sd.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_word_hashes_depend_on_the_words_alone(monkeypatch):
+    rng = random.Random(8)
+    words = [bytes(rng.choice(b"abc\xc3\x85\x1c") for _ in range(rng.choice([1, 2, 5, 63, 64, 65, 300]))) for _ in range(500)]
+    data = b"".join(w + rng.choice([b" ", b"\n\t", b"\x0b\x0c\r"]) for w in words)
+    for piece in (1 << 20, 64):
+        monkeypatch.setattr(sd, "_PIECE", piece)
+        starts, hashes = sd.word_hashes(data)
+        assert [data[s:].split()[0] for s in starts.tolist()] == words
+        by_word = {}
+        for w, h in zip(words, hashes.tolist(), strict=True):
+            assert by_word.setdefault(w, h) == h
+        assert len(set(by_word.values())) == len(by_word)
+    assert len(sd.word_hashes(b"")[0]) == 0
