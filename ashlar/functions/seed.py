@@ -49,10 +49,13 @@ def row_hash(key: Column, base: int, round_: int, stage: int, modulus: int | Non
 
 def row_hash_sql(key: str, base: int, round_: int, stage: int, modulus: int | None = None) -> str:
     """The same hash as a DuckDB expression over a non-negative key."""
-    wrap = "::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
     start = base ^ (round_ * ROUND & _ALL) ^ (stage * STAGE & _ALL)
-    z = f"xor({start}::UBIGINT, (({key})::UBIGINT::UHUGEINT * {BLOCK}::UHUGEINT{wrap.replace('::UHUGEINT %', ' %', 1)})"
+
+    def times(z: str, odd: int) -> str:
+        return f"((({z})::UHUGEINT * {odd}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+    z = f"xor({start}::UBIGINT, {times(f'({key})::UBIGINT', BLOCK)})"
     for shift, odd in ((30, MIX_A), (27, MIX_B)):
-        z = f"(list_transform([{z}], lambda z: (xor(z, z >> {shift})::UHUGEINT * {odd}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT))[1]"
-    z = f"(list_transform([{z}], lambda z: xor(z, z >> 31)))[1]"
+        z = f"list_transform([{z}], lambda z: {times(f'xor(z, z >> {shift})', odd)})[1]"
+    z = f"list_transform([{z}], lambda z: xor(z, z >> 31))[1]"
     return f"(({z}) >> 1)::BIGINT" if modulus is None else f"(({z}) % {modulus}::UBIGINT)::BIGINT"
