@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import WORD, staged
 
 BINS = 4096
+#: A plan of up to this many sources, under 1 MB, is broadcast.
+FEW_SOURCES = 10_000
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -94,7 +96,14 @@ def source_plan(
 
 
 def _taken(sized: DataFrame, plan: DataFrame, source_col: str) -> DataFrame:
-    """Adds ``_whole`` (repetitions of the whole document) and ``_part`` (words of a further, partial one)."""
+    """Adds ``_whole`` (repetitions of the whole document) and ``_part`` (words of a further, partial one).
+
+    The plan has a row per source. It goes to every task only where it has at most ``FEW_SOURCES`` rows; otherwise
+    Spark joins it by shuffling, and splits the hot source.
+    """
+    plan = staged(plan, "mix-plan")
+    if plan.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
+        plan = F.broadcast(plan)
     joined = sized.join(plan, F.col(source_col).eqNullSafe(F.col("_s"))).drop("_s")
     inside = joined.where(F.col("_bin") != F.col("_cut_bin")).withColumn(
         "_part", F.when(F.col("_bin") < F.col("_cut_bin"), F.col("_size")).otherwise(F.lit(0).cast("long"))

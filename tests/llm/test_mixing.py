@@ -69,3 +69,10 @@ def test_documents_hold_the_counted_words(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert mixing.mix_counts(df).count() == 0 and mixing.mix_documents(df).count() == 0
+
+
+def test_many_sources_join_by_shuffling(spark, monkeypatch):
+    data = rows()
+    few = sorted(map(str, mixing.mix_counts(spark.createDataFrame(data, SCHEMA)).collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 1)
+    assert sorted(map(str, mixing.mix_counts(spark.createDataFrame(data, SCHEMA)).collect())) == few
