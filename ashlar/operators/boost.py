@@ -97,7 +97,7 @@ class Booster:
     def _fit(self, binned: DataFrame, bag: int | None) -> Model:
         c = self.config
         self.loss.checked(binned)
-        f0 = self.loss.start_score(binned)
+        f0 = float(f"{self.loss.start_score(binned):.12g}")  # the sums' last digits depend on their order
         state = staged(binned.select("rid", *self.columns, "y", "w", "off", (F.lit(f0) + F.col("off")).alias("raw")), "binned")
         base = c.seed if bag is None else seed.mix_seed(c.seed, bag, seed.STAGES["bags"], 0)
         bound = self._threshold(state, base, bag)
@@ -138,7 +138,7 @@ class Booster:
             trees = self._ridge(binned, f0, trees)
         if c.reanchor or (c.reanchor is None and self.loss.link == "log"):
             f0 += self._anchor(binned, f0, trees)
-        return self._model(float(f0), trees)
+        return self._model(float(f"{f0:.12g}"), trees)
 
     def _threshold(self, state: DataFrame, base: int, bag: int | None) -> dict:
         """Which rows train and which are held out, as bounds on their hashes: no list of rows is kept."""
@@ -251,7 +251,7 @@ class Booster:
         rows = state.select("rid", *self.columns, "y", "w", "raw")
         for _ in range(c.leaf_refine_steps):
             now = [*active, (1.0, tree)]
-            sums = self._leaf_sums(rows, now, bound, tree.splits, 1.0)
+            sums = self._leaf_sums(rows, now, bound, tree.splits, self._unit(state))
             delta = leaf_values(sums, replace(c.split, path_smooth=0.0), list(tree.splits), c.learning_rate)
             if (np.abs(delta) <= 1e-7).all():
                 break

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import arrow_schema
 
-#: Sums are of decimals with this scale after division by the round's unit, so their order does not matter.
+#: Sums of tasks meet as decimals of this scale, so their order does not matter.
 DECIMAL = "decimal(38,15)"
 
 
@@ -45,12 +45,14 @@ def subtract(parent: DataFrame, child: DataFrame) -> DataFrame:
     return parent.join(c, keys, "left").select(*keys, *[(F.col(x) - F.coalesce(f"_{x}", F.lit(0))).alias(x) for x in ("g", "h", "w", "n")])
 
 
-def arrow_histogram(binned: DataFrame, width: int, leaves: int, bins: int, state: Callable[[dict[str, np.ndarray]], tuple], unit: float = 1.0) -> np.ndarray:
+def arrow_histogram(binned: DataFrame, width: int, leaves: int, bins: int, state: Callable[[dict[str, np.ndarray]], tuple], unit: float | None = None) -> np.ndarray:
     """Sums ``[leaf, axis, bin, (g, h, w, n)]`` on the driver, at most ``leaves * width * bins`` rows of them.
 
     ``state`` turns a batch's columns into (bin columns, leaf, g, h, w); it holds whatever trees the scores need, so no
-    lineage grows. Each task sums its rows in numpy and sends one row per cell.
+    lineage grows. Each task sums its rows in numpy and sends one row per cell. With a ``unit``, a bound on |g| and
+    h, gradients are rounded to 2**-30 of it: their sums are whole numbers, the same however the rows are dealt.
     """
+    grain = None if unit is None else unit / (1 << 30)
     ddl = "cell int, g double, h double, w double, n long"
     schema = arrow_schema(ddl)
 
@@ -61,17 +63,19 @@ def arrow_histogram(binned: DataFrame, width: int, leaves: int, bins: int, state
                 continue
             columns, leaf, g, h, w = state({n: c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns, strict=True)})
             used = leaf >= 0
+            if grain is not None:
+                g, h = np.rint(g / grain), np.rint(h / grain)
             for a, column in enumerate(columns):
                 at = ((leaf * width + a) * bins + column)[used]
                 for k, value in enumerate((g, h, w, None)):
                     total[k] += np.bincount(at, None if value is None else value[used], total.shape[1])
         live = np.flatnonzero(total[3])
-        yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), *[pa.array(total[k][live] / (unit if k < 2 else 1)) for k in range(3)], pa.array(total[3][live].astype(np.int64))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), *[pa.array(total[k][live]) for k in range(3)], pa.array(total[3][live].astype(np.int64))], schema=schema)
 
     sums = binned.mapInArrow(run, ddl).groupBy("cell").agg(*[F.sum(F.col(c).cast(DECIMAL)).cast("double").alias(c) for c in ("g", "h", "w")], F.sum("n").alias("n"))
     table = sums.toArrow()
     out = np.zeros((leaves * width * bins, 4))
     at = table.column("cell").to_numpy()
     for k, c in enumerate(("g", "h", "w", "n")):
-        out[at, k] = table.column(c).to_numpy() * (unit if k < 2 else 1)
+        out[at, k] = table.column(c).to_numpy() * (grain if grain is not None and k < 2 else 1)
     return out.reshape(leaves, width, bins, 4)

@@ -29,11 +29,15 @@ def bin_column(axis: Axis, column: pa.Array) -> np.ndarray:
     return bins(table[at], axis.borders)
 
 
-def binned_frame(df: DataFrame, axes: list[Axis], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and a bin column ``b{i}`` per axis, read from the column of the axis's name."""
+def _check_columns(df: DataFrame, axes: list[Axis]) -> None:
     missing = [a.name for a in axes if a.name not in df.columns]
     if missing:
         raise SchemaMismatch(f"columns {missing} are missing")
+
+
+def binned_frame(df: DataFrame, axes: list[Axis], keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and a bin column ``b{i}`` per axis, read from the column of the axis's name."""
+    _check_columns(df, axes)
     own = df.select(*keep, *[F.col(a.name).alias(f"_x{i}") for i, a in enumerate(axes)])
     schema = StructType([*[own.schema[c] for c in keep], *[StructField(f"b{i}", ShortType()) for i in range(len(axes))]])
     names = [f.name for f in schema]
@@ -48,6 +52,7 @@ def binned_frame(df: DataFrame, axes: list[Axis], keep: list[str]) -> DataFrame:
 
 def predict(df: DataFrame, model: Model, keep: list[str] | None = None, raw: str = "raw_score", response: str = "prediction", offset: str | None = None) -> DataFrame:
     """Adds the raw score and the response to the rows: one Arrow pass with the model in it; fit for streams."""
+    _check_columns(df, model.axes)
     keep = df.columns if keep is None else keep
     source = [*keep, *[a.name for a in model.axes if a.name not in keep], *([offset] if offset and offset not in keep else [])]
     own = df.select(*source)
