@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_schema, staged
+from .common import WORD, arrow_schema, partitions, staged
 
 RARE = 6
 MIN_WORDS = 5
@@ -121,10 +121,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.min(F.struct("first", "class")).alias("doc"), F.sort_array(F.collect_list(F.struct("pos", F.col("line.w").alias("w")))).alias("at")
     )
     shared = holders.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("head")).where("n > 1")
-    hits = holders.join(shared, "h")
     pair = [F.col("later.doc.class").alias("class"), F.col("earlier.doc.class").alias("other"), "h", F.col("later.at").alias("x"), F.col("earlier.at.pos").alias("y")]
-    frequent = hits.where((F.col("n") > RARE) & (F.col("class") != F.col("head.doc.class"))).select("h", F.struct("doc", "at").alias("later"), F.col("head").alias("earlier")).select(*pair)
-    groups = hits.where(F.col("n") <= RARE).groupBy("h").agg(F.collect_list(F.struct("doc", "at")).alias("held"))  # at most RARE
+    # a line that a third of all classes hold is one key of this join; Spark may split it, as nothing after the join
+    # needs the line's rows together, and the rare lines are dealt anew before they meet
+    frequent = holders.join(shared.where(F.col("n") > RARE), "h").where(F.col("class") != F.col("head.doc.class")).select("h", F.struct("doc", "at").alias("later"), F.col("head").alias("earlier")).select(*pair)
+    few = holders.join(shared.where(F.col("n") <= RARE).select("h"), "h").repartition(partitions(docs.sparkSession), "h")
+    groups = few.groupBy("h").agg(F.collect_list(F.struct("doc", "at")).alias("held"))  # at most RARE
     rare = (
         groups.select("h", "held", F.explode("held").alias("later"))
         .select("h", "later", F.explode(F.filter("held", lambda o: o["doc"] < F.col("later.doc"))).alias("earlier"))
