@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics, seed
 from ..functions.losses import Gamma, Logistic, Poisson, SquaredError, Tweedie
-from ..operators import explain, histogram, sampling, score, split
+from ..operators import explain, histogram, refit, sampling, score, split
 from ..operators.boost import BoostConfig, Booster
 from ..operators.model import Axis, Correction, Model, Split, Tree
 from ..session import table
@@ -532,6 +532,23 @@ def fitted(**knobs):
     return run
 
 
+def fit_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short fit, its cell correction, and the tables that still reproduce the scores."""
+    rows, axes = _fit_rows(spark, sf_dir)
+    model = refit.cell_correction(rows, Booster(axes, config=BoostConfig(n_trees=2, learning_rate=0.5)).fit(rows))
+    cells = score.cell_frame(rows, explain.merged_axes(model), ["rid"])
+    explain.explain(model, cells)
+    return score.predict(rows, model, ["rid", "y"]).agg(F.count("*").alias("n"), rounded(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2)), 4).alias("rmse"))
+
+
+def fit_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The average of the fits that greedy selection picks from a library of three."""
+    rows, axes = _fit_rows(spark, sf_dir)
+    library = [BoostConfig(n_trees=n, learning_rate=r) for n, r in ((1, 0.5), (3, 0.3), (3, 0.6))]
+    model = refit.select_ensemble(rows, axes, "squared_error", library)
+    return score.predict(rows, model, ["rid", "y"]).agg(F.count("*").alias("n"), rounded(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2)), 4).alias("rmse"))
+
+
 _PLAIN, _L1 = split.SplitConfig(), split.SplitConfig(l1=200.0, max_delta=0.2)
 _FLOOR = split.SplitConfig(min_rows=15_000)
 
@@ -546,7 +563,7 @@ QUERIES = {
     "purify_1d": purified(1), "purify_2d": purified(2), "purify_3d": purified(3), "table_variance_sobol": table_variance, "shap": shap, "faith_shap": faith_shap, "gates": gates,
     "rating_score_lookup": rating_scores, "rating_score_join": rating_join, "rating_rebase": rating_rebase, "relativities": relativities, "factored_box_score": factored_boxes,
     **{f"metric_{n}": metric(n) for n in ("rmse", "auc", "poisson", "gamma", "d2", "lift", "gini")},
-    "fit_and_explain": fit_and_explain, "fit_bagged": fitted(n_bags=2, n_trees=2), "fit_dropout": fitted(dart_rate=0.3), "fit_sampled": fitted(subsample=0.5, colsample=0.7), "fit_refined": fitted(leaf_refine_steps=2), "fit_early_stop": fitted(validation_fraction=0.2, early_stopping=2), "fit_ridge": fitted(ridge_refit=True),
+    "fit_and_explain": fit_and_explain, "fit_bagged": fitted(n_bags=2, n_trees=2), "fit_dropout": fitted(dart_rate=0.3), "fit_sampled": fitted(subsample=0.5, colsample=0.7), "fit_refined": fitted(leaf_refine_steps=2), "fit_early_stop": fitted(validation_fraction=0.2, early_stopping=2), "fit_ridge": fitted(ridge_refit=True), "fit_corrected": fit_corrected, "fit_selected": fit_selected,
 }
 
 _LOW = "select o_orderkey from (select o_orderkey, row_number() over (order by {h}, o_orderkey) i, count(*) over () n from orders) where i <= {k}"
