@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import arrow_schema, partitions, shared_folder, staged
 
-__all__ = ["WORD", "arrow_schema", "bucketed", "partitions", "shared_folder", "staged"]
+__all__ = ["WORD", "arrow_schema", "bucketed", "partitions", "shared_folder", "slices", "staged"]
 
 #: What separates words in every contract of this subpackage; ``bytes.split()`` splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that a task holds the Python objects of few rows at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """Write ``df`` to the shared folder in ``buckets`` hash buckets of ``key`` and read it back.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_schema, partitions, staged
+from .common import WORD, arrow_schema, partitions, slices, staged
 
 RARE = 6
 MIN_WORDS = 5
@@ -117,14 +117,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")))
     rows = docs.select(_class_of(F.col(text_col)).alias("class"), _order(F.col(id_col)).alias("id"), F.posexplode(keyed).alias("pos", "line"))
     held = staged(rows.groupBy("class", "pos").agg(F.min("id").alias("first"), F.first("line").alias("line")), "lines")
-    holders = held.groupBy(F.col("line.h").alias("h"), "class").agg(
-        F.min(F.struct("first", "class")).alias("doc"), F.sort_array(F.collect_list(F.struct("pos", F.col("line.w").alias("w")))).alias("at")
+    per_class = held.groupBy(F.col("line.h").alias("h"), "class").agg(
+        F.min("first").alias("first"), F.sort_array(F.collect_list(F.struct("pos", F.col("line.w").alias("w")))).alias("at")
     )
+    holders = per_class.select("h", F.struct("first", "class").alias("doc"), "at")
     shared = holders.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("head")).where("n > 1")
     pair = [F.col("later.doc.class").alias("class"), F.col("earlier.doc.class").alias("other"), "h", F.col("later.at").alias("x"), F.col("earlier.at.pos").alias("y")]
     # a line that a third of all classes hold is one key of this join; Spark may split it, as nothing after the join
     # needs the line's rows together, and the rare lines are dealt anew before they meet
-    frequent = holders.join(shared.where(F.col("n") > RARE), "h").where(F.col("class") != F.col("head.doc.class")).select("h", F.struct("doc", "at").alias("later"), F.col("head").alias("earlier")).select(*pair)
+    frequent = holders.join(shared.where(F.col("n") > RARE), "h").where(F.col("doc.class") != F.col("head.doc.class")).select("h", F.struct("doc", "at").alias("later"), F.col("head").alias("earlier")).select(*pair)
     few = holders.join(shared.where(F.col("n") <= RARE).select("h"), "h").repartition(partitions(docs.sparkSession), "h")
     groups = few.groupBy("h").agg(F.collect_list(F.struct("doc", "at")).alias("held"))  # at most RARE
     rare = (
@@ -136,7 +137,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     schema = arrow_schema("class binary, gone array<int>")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             classes, gone = [], []
             for key, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 later, earlier, words = {}, {}, {}
@@ -195,7 +196,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns = batch.column(0).flatten()
             texts = [
                 None if t is None else drop_lines(t, None if whole else set(gone or ()))[0]
@@ -214,7 +215,7 @@ def line_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = arrow_schema(ddl)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for t, whole, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 kept, removed = drop_lines(t or "", None if whole else set(gone or ()))

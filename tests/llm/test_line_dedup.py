@@ -88,3 +88,10 @@ def test_repeated_rows_and_null_ids(spark):
     got = sorted((str(r.doc_id), r.text) for r in ld.dedup_lines(df).collect())
     assert got == [("1", text), ("1", text), ("2", ""), ("3", "unrelated words stay as they are"), ("None", "")]
     assert ld.dedup_lines(df.limit(0)).count() == 0 and ld.line_digest(df.limit(0)).count() == 0
+
+
+def test_many_rows_in_one_batch(spark):
+    docs = [(i, f"line {i} of words that nobody else has\nsecond {i} line", "c", i) for i in range(700)] + [(1000 + i, f"line {i} of words that nobody else has\nother {i}", "c", i) for i in range(300)]
+    got = {r.doc_id: (r.text, r.first) for r in ld.dedup_lines(spark.createDataFrame(docs, SCHEMA).coalesce(1)).collect()}
+    assert all(got[i] == (f"line {i} of words that nobody else has\nsecond {i} line", i) for i in range(700))
+    assert all(got[1000 + i] == (f"other {i}", i) for i in range(300))
