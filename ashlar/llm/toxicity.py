@@ -81,7 +81,7 @@ def _descend(docs: list[np.ndarray], labels: np.ndarray, width: int, bias: float
     rng = np.random.default_rng(seed)
     w, v = np.zeros(width), rng.normal(0, 0.01, (width, FACTORS))
     gw, gv, gb = np.full(width, 1e-3), np.full(width, 1e-3), 1e-3
-    for _ in range(max(epochs, -(-180_000 // len(docs)))):  # few documents are seen more often
+    for _ in range(max(epochs, -(-360_000 // len(docs)))):  # few documents are seen more often
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), 128):
             some = order[lo : lo + 128]
@@ -110,7 +110,7 @@ def _descend(docs: list[np.ndarray], labels: np.ndarray, width: int, bias: float
     return bias, w, v
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 15, rate: float = 0.3, l1: float = 2e-4, least: int = 4, screen: float = 4.5, seed: int = 1) -> Machine:
+def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: float = 0.5, l1: float = 1e-5, least: int = 4, screen: float = 4.5, seed: int = 1) -> Machine:
     """Screens terms, then fits the machine on those left.
 
     A term stays if it is in ``least`` documents and its count among label 1 is ``screen`` standard deviations off
