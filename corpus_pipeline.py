@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ashlar.llm import line_dedup, mixing, packing, simhash, toxicity
+from ashlar.llm import line_dedup, mixing, packing, shingles, toxicity
 from ashlar.llm.common import staged
 
 
@@ -24,8 +24,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group linked by a 5-word shingle similarity of 0.8 or more stays."""
+    return shingles.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
