@@ -20,6 +20,7 @@ import bisect
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ from .common import WORD, arrow_schema, partitions, slices, staged
 
 RARE = 6
 MIN_WORDS = 5
+LCS_BITS = 1 << 27
+#: Contracts' white space, as in ``WORD``.
+_SPACE = " \t\n\x0b\x0c\r"
 _NO_ID = (1 << 63) - 1
 
 
@@ -52,6 +56,58 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each line of ``a`` a number whose zero bits below ``j`` count the LCS with the first ``j`` lines of ``b``."""
+    held: dict[int, int] = {}
+    for k, line in enumerate(b):
+        held[line] = held.get(line, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    row = full
+    for line in a:
+        same = row & held.get(line, 0)
+        row = ((row + same) | (row - same)) & full
+        yield row
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """LCS of ``a`` with each beginning of ``b``."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def longest_common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence, exact; halves ``a`` where the rows would take over ``LCS_BITS``."""
+    common = set(a) & set(b)
+    at_a, at_b = ([k for k, line in enumerate(side) if line in common] for side in (a, b))
+    out: list[tuple[int, int]] = []
+    parts = [(0, len(at_a), 0, len(at_b))]
+    while parts:
+        a0, a1, b0, b1 = parts.pop()
+        if a0 >= a1 or b0 >= b1:
+            continue
+        x, y = [a[k] for k in at_a[a0:a1]], [b[k] for k in at_b[b0:b1]]
+        if len(x) > 1 and len(x) * len(y) > LCS_BITS:
+            mid = len(x) // 2
+            cut = int(np.argmax(_lengths(x[:mid], y) + _lengths(x[mid:][::-1], y[::-1])[::-1]))
+            parts += [(a0, a0 + mid, b0, b0 + cut), (a0 + mid, a1, b0 + cut, b1)]
+            continue
+        rows = list(_rows(x, y))
+        i, j = len(x), len(y)
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                continue
+            i -= 1
+            if i and not rows[i - 1] >> (j - 1) & 1:
+                continue
+            j -= 1
+            out.append((at_a[a0 + i], at_b[b0 + j]))
+    return sorted(out)
+
+
 def patience(later: dict[int, int], earlier: dict[int, int]) -> list[tuple[int, int]]:
     """Matches of two sparse line sequences ``{position: line}``, increasing on both sides."""
     matches: list[tuple[int, int]] = []
@@ -68,13 +124,15 @@ def patience(later: dict[int, int], earlier: dict[int, int]) -> list[tuple[int,
                 entry[side] = k if entry[side] == -1 else -2
         anchors = _increasing(sorted((a, b) for a, b in once.values() if a >= 0 and b >= 0))
         if not anchors:
-            # no line is unique here: match equal lines from both ends inwards
+            # no line is unique here: match equal lines from both ends inwards, and what is left by an exact LCS
             while x0 < x1 and y0 < y1 and later[xs[x0]] == earlier[ys[y0]]:
                 matches.append((xs[x0], ys[y0]))
                 x0, y0 = x0 + 1, y0 + 1
             while x0 < x1 and y0 < y1 and later[xs[x1 - 1]] == earlier[ys[y1 - 1]]:
                 x1, y1 = x1 - 1, y1 - 1
                 matches.append((xs[x1], ys[y1]))
+            inner = longest_common([later[p] for p in xs[x0:x1]], [earlier[p] for p in ys[y0:y1]])
+            matches += [(xs[x0 + a], ys[y0 + b]) for a, b in inner]
             continue
         px, py = x0, y0
         for a, b in anchors:
@@ -113,7 +171,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     ``gone`` counts non-blank lines from 0; lines are compared without surrounding white space.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x.rlike(WORD))
+    lines = F.filter(F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x: F.trim(x, F.lit(_SPACE))), lambda x: x.rlike(WORD))
     keyed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")))
     rows = docs.select(_class_of(F.col(text_col)).alias("class"), _order(F.col(id_col)).alias("id"), F.posexplode(keyed).alias("pos", "line"))
     held = staged(rows.groupBy("class", "pos").agg(F.min("id").alias("first"), F.first("line").alias("line")), "lines")

@@ -95,3 +95,26 @@ def test_many_rows_in_one_batch(spark):
     got = {r.doc_id: (r.text, r.first) for r in ld.dedup_lines(spark.createDataFrame(docs, SCHEMA).coalesce(1)).collect()}
     assert all(got[i] == (f"line {i} of words that nobody else has\nsecond {i} line", i) for i in range(700))
     assert all(got[1000 + i] == (f"other {i}", i) for i in range(300))
+
+
+def test_longest_common_is_exact(monkeypatch):
+    rng = random.Random(4)
+    for bits in (1 << 27, 8):
+        monkeypatch.setattr(ld, "LCS_BITS", bits)
+        for _ in range(150):
+            a, b = ([rng.randrange(4) for _ in range(rng.randrange(14))] for _ in range(2))
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+            got = ld.longest_common(a, b)
+            assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+
+
+def test_refrains_and_line_ends(spark):
+    r, s = "the refrain has five words", "the second has five words"
+    docs = [(1, "\n".join([s, r, s, r])), (2, "\n".join([r, s, r, s, r, s])), (3, "a line with a return\r\nand one more of words\t"), (4, "own\na line with a return\n and one more of words")]
+    got = {x.doc_id: x.text for x in ld.dedup_lines(spark.createDataFrame([(i, t, "c", 1) for i, t in docs], SCHEMA)).collect()}
+    assert got[1] == docs[0][1] and len(got[2].split("\n")) == 2
+    assert got[3] == docs[2][1] and got[4] == "own"
