@@ -7,7 +7,8 @@ those are changes the cost and never the result.
 
 *Large groups.* Where sets meet, each is first compared with one head per class of sizes, which is linear. What this
 links is one component, and only sets of different components are then compared in pairs, those whose sizes allow
-the similarity. Every candidate pair is decided by its whole sets.
+the similarity. The parities of 512 parts of two sets differ in at most as many bits as the sets differ in members, so
+most candidates are refused by 64 bytes each, and no similar pair is; the others are decided by their whole sets.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from .simhash import components
 SHINGLE = 5
 #: Least similarity of a link, in tenths.
 TENTHS = 8
-#: A shingle that this many sets meet at goes to the end of the order; at most ``_LAST`` do.
+#: A shingle that about this many sets meet at goes to the end of the order; at most ``_LAST`` do. They are found on
+#: one of ``SAMPLE`` texts, which bears on the cost only.
 CROWDED = 256
+SAMPLE = 16
 _LAST = 200_000
 _STRIP = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -57,6 +60,23 @@ def _node(hashes: np.ndarray) -> int:
     return value - (value >> 63 << 64)
 
 
+def _parities(hashes: np.ndarray) -> bytes:
+    parts = (hashes >> np.uint64(7)) & np.uint64(511)
+    return np.packbits(np.bincount(parts.astype(np.int64), minlength=512) & 1).tobytes()
+
+
+def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ``a, b`` of those rows of ``a, b, m, n, x, y`` whose sizes and parities allow the similarity."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, 8) for k in (4, 5))
+        differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        kept = differ * (10 + TENTHS) <= total * (10 - TENTHS)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(pa.array(kept))
+
+
 def _prefix(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The members that a similar set shares at least one of."""
     size = len(hashes)
@@ -131,8 +151,12 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ones, others, held = [], [], 0
 
 
-def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _similar(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the ``a, b`` pairs of nodes whose whole sets are similar enough."""
+    one = sketches.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("parities").alias("x"))
+    two = sketches.select(F.col("node").alias("b"), "n", F.col("parities").alias("y"))
+    pairs = pairs.join(one, "a").join(two, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_may_be_similar, "a long, b long")
+    pairs = staged(pairs, "shingle-pairs")
     wanted = staged(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "shingle-wanted")
     ddl = "node long, hashes binary"
     schema = arrow_schema(ddl)
@@ -158,15 +182,18 @@ def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """``a, b``: enough links between the nodes of ``docs`` (one text column) to connect all that are connected."""
-    met = _postings(docs, np.zeros(0, np.uint64), "shingle-met")
-    crowded = met.where(F.size("met") > CROWDED).orderBy(F.size("met").desc(), "tok").limit(_LAST).select("tok").toArrow()
-    if crowded.num_rows:
-        met = _postings(docs, np.sort(crowded.column(0).to_numpy().view(np.uint64)), "shingle-met")
+def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``a, b``: enough links between the nodes of ``docs`` (one text column) to connect all that are connected.
+
+    ``sketches`` has each node's size and parities: ``node, n, parities``.
+    """
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    tried = _postings(some, np.zeros(0, np.uint64), "shingle-sample")
+    crowded = tried.where(F.size("met") > max(1, CROWDED // SAMPLE)).orderBy(F.size("met").desc(), "tok").limit(_LAST).select("tok").toArrow()
+    met = _postings(docs, np.sort(crowded.column(0).to_numpy().view(np.uint64)), "shingle-met")
     spark = docs.sparkSession
     heads = staged(met.select(F.lit(0).alias("lo"), "met").mapInArrow(_to_heads, "a long, b long").distinct(), "shingle-heads")
-    near = staged(_similar(docs, heads), "shingle-near")
+    near = staged(_similar(docs, sketches, heads), "shingle-near")
     comps = components(near)
     entries = met.select("tok", F.explode("met").alias("m")).select("tok", "m.n", "m.node")
     named = entries.join(comps, "node", "left").select("tok", F.struct("n", "node", F.coalesce("root", "node").alias("comp")).alias("m"))
@@ -174,7 +201,7 @@ def links(docs: DataFrame) -> DataFrame:
     again = staged(again.where("least < most").select("met"), "shingle-across")
     strips = again.select(F.explode(F.sequence(F.lit(0), F.size("met") - 1, F.lit(_STRIP))).alias("lo"), "met").repartition(partitions(spark))
     rest = strips.mapInArrow(_across, "a long, b long").distinct().join(heads, ["a", "b"], "left_anti")
-    return near.unionByName(_similar(docs, staged(rest, "shingle-rest")))
+    return near.unionByName(_similar(docs, sketches, staged(rest, "shingle-rest")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,20 +209,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and wordless texts are one node; rows without an id join components without naming them.
     """
-    ddl = "doc_id long, node long"
+    ddl = "doc_id long, node long, n int, parities binary"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(shingle_set(t.as_py())) for t in batch.column(1)], pa.int64())], schema=schema)
+            sets = [shingle_set(t.as_py()) for t in batch.column(1)]
+            columns = [[f(x) for x in sets] for f in (_node, len, _parities)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, schema.types[1:], strict=True)]], schema=schema)
 
     marked = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, ddl), "shingle-nodes")
     distinct = staged(marked.groupBy("node").agg(F.min("doc_id").alias("first")), "shingle-distinct")
-    stars = staged(components(links(docs.select(F.col(text_col).alias("text")))), "shingle-stars")
+    sketches = staged(marked.select("node", "n", "parities").dropDuplicates(["node"]), "shingle-sketches")
+    stars = staged(components(links(docs.select(F.col(text_col).alias("text")), sketches)), "shingle-stars")
     both = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     smallest = both.join(distinct, "node").groupBy("root").agg(F.min("first").alias("component_id"))
     groups = both.join(smallest, "root").select("node", "component_id")
-    return marked.join(distinct, "node").join(groups, "node", "left").select("doc_id", F.coalesce("component_id", "first").alias("component_id"))
+    return marked.select("doc_id", "node").join(distinct, "node").join(groups, "node", "left").select("doc_id", F.coalesce("component_id", "first").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
