@@ -6,11 +6,12 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..session import arrow_schema, partitions, shared_folder, staged
 
-__all__ = ["WORD", "arrow_schema", "bucketed", "partitions", "shared_folder", "slices", "staged"]
+__all__ = ["WORD", "arrow_schema", "bucketed", "join_spread", "partitions", "shared_folder", "slices", "staged"]
 
 #: What separates words in every contract of this subpackage; ``bytes.split()`` splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,3 +34,18 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{table}"
     df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(table)
     return spark.table(table)
+
+
+def join_spread(rows: DataFrame, heads: DataFrame, key: str, by: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``heads``, which has one row per ``key`` and in ``n`` how many rows have that key.
+
+    A key with more than a partition's share of the rows is split by the hash ``by``, and its head is repeated for each
+    part. There are fewer such keys than shuffle partitions, so they can be broadcast. Pass stored ``heads``.
+    """
+    parts = partitions(rows.sparkSession)
+    share = max(1, -(-(heads.agg(F.sum("n")).first()[0] or 0) // parts))
+    pieces = F.ceil(F.col("n") / share).cast("int")
+    hot = heads.where(F.col("n") > share).select(key, pieces.alias("_pieces"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_piece", F.pmod(by, F.coalesce("_pieces", F.lit(1))).cast("int")).drop("_pieces")
+    repeated = heads.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return dealt.join(repeated, [key, "_piece"], how).drop("_piece")

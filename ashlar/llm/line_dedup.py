@@ -1,17 +1,25 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a rare line are aligned by patience diff, and the aligned common blocks are deleted from the
-later one (the larger id). Equal texts are one class throughout: the first document of a class takes part, each later
-copy is one block from start to end.
-
-*Pairs.* A line held by at most ``RARE`` classes pairs every two of its holders. A more frequent line pairs each of
-its holders with the first holder only, so pairs stay linear in the occurrences and no repeated line is left out.
-
-*Alignment.* What travels is not the documents but their shared lines: for a pair, each line found for it with its
-positions in both. Lines with one position in both are anchors, the longest increasing run of anchors is kept, the
-regions between are aligned in the same way, and matches grow over equal neighbours. A run of matches without a gap
-in either document is a block; blocks of at least ``MIN_WORDS`` words go. All is judged on the input, so the first
-document that has a line always keeps it.
+Documents that share a passage are aligned by patience diff, and the aligned common blocks are deleted from the later
+one (the larger id). Equal texts are one class throughout: the first document of a class takes part, each later copy is
+one block from start to end.
+
+*Passages.* Blocks of at least ``MIN_WORDS`` words go, so what pairs two documents is a run of one to ``MIN_WORDS``
+lines that just reaches that many words, counted from its first line or from its last. Every line of a common block lies
+in such a run, and the whole run is common. A line of ``MIN_WORDS`` words is a run of its own.
+
+*Pairs.* Every holder of a run is paired with its first holder, however many there are: pairs stay linear in the lines,
+and neither rare nor frequent runs are left out. More copies of a passage never lose fewer lines.
+
+*Alignment.* What travels is not the documents but their shared runs, with their positions in both. Lines with one
+position in both are anchors, the longest increasing run of anchors is kept, and the regions between are aligned in the
+same way, in the end by an exact longest common subsequence. Matches without a gap in either document are a block.
+What is left is aligned again, until no block comes out, so blocks that were moved go as well. All is judged on the
+input, so the first document that has a passage always keeps it.
+
+*Hot passages.* A run that a third of all documents hold is one entry per task before its shuffle, and the join that
+tells its holders who the first one is splits it (``common.join_spread``). Runs are found by one 64-bit hash of their
+lines, and a pair is only aligned on lines whose other 64-bit hash agrees too.
 """
 
 from __future__ import annotations
@@ -25,14 +33,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_schema, partitions, slices, staged
+from .common import WORD, arrow_schema, join_spread, slices, staged
 
-RARE = 6
 MIN_WORDS = 5
 LCS_BITS = 1 << 27
 #: Contracts' white space, as in ``WORD``.
-_SPACE = " \t\n\x0b\x0c\r"
+_SPACE = b" \t\n\x0b\x0c\r"
 _NO_ID = (1 << 63) - 1
+#: A line with a word: two independent hashes and its number of words.
+_LINE = np.dtype([("h", "<u8"), ("c", "<u8"), ("w", "<u4")])
+#: What a run tells about each of its lines.
+_OF_RUN = np.dtype([("c", "<u8"), ("w", "<u4")])
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -144,20 +156,57 @@ def patience(later: dict[int, int], earlier: dict[int, int]) -> list[tuple[int,
 
 
 def common_blocks(later: dict[int, int], earlier: dict[int, int], words: dict[int, int], least: int = MIN_WORDS) -> list[int]:
-    """Positions in ``later`` of the aligned blocks with at least ``least`` words."""
-    out: list[int] = []
-    block: list[int] = []
-    before = None
-    for a, b in [*patience(later, earlier), (-9, -9)]:
-        if before and (a, b) != (before[0] + 1, before[1] + 1):
-            if sum(words[p] for p in block) >= least:
-                out += block
-            block = []
-        block.append(a)
-        before = (a, b)
+    """Positions in ``later`` of the aligned blocks with at least ``least`` words.
+
+    What no block has taken in either document is aligned again; where that gives only blocks of fewer words, without
+    those.
+    """
+    left, other, out = dict(later), dict(earlier), []
+    while matches := patience(left, other):
+        cuts = [k for k in range(1, len(matches)) if matches[k] != (matches[k - 1][0] + 1, matches[k - 1][1] + 1)]
+        blocks = [matches[s:e] for s, e in zip([0, *cuts], [*cuts, len(matches)], strict=True)]
+        whole = [b for b in blocks if sum(words[p] for p, _ in b) >= least]
+        for block in whole or blocks:
+            for p, q in block:
+                del left[p], other[q]
+        out += [p for block in whole for p, _ in block]
+    return sorted(out)
+
+
+def text_lines(text: str | None) -> np.ndarray:
+    """The lines with a word of a text, without the white space around them."""
+    import xxhash
+
+    raw = [x for x in (y.strip(_SPACE) for y in (text or "").encode("utf-8", "surrogatepass").split(b"\n")) if x]
+    out = np.empty(len(raw), _LINE)
+    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x, 5) for x in raw]), "<u8").reshape(-1, 2)
+    out["h"], out["c"] = digests[:, 0], digests[:, 1]
+    out["w"] = [len(x.split()) for x in raw]
     return out
 
 
+def line_runs(words: np.ndarray, least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First line and number of lines of each shortest run of at least ``least`` words from a line on or up to one."""
+    total = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    n = len(words)
+    upto = np.searchsorted(total, total[:-1] + least)
+    begin = np.flatnonzero(upto <= n)
+    end = np.flatnonzero(total[1:] >= least)
+    starts = np.concatenate((begin, np.searchsorted(total, total[end + 1] - least, side="right") - 1))
+    sizes = np.concatenate((upto[begin], end + 1)) - starts
+    both = np.unique(starts * (least + 1) + sizes)
+    return both // (least + 1), both % (least + 1)
+
+
+def _run_keys(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    key = sizes.astype(np.uint64)
+    for k in range(int(sizes.max(initial=0))):
+        more = np.flatnonzero(sizes > k)
+        x = (key[more] ^ (key[more] >> np.uint64(29))) * _ODD + h[starts[more] + k]
+        key[more] = x ^ (x >> np.uint64(32))
+    return key.view(np.int64)
+
+
 def _class_of(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
@@ -166,52 +215,98 @@ def _order(id_: Column) -> Column:
     return F.coalesce(id_, F.lit(_NO_ID)).cast("long")
 
 
+def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Consecutive ``counts`` of ``values`` as byte strings."""
+    bounds = np.concatenate(([0], np.cumsum(counts))) * values.itemsize
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the spans, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+_RUN_DDL = "key long, first long, class binary, lines binary, at binary"
+_RUN_SCHEMA = pa.schema([("key", pa.int64()), ("first", pa.int64()), ("class", pa.binary()), ("lines", pa.binary()), ("at", pa.binary())])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct runs of each class: ``_RUN_DDL`` from ``class, first, lines``."""
+    for batch in slices(batches, 64):
+        lines = [np.frombuffer(x, _LINE) for x in batch.column(2).to_pylist()]
+        base = np.concatenate(([0], np.cumsum([len(x) for x in lines]))).astype(np.int64)
+        flat = np.concatenate(lines)
+        owner, starts, sizes = [], [], []
+        for k, own in enumerate(lines):
+            at, size = line_runs(own["w"])
+            owner.append(np.full(len(at), k))
+            starts.append(at + base[k])
+            sizes.append(size)
+        doc, start, size = np.concatenate(owner), np.concatenate(starts), np.concatenate(sizes)
+        if not len(doc):
+            continue
+        key = _run_keys(flat["h"], start, size)
+        order = np.lexsort((start, key, doc))
+        doc, start, size, key = doc[order], start[order], size[order], key[order]
+        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
+        shown = np.empty(int(size[new].sum()), _OF_RUN)
+        own = flat[_spans(start[new], size[new])]
+        shown["c"], shown["w"] = own["c"], own["w"]
+        rows = pa.array(doc[new])
+        columns = [pa.array(key[new]), batch.column(1).take(rows), batch.column(0).take(rows), _binary(shown, size[new]), _binary((start - base[doc]).astype("<i4"), np.diff(np.append(new, len(doc))))]
+        yield pa.RecordBatch.from_arrays(columns, schema=_RUN_SCHEMA)
+
+
+def _aligned(hits: list[dict]) -> list[int]:
+    """The lines that go from one document, whose shared runs with all its partners are given."""
+    pairs: dict[tuple, tuple[dict, dict, dict]] = {}
+    for hit in hits:
+        head = hit["head"]
+        if hit["lines"] != head["lines"]:
+            continue  # the runs only share a hash
+        later, earlier, words = pairs.setdefault((head["first"], head["class"]), ({}, {}, {}))
+        lines = np.frombuffer(hit["lines"], _OF_RUN)
+        for k, (c, w) in enumerate(zip(lines["c"].tolist(), lines["w"].tolist(), strict=True)):
+            for p in np.frombuffer(hit["at"], "<i4").tolist():
+                later[p + k], words[p + k] = c, w
+            for p in np.frombuffer(head["at"], "<i4").tolist():
+                earlier[p + k] = c
+    out: set[int] = set()
+    for later, earlier, words in pairs.values():
+        out.update(common_blocks(later, earlier, words))
+    return sorted(out)
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``class, first, gone``: for each class of equal texts its first id and the non-blank lines to delete there.
+    """``class, n, first, words, gone`` for the classes of equal texts that have copies or lose lines: number of
+    documents, first id, words, and the lines with a word, counted from 0, to delete from the first document."""
+    ddl = "class binary, id long, words long, lines binary"
+    schema = arrow_schema(ddl)
 
-    ``gone`` counts non-blank lines from 0; lines are compared without surrounding white space.
-    """
-    lines = F.filter(F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda x: F.trim(x, F.lit(_SPACE))), lambda x: x.rlike(WORD))
-    keyed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")))
-    rows = docs.select(_class_of(F.col(text_col)).alias("class"), _order(F.col(id_col)).alias("id"), F.posexplode(keyed).alias("pos", "line"))
-    held = staged(rows.groupBy("class", "pos").agg(F.min("id").alias("first"), F.first("line").alias("line")), "lines")
-    per_class = held.groupBy(F.col("line.h").alias("h"), "class").agg(
-        F.min("first").alias("first"), F.sort_array(F.collect_list(F.struct("pos", F.col("line.w").alias("w")))).alias("at")
-    )
-    holders = per_class.select("h", F.struct("first", "class").alias("doc"), "at")
-    shared = holders.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("head")).where("n > 1")
-    pair = [F.col("later.doc.class").alias("class"), F.col("earlier.doc.class").alias("other"), "h", F.col("later.at").alias("x"), F.col("earlier.at.pos").alias("y")]
-    # a line that a third of all classes hold is one key of this join; Spark may split it, as nothing after the join
-    # needs the line's rows together, and the rare lines are dealt anew before they meet
-    frequent = holders.join(shared.where(F.col("n") > RARE), "h").where(F.col("doc.class") != F.col("head.doc.class")).select("h", F.struct("doc", "at").alias("later"), F.col("head").alias("earlier")).select(*pair)
-    few = holders.join(shared.where(F.col("n") <= RARE).select("h"), "h").repartition(partitions(docs.sparkSession), "h")
-    groups = few.groupBy("h").agg(F.collect_list(F.struct("doc", "at")).alias("held"))  # at most RARE
-    rare = (
-        groups.select("h", "held", F.explode("held").alias("later"))
-        .select("h", "later", F.explode(F.filter("held", lambda o: o["doc"] < F.col("later.doc"))).alias("earlier"))
-        .select(*pair)
-    )
-    both = frequent.unionByName(rare).groupBy("class", "other").agg(F.collect_list(F.struct("h", "x", "y")).alias("hits"))
-    schema = arrow_schema("class binary, gone array<int>")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [text_lines(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([int(x["w"].sum()) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], schema=schema)
+
+    rows = docs.select(_class_of(F.col(text_col)).alias("class"), _order(F.col(id_col)).alias("id"), F.col(text_col)).mapInArrow(read, ddl)
+    classes = staged(rows.groupBy("class").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.first("words").alias("words"), F.first("lines").alias("lines")), "line-classes")
+    runs = classes.select("class", "first", "lines").mapInArrow(_runs, _RUN_DDL)
+    doc = F.struct("first", "class", "lines", "at")
+    heads = staged(runs.groupBy("key").agg(F.count("*").alias("n"), F.min(doc).alias("head")).where("n > 1"), "line-heads")
+    met = join_spread(runs, heads, "key", F.xxhash64("class")).where(F.col("class") != F.col("head.class"))
+    hits = met.groupBy("class").agg(F.collect_list(F.struct("lines", "at", "head")).alias("hits"))
+    gone_ddl = "class binary, gone array<int>"
+    gone_schema = arrow_schema(gone_ddl)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            classes, gone = [], []
-            for key, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                later, earlier, words = {}, {}, {}
-                for hit in found.as_py():
-                    for at in hit["x"]:
-                        later[at["pos"]], words[at["pos"]] = hit["h"], at["w"]
-                    earlier.update(dict.fromkeys(hit["y"], hit["h"]))
-                if blocks := common_blocks(later, earlier, words):
-                    classes.append(key)
-                    gone.append(blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(gone, schema.types[1])], schema=schema)
-
-    found = both.select("class", "hits").mapInArrow(align, "class binary, gone array<int>")
-    gone = found.groupBy("class").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    firsts = held.groupBy("class").agg(F.min("first").alias("first"))
-    return firsts.join(gone, "class", "left")
+        for batch in slices(batches, 16):
+            gone = [_aligned(hits.as_py()) for hits in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, gone_schema.types[1])], schema=gone_schema)
+
+    gone = hits.mapInArrow(align, gone_ddl).where(F.size("gone") > 0)
+    verdicts = classes.select("class", "n", "first", "words").join(gone, "class", "left").where("n > 1 or gone is not null")
+    return staged(verdicts, "line-verdicts")
 
 
 def drop_lines(text: str, gone: set[int] | None) -> tuple[str, int]:
@@ -232,15 +327,11 @@ def drop_lines(text: str, gone: set[int] | None) -> tuple[str, int]:
 def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``_row`` (the row of docs), ``_whole`` and ``_gone`` for every row of ``docs``."""
     verdicts = removals(docs, id_col, text_col)
-    ids = docs.select(_order(F.col(id_col)).alias("_id"), _class_of(F.col(text_col)).alias("_class"), F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(WORD)).alias("_words"))
-    per_row = (
-        ids.join(verdicts, F.col("_class") == F.col("class"))
-        .select("_id", "_class", ((F.col("_id") > F.col("first")) & (F.col("_words") >= MIN_WORDS)).alias("_whole"), F.when(F.col("_id") == F.col("first"), F.col("gone")).alias("_gone"))
-        .where("_whole or size(_gone) > 0")
-        .dropDuplicates(["_id", "_class"])
-    )
-    packed = docs.select(F.struct("*").alias("_row"), _order(F.col(id_col)).alias("_id"), _class_of(F.col(text_col)).alias("_class"))
-    return packed.join(per_row, ["_id", "_class"], "left").select("_row", F.coalesce("_whole", F.lit(False)).alias("_whole"), "_gone")
+    packed = docs.select(F.struct("*").alias("_row"), _order(F.col(id_col)).alias("_id"), _class_of(F.col(text_col)).alias("class"))
+    # copies of one text differ by id or not at all, so their place in the scan spreads them
+    met = join_spread(packed, verdicts, "class", F.xxhash64(F.monotonically_increasing_id()), "left")
+    whole = (F.col("_id") > F.col("first")) & (F.col("words") >= MIN_WORDS)
+    return met.select("_row", F.coalesce(whole, F.lit(False)).alias("_whole"), F.when(F.col("_id") == F.col("first"), F.col("gone")).alias("_gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,7 +359,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def line_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_sha256`` of every row: lines with a word, those deleted, and the digest of
-    the text that is left (null: empty)."""
+    the text that is left (null: empty).
+
+    Null and empty texts have no lines; equal rows give equal results and come back as often as they came; null ids
+    stay null and count as later than all others; an empty table gives an empty result; other columns are ignored,
+    whatever their names.
+    """
     ddl = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
     schema = arrow_schema(ddl)
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from ashlar.llm import line_dedup as ld
@@ -8,27 +9,20 @@ SCHEMA = "doc_id long, text string, class string, first int"
 
 
 def slow(docs):
-    """Every two documents with a shared line that pairs them, aligned line by line."""
+    """Every two documents that share a line, aligned on all the lines they share."""
     first, out = {}, {}
     for i, t in sorted({(i, t or "") for i, t in docs}):
         first.setdefault(t, i)
     reps = sorted((i, t) for t, i in first.items())
-    lines = {i: [x.strip(" ") for x in t.split("\n") if x.encode().split()] for i, t in reps}
-    holders = {}
-    for i, _ in reps:
-        for line in set(lines[i]):
-            holders.setdefault(line, []).append(i)
-    pairs = {}
-    for line, held in holders.items():
-        for k, later in enumerate(held):
-            for earlier in held[:k] if len(held) <= ld.RARE else held[: min(k, 1)]:
-                pairs.setdefault((later, earlier), []).append(line)
+    lines = {i: [x.strip(" \t\n\v\f\r") for x in t.split("\n") if x.encode().split()] for i, t in reps}
     gone = {i: set() for i, _ in reps}
-    for (later, earlier), found in pairs.items():
-        number = {x: n for n, x in enumerate(found)}
-        a = {p: number[x] for p, x in enumerate(lines[later]) if x in number}
-        b = {p: number[x] for p, x in enumerate(lines[earlier]) if x in number}
-        gone[later] |= set(ld.common_blocks(a, b, {p: len(lines[later][p].split()) for p in a}))
+    for n, (later, _) in enumerate(reps):
+        for earlier, _ in reps[:n]:
+            if both := set(lines[later]) & set(lines[earlier]):
+                number = {x: k for k, x in enumerate(sorted(both))}
+                a = {p: number[x] for p, x in enumerate(lines[later]) if x in number}
+                b = {p: number[x] for p, x in enumerate(lines[earlier]) if x in number}
+                gone[later] |= set(ld.common_blocks(a, b, {p: len(lines[later][p].encode().split()) for p in a}))
     for i, t in {(i, t) for i, t in docs}:
         text = t or ""
         copy = i != first[text] and len(text.split()) >= ld.MIN_WORDS
@@ -118,3 +112,49 @@ def test_refrains_and_line_ends(spark):
     got = {x.doc_id: x.text for x in ld.dedup_lines(spark.createDataFrame([(i, t, "c", 1) for i, t in docs], SCHEMA)).collect()}
     assert got[1] == docs[0][1] and len(got[2].split("\n")) == 2
     assert got[3] == docs[2][1] and got[4] == "own"
+
+
+def test_more_holders_lose_the_same(spark):
+    """A passage of short lines, one of which an earlier document holds alone, goes however many hold it."""
+    passage = ["one two three", "four five six", "seven eight nine"]
+    for holders in (2, 4, 8, 40):
+        docs = [(0, f"own start here\n{passage[1]}")] + [(k, "\n".join([f"own {k} words", *passage, f"end {k} words"])) for k in range(1, holders + 1)]
+        got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame([(i, t, "c", 1) for i, t in docs], SCHEMA)).collect()}
+        assert got[0] == docs[0][1] and got[1] == docs[1][1]
+        assert all(got[k] == f"own {k} words\nend {k} words" for k in range(2, holders + 1))
+
+
+def test_moved_blocks_go(spark):
+    a, b = "the first block has words", "the other block has words too"
+    docs = [(1, f"{b}\nx\n{a}"), (2, f"{a}\ny\n{b}"), (3, f"{a}\nz\n{b}")]
+    got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame([(i, t, "c", 1) for i, t in docs], SCHEMA)).collect()}
+    assert got == {1: docs[0][1], 2: "y", 3: "z"}
+
+
+def test_runs_cover_every_block():
+    rng = random.Random(8)
+    for _ in range(200):
+        words = [rng.randrange(1, 8) for _ in range(rng.randrange(12))]
+        starts, sizes = ld.line_runs(np.array(words, int))
+        runs = [(s, s + n) for s, n in zip(starts.tolist(), sizes.tolist())]
+        assert all(sum(words[s:e]) >= 5 and e - s <= 5 for s, e in runs)
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                if sum(words[i:j]) >= 5:
+                    covered = {p for s, e in runs if i <= s and e <= j for p in range(s, e)}
+                    assert covered == set(range(i, j))
+
+
+def test_hot_passage_is_split(spark):
+    """Holders of one line are dealt to several tasks; the first holder stays whole."""
+    rows = spark.range(4000).selectExpr("id as doc_id", "concat('own line number ', id, ' of this one\nthe licence line that all documents hold') as text", "'c' as class", "1 as first")
+    got = ld.line_digest(rows).groupBy("n_removed").count().collect()
+    assert sorted((r.n_removed, r["count"]) for r in got) == [(0, 1), (1, 3999)]
+
+
+def test_clashing_columns(spark):
+    rows = [(i, "a line that is shared by all\nown line of document number %d" % i, i, i, i, i) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int, class int, _piece int, n int")
+    out = ld.dedup_lines(df)
+    assert out.columns == df.columns
+    assert sorted((r._row, r["class"], r._piece, r.n, len(r.text.split("\n"))) for r in out.collect()) == [(i, i, i, i, 2 if i == 0 else 1) for i in range(4)]
