@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, partitions, slices, staged
-from .simhash import components
+from .simhash import components, keep_first
 
 SHINGLE = 5
 #: Least similarity of a link, in tenths.
@@ -231,6 +231,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id names its component, with all columns; of rows that share an id one stays, and
     rows without an id all stay. An empty table gives an empty result."""
-    kept = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    once = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+    return keep_first(docs, near_duplicates(docs, id_col, text_col), id_col)

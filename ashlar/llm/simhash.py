@@ -1,21 +1,16 @@
 """Near-duplicate documents by SimHash, with pivot distance tables instead of comparing all pairs.
 
-Fingerprints are cut into four 16-bit blocks. For each block, the Hamming distances to ``PIVOTS`` reference
-fingerprints are computed once for all 65,536 block values: the pivot distance table, a constant 3 MB. A fingerprint's
-coordinates are the table rows of its four blocks.
+*Pivot distances.* ``PIVOTS`` reference fingerprints are drawn once. The Hamming distances of a fingerprint to all of
+them are its coordinates. A distance to a reference changes by at most the number of bits that change, so a pair whose
+coordinates differ by more than 2 anywhere is discarded, and each survivor is verified by counting bits.
 
-*Candidates.* Two fingerprints at most 2 bits apart agree in at least two of their four blocks, so they have equal
-coordinates there. Grouping by the coordinates of each of the six pairs of blocks hence loses no link.
+*Meeting.* Which fingerprints meet is decided by equal bits: cut into four blocks, two fingerprints at most 2 bits apart
+agree in at least two of them, so each goes to a group for each of the six pairs of blocks and no link is lost. A group
+of more than ``GROUP`` fingerprints is cut again in the same way, its remaining bits into four blocks: 32, then 48, then
+56 of the 64 bits are equal. As copies are one node, the last groups hold at most 256, so no group is ever compared
+whole or held in one task, and every group is treated alike, whatever its size.
 
-*Discarding.* A distance to a reference changes by at most the number of bits that change. Inside a group, a pair
-whose coordinates differ by more than 2 anywhere is discarded, and each survivor is verified by counting bits.
-
-*Large groups.* Pairs are only compared in groups of up to ``PAIRWISE`` distinct fingerprints. Members of larger ones
-are linked exactly and without pairs: fingerprints at most 2 bits apart are those that share a fingerprint at most one
-bit from both, so each is dealt to its 65 nearest places, and whoever meets at one place is linked. That is linear in
-the group, and the places spread over all partitions.
-
-Equal fingerprints are one node throughout, so copies cost nothing. Only a spanning forest leaves a group, and
+Equal fingerprints are one node throughout, so copies cost nothing. Only a spanning forest leaves a batch of groups, and
 components are found by large-star and small-star steps, each written to the shared folder.
 """
 
@@ -28,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, partitions, staged
+from .common import arrow_schema, join_spread, slices, staged
 
-PIVOTS = 12
-PAIRWISE = 2048
+PIVOTS = 64
+GROUP = 1024
 _BLOCK_PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 _SLICE = 65536
+_STRIP = 1 << 20
+_EDGE_DDL = "a long, b long"
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -63,7 +61,11 @@ def _signed(values) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id, fp``: the 64 bits of each whole text as a signed long; null and wordless texts give 0."""
+    """``doc_id, fp``: the 64 bits of each whole text as a signed long, for every row of ``docs``.
+
+    Null, empty and wordless texts give 0; null ids stay null; an empty table gives an empty result; other columns are
+    ignored, whatever their names.
+    """
     schema = arrow_schema("doc_id long, fp long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,20 +76,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
 
 
-def pivot_tables(seed: int = 7) -> np.ndarray:
-    """Distances of every 16-bit value to each block's references: ``[block, value, pivot]``, as uint8."""
-    refs = np.random.default_rng(seed).integers(0, 1 << 16, (4, 1, PIVOTS), np.uint16)
-    return np.bitwise_count(np.arange(1 << 16, dtype=np.uint16).reshape(1, -1, 1) ^ refs)
-
+def references(pivots: int = PIVOTS, seed: int = 7) -> np.ndarray:
+    """The reference fingerprints."""
+    return np.random.default_rng(seed).integers(0, 1 << 64, pivots, np.uint64, endpoint=False)
 
-def _row_keys(tables: np.ndarray, seed: int = 11) -> np.ndarray:
-    """A 64-bit value for each table row; equal coordinates, equal values."""
-    odd = np.random.default_rng(seed).integers(1, 1 << 63, PIVOTS, np.uint64) * np.uint64(2) + np.uint64(1)
-    return (tables.astype(np.uint64) * odd).sum(2, dtype=np.uint64)
 
-
-def _blocks(fps: np.ndarray) -> np.ndarray:
-    return fps.view(np.uint16).reshape(-1, 4)
+def distance_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """Hamming distance of each fingerprint to each reference: ``[reference, fingerprint]``."""
+    return np.bitwise_count(fps[None, :] ^ refs[:, None]).astype(np.int8)
 
 
 def _least(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,103 +106,105 @@ def _forest(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return fps[moved], fps[label[moved]]
 
 
-def _pairs(fps: np.ndarray, tables: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among one group's fingerprints: pivot coordinates discard, the bit count decides."""
-    blocks = _blocks(fps)
-    coordinates = np.concatenate([tables[k][blocks[:, k]] for k in range(4)], axis=1).astype(np.int8)
-    found_a, found_b = [], []
-    for lo in range(0, len(fps), 256):
-        a, b = np.nonzero(np.arange(lo, min(lo + 256, len(fps)))[:, None] < np.arange(len(fps))[None, :])
-        a = a + lo
-        for k in range(coordinates.shape[1]):
-            column = coordinates[:, k]
+def linked(fps: np.ndarray, bounds: np.ndarray, refs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """Pairs of ``fps`` in one of the groups ``bounds[k]:bounds[k + 1]`` that are at most ``most`` bits apart.
+
+    Also how many pairs met, how many the pivots discarded, and how many survivors the bit count refused.
+    """
+    table = distance_table(fps, refs)
+    ends = np.repeat(bounds[1:], np.diff(bounds))
+    partners = ends - np.arange(len(fps)) - 1  # those behind it in its group
+    upto = np.cumsum(partners)
+    found_a, found_b, told = [], [], {"met": int(partners.sum()), "discarded": 0, "refused": 0}
+    lo = 0
+    while lo < len(fps):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _STRIP, side="right")))
+        own = partners[lo:hi]
+        a = np.repeat(np.arange(lo, hi), own)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(own) - own, own)
+        met = len(a)
+        for column in table:
             near = np.abs(column[a] - column[b]) <= most
             a, b = a[near], b[near]
+        told["discarded"] += met - len(a)
         near = np.bitwise_count(fps[a] ^ fps[b]) <= most
+        told["refused"] += int((~near).sum())
         found_a.append(a[near])
         found_b.append(b[near])
-    return np.concatenate(found_a), np.concatenate(found_b)
+        lo = hi
+    return (np.concatenate(found_a), np.concatenate(found_b), told) if found_a else (np.zeros(0, int), np.zeros(0, int), told)
+
+
+def _mixed(key: np.ndarray, block: np.ndarray) -> np.ndarray:
+    x = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + block
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def links(distinct: DataFrame, most: int = 2) -> DataFrame:
+def keyed(fps: np.ndarray, masks: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group key and equal bits of each fingerprint at each of its six places: ``[fingerprint, place]``.
+
+    ``masks`` marks the bits that are equal in its present group; the others are cut into four blocks.
+    """
+    width = 16 >> level
+    bits = np.unpackbits(~masks.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(bool)
+    rank = np.cumsum(bits, axis=1) - 1
+    blocks = np.zeros((4, len(fps)), np.uint64)
+    for k in range(4):
+        own = bits & (rank // width == k)
+        blocks[k] = np.packbits(own, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    equal = np.stack([masks | blocks[a] | blocks[b] for a, b in _BLOCK_PAIRS], axis=1)
+    # the mask is part of the key: groups that agree in different bits stay apart
+    return _mixed(_mixed(equal, equal & fps[:, None]), np.uint64(level)), equal
+
+
+def _forest_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Links within the groups of a ``fps array<long>`` column."""
+    refs = references()
+    for batch in slices(batches, 512):
+        lists = batch.column(0)
+        fps = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        if not len(fps):
+            continue
+        bounds = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+        a, b, _ = linked(fps, bounds, refs, most)
+        names, node = np.unique(fps, return_inverse=True)
+        x, y = _forest(names, node[a], node[b])
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], schema=_EDGES)
+
+
+def links(distinct: DataFrame, most: int = 2, group: int | None = None) -> DataFrame:
     """``a, b``: enough links between distinct fingerprints ``fp`` at most ``most`` (0 to 2) bits apart to connect
     all that are connected. An empty table gives no links."""
     if not 0 <= most <= 2:
         raise ValueError("four blocks, two of which agree, cover distances 0 to 2")
-    spark = distinct.sparkSession
-    parts = partitions(spark)
-    key_schema = arrow_schema("k long, fp long")
-
-    def keys(batches):
-        rows = _row_keys(pivot_tables())
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            if len(fps) == 0:
-                continue
-            blocks = _blocks(fps)
-            own = [rows[k][blocks[:, k]] for k in range(4)]
-            mixed = [(own[a] * np.uint64(0x9E3779B97F4A7C15) ^ own[b]) + np.uint64(n << 1) for n, (a, b) in enumerate(_BLOCK_PAIRS)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(mixed).view(np.int64)), pa.array(np.tile(fps, 6).view(np.int64))], schema=key_schema)
-
-    keyed = staged(distinct.select("fp").mapInArrow(keys, "k long, fp long"), "simhash-keys")
-    sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    small = keyed.join(sizes.where(F.col("n") <= PAIRWISE).select("k"), "k").groupBy("k").agg(F.collect_list("fp").alias("fps")).select("fps")
-    edge_schema = arrow_schema("a long, b long")
-
-    def edges(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=edge_schema)
-
-    def compare(batches):
-        tables = pivot_tables()
-        for batch in batches:
-            column = batch.column(0)
-            values = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            bounds = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
-            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if hi - lo == 2:
-                    if np.bitwise_count(values[lo] ^ values[lo + 1]) <= most:
-                        yield edges(values[lo : lo + 1], values[lo + 1 : hi])
-                    continue
-                fps = np.sort(values[lo:hi])
-                a, b = _pairs(fps, tables, most)
-                if len(a):
-                    yield edges(*_forest(fps, a, b))
-
-    near = small.mapInArrow(compare, "a long, b long")
-    crowded = keyed.join(sizes.where(F.col("n") > PAIRWISE).select("k"), "k").select("fp").distinct()
-    place_schema = arrow_schema("part int, packed binary")
-    flips = np.concatenate(([np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)))
-    flips = flips[: 1 if most == 0 else 65]
-
-    def deal(batches):
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for lo in range(0, len(fps), 4096):
-                own = fps[lo : lo + 4096]
-                place = (own[:, None] ^ flips[None, :]).ravel()
-                both = np.stack([place, np.repeat(own, len(flips))], axis=1)
-                part = (place * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
-                both, part = both[order], part[order]
-                at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                pieces = [both[s:e].tobytes() for s, e in zip(at, [*at[1:], len(part)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array(pieces, pa.binary())], schema=place_schema)
-
-    def meet(table: pa.Table) -> pa.Table:
-        both = np.frombuffer(b"".join(table.column(1).to_pylist()), np.uint64).reshape(-1, 2)
-        both = both[np.lexsort((both[:, 1], both[:, 0]))]
-        fps, node = np.unique(both[:, 1], return_inverse=True)
-        if most < 2:  # a place links only where one of the two stands
-            at = np.minimum(np.searchsorted(fps, both[:, 0]), len(fps) - 1)
-            stands = fps[at] == both[:, 0]
-            a, b = _forest(fps, at[stands], node[stands])
-        else:
-            same = np.flatnonzero(both[1:, 0] == both[:-1, 0])
-            a, b = _forest(fps, node[same], node[same + 1])
-        return pa.Table.from_batches([edges(a, b)])
-
-    met = crowded.mapInArrow(deal, "part int, packed binary").groupBy("part").applyInArrow(meet, "a long, b long")
-    return near.unionByName(met)
+    ddl = "k long, fp long, mask long"
+    schema = arrow_schema(ddl)
+    found: DataFrame | None = None
+    rows = distinct.select("fp", F.lit(0).cast("long").alias("mask"))
+    for level in range(3):
+
+        def deal(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 8192):
+                fps, masks = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (0, 1))
+                if len(fps):
+                    key, equal = keyed(fps, masks, level)
+                    columns = [key.ravel(), np.repeat(fps, 6), equal.ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], schema=schema)
+
+        dealt = rows.mapInArrow(deal, ddl)
+        if level:  # groups that were cut overlap
+            dealt = dealt.distinct()
+        dealt = staged(dealt, f"simhash-level-{level}")
+        sizes = staged(dealt.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), f"simhash-sizes-{level}")
+        met = staged(join_spread(dealt, sizes, "k", F.xxhash64("fp")), f"simhash-met-{level}")
+        most_of = 256 if level == 2 else group or GROUP
+        whole = met.where(F.col("n") <= most_of).groupBy("k").agg(F.collect_list("fp").alias("fps")).select("fps")
+        near = whole.mapInArrow(lambda batches: _forest_of(batches, most), _EDGE_DDL)
+        found = near if found is None else found.unionByName(near)
+        rows = met.where(F.col("n") > most_of).select("fp", "mask")
+        if rows.isEmpty():
+            break
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -253,13 +251,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id names its component in ``found``; of rows that share an id one stays, and rows
+    without an id all stay. Rows travel in one struct, so no name of theirs can clash."""
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
+    once = packed.join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id"])
+    return once.unionByName(packed.where("_id is null")).select("_row.*")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id names its component: one document of each group stays, with all its columns.
 
-    Of rows that share an id one stays; rows without an id all stay, as nothing names them. An empty table gives an
-    empty result.
+    Of rows that share an id one stays; rows without an id all stay, as nothing names them. Null, empty and wordless
+    texts are one group. An empty table gives an empty result.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    once = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+    return keep_first(docs, near_duplicates(docs, id_col, text_col), id_col)

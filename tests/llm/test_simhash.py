@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -59,9 +60,9 @@ def expected(data):
     return sorted((d[0], f"{p:016x}", least[g]) for d, p, g in zip(data, prints, groups, strict=True))
 
 
-@pytest.mark.parametrize("pairwise", [2048, 1])
-def test_against_all_pairs(spark, monkeypatch, pairwise):
-    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+@pytest.mark.parametrize("group", [1024, 1])
+def test_against_all_pairs(spark, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
     data = corpus()
     data += [data[7], data[7]]
     got = simhash.near_duplicates(spark.createDataFrame(data, SCHEMA).repartition(5)).collect()
@@ -69,9 +70,9 @@ def test_against_all_pairs(spark, monkeypatch, pairwise):
 
 
 @pytest.mark.parametrize("most", [0, 1, 2])
-@pytest.mark.parametrize("pairwise", [2048, 1])
-def test_links_of_close_fingerprints(spark, monkeypatch, most, pairwise):
-    monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
+@pytest.mark.parametrize("group", [1024, 4, 1])
+def test_links_of_close_fingerprints(spark, monkeypatch, most, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
     rng = random.Random(most)
     prints = set()
     for _ in range(12):
@@ -126,3 +127,29 @@ def test_one_of_each_group_stays(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pivots_discard_pairs_in_groups_of_every_size():
+    rng = np.random.default_rng(2)
+    sizes = [2] * 300 + [3] * 100 + [40] * 5 + [700]
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    fps = rng.integers(0, 1 << 64, bounds[-1], np.uint64, endpoint=False)
+    near = np.arange(0, len(fps) - 1, 7)
+    fps[near + 1] = fps[near] ^ (np.uint64(1) << rng.integers(0, 64, len(near), np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, len(near), np.uint64))
+    a, b, told = simhash.linked(fps, bounds, simhash.references(), 2)
+    want = {(i, j) for s, e in zip(bounds[:-1], bounds[1:]) for i in range(s, e) for j in range(i + 1, e) if int(fps[i] ^ fps[j]).bit_count() <= 2}
+    assert set(zip(a.tolist(), b.tolist())) == want
+    met = sum(n * (n - 1) // 2 for n in sizes)
+    assert told["met"] == met and told["discarded"] + told["refused"] + len(want) == met
+    assert told["discarded"] > 0.98 * (met - len(want))
+    _, _, twos = simhash.linked(fps[:600], bounds[:301], simhash.references(), 2)
+    assert twos["discarded"] > 200
+
+
+def test_clashing_columns(spark):
+    texts = ["some words of a text here", "some words of a text here", "another one altogether, not like it", None, ""]
+    df = spark.createDataFrame([(i, t, i, i, i, i) for i, t in enumerate(texts)], "doc_id long, text string, _kept int, _row int, fp int, component_id int")
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r._kept, r._row, r.fp, r.component_id) for r in kept.collect()) == [(i,) * 5 for i in (0, 2, 3)]
+    assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
