@@ -1,14 +1,18 @@
-"""Near-duplicate documents by the Jaccard similarity of their word shingles, exactly: no pair is missed.
+"""Near-duplicate documents by the Jaccard similarity of their word shingles: SimHash first, then an exact join.
 
-A text is the set of its 64-bit shingle hashes; equal sets are one node, so copies cost nothing. In any fixed order of
-all shingles, two sets of similarity ``s`` or more share one of their first ``n - ceil(s * n) + 1`` members each, so
-only sets that meet at such a shingle are candidates. The order is by hash, with the most crowded shingles last; which
-those are changes the cost and never the result.
+A text is the set of its 64-bit shingle hashes; equal sets are one node, so copies cost nothing. Links are decided by
+the whole sets. Candidates come in two rounds.
 
-*Large groups.* Where sets meet, each is first compared with one head per class of sizes, which is linear. What this
-links is one component, and only sets of different components are then compared in pairs, those whose sizes allow
-the similarity. The parities of 512 parts of two sets differ in at most as many bits as the sets differ in members, so
-most candidates are refused by 64 bytes each, and no similar pair is; the others are decided by their whole sets.
+*First round*, linear. Operator 10 links the nodes' 64-bit SimHash fingerprints by its pivot distances; besides, each
+node is compared with one more, the one it most often meets (see below) as the smallest of its class of sizes.
+
+*Second round*, which no similar pair escapes. In any fixed order of all shingles, two sets of similarity ``s`` or more
+share one of their first ``n - ceil(s * n) + 1`` members each, so only sets that meet at such a shingle can be linked.
+Those of one component of the first round need no look. For the others the parities of 512 parts of two sets differ in
+at most as many bits as the sets differ in members, which refuses most pairs where they meet, before they are rows. The
+order is by hash, with the most crowded shingles last; which those are changes the cost and never the result.
+
+SimHash alone cannot do this: at similarity 0.8 about 10 of 64 bits differ, where no pivot table discards anything.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, partitions, slices, staged
+from . import simhash
+from .common import arrow_schema, join_spread, partitions, slices, staged
 from .simhash import components, keep_first
 
 SHINGLE = 5
@@ -65,16 +70,10 @@ def _parities(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount(parts.astype(np.int64), minlength=512) & 1).tobytes()
 
 
-def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ``a, b`` of those rows of ``a, b, m, n, x, y`` whose sizes and parities allow the similarity."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, 8) for k in (4, 5))
-        differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-        kept = differ * (10 + TENTHS) <= total * (10 - TENTHS)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(pa.array(kept))
+def _print(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of a set, as a signed long."""
+    votes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
 def _prefix(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -110,53 +109,47 @@ def _postings(docs: DataFrame, last: np.ndarray, name: str) -> DataFrame:
     return staged(rows.groupBy("tok").agg(F.collect_set(F.struct("n", "node")).alias("met")).where("size(met) > 1"), name)
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per row of ``lo, met``: where to begin, and sizes, nodes and components (or nodes) by ascending size."""
-    for batch in slices(batches, 64):
-        lists = batch.column(1)
-        flat = lists.flatten().flatten()
-        n, node, comp = (flat[k].to_numpy(zero_copy_only=False) for k in (0, 1, -1))
-        bounds = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-        for lo, s, e in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            order = np.lexsort((node[s:e], n[s:e])) + s
-            yield lo, n[order], node[order], comp[order]
-
-
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
 
 
 def _to_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, n, node, _ in _met(batches):
-        at = 0
-        while at < len(n):
-            upto = int(np.searchsorted(n, n[at] * 10 // TENTHS, side="right"))
-            if upto > at + 1:
-                yield _edges(np.full(upto - at - 1, node[at]), node[at + 1 : upto])
-            at = upto
+    """From ``met``: each set with the first one of its class of sizes, ``a`` the head."""
+    for batch in slices(batches, 64):
+        lists = batch.column(0)
+        n, node = (lists.flatten().field(k).to_numpy() for k in (0, 1))
+        bounds = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            order = np.lexsort((node[s:e], n[s:e])) + s
+            size, names, at = n[order], node[order], 0
+            while at < len(size):
+                upto = int(np.searchsorted(size, size[at] * 10 // TENTHS, side="right"))
+                if upto > at + 1:
+                    columns = [pa.array(np.full(upto - at - 1, names[at])), pa.array(names[at + 1 : upto])]
+                    yield pa.RecordBatch.from_arrays(columns, schema=_PAIR)
+                at = upto
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lo, n, node, comp in _met(batches):
-        ends = np.searchsorted(n, n * 10 // TENTHS, side="right")
-        ones, others, held = [], [], 0
-        upto = min(lo + _STRIP, len(n))
-        for i in range(lo, upto):
-            other = node[i + 1 : ends[i]][comp[i + 1 : ends[i]] != comp[i]]
-            ones.append(np.full(len(other), node[i]))
-            others.append(other)
-            held += len(other)
-            if held > 65536 or i == upto - 1:
-                yield _edges(np.concatenate(ones), np.concatenate(others))
-                ones, others, held = [], [], 0
-
-
-def _similar(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the ``a, b`` pairs of nodes whose whole sets are similar enough."""
-    one = sketches.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("parities").alias("x"))
-    two = sketches.select(F.col("node").alias("b"), "n", F.col("parities").alias("y"))
-    pairs = pairs.join(one, "a").join(two, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_may_be_similar, "a long, b long")
-    pairs = staged(pairs, "shingle-pairs")
+    """From ``lo, met``: the pairs of different components, one of them from ``lo`` on, that may be similar."""
+    for batch in slices(batches, 16):
+        for lo, met in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            n, node, comp = (met.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            order = np.lexsort((node, n))
+            n, node, comp = n[order].astype(np.int64), node[order], comp[order]
+            bits = np.frombuffer(b"".join(met.values.field(3).to_pylist()), np.uint64).reshape(-1, 8)[order]
+            ends = np.searchsorted(n, n * 10 // TENTHS, side="right")
+            for i in range(lo, min(lo + _STRIP, len(n))):
+                j = np.arange(i + 1, ends[i])
+                j = j[comp[j] != comp[i]]
+                differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+                j = j[differ * (10 + TENTHS) <= (n[j] + n[i]) * (10 - TENTHS)]
+                if len(j):
+                    yield _edges(np.full(len(j), node[i]), node[j])
+
+
+def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the ``a, b`` pairs of nodes whose whole sets are similar enough. Pass stored ``pairs``."""
     wanted = staged(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "shingle-wanted")
     ddl = "node long, hashes binary"
     schema = arrow_schema(ddl)
@@ -177,50 +170,63 @@ def _similar(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFram
                 near.append(both * 10 >= TENTHS * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(pa.array(near, pa.bool_()))
 
-    first = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    second = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
+    def with_set(rows: DataFrame, side: str, name: str) -> DataFrame:
+        # a head may be in very many pairs
+        counts = pairs.groupBy(side).agg(F.count("*").alias("n"))
+        heads = counts.join(sets.select(F.col("node").alias(side), F.col("hashes").alias(name)), side)
+        return join_spread(rows, staged(heads, f"shingle-{side}"), side, F.xxhash64("a", "b")).drop("n")
+
+    return with_set(with_set(pairs, "b", "y"), "a", "x").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
 
 
 def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """``a, b``: enough links between the nodes of ``docs`` (one text column) to connect all that are connected.
 
-    ``sketches`` has each node's size and parities: ``node, n, parities``.
+    ``sketches`` has each node's size, parities and fingerprint: ``node, n, parities, fp``.
     """
+    prints = staged(sketches.groupBy("fp").agg(F.min("node").alias("b")), "shingle-prints")
+    same = sketches.join(prints, "fp").where("node != b").select(F.col("node").alias("a"), "b")
+    by_print = staged(simhash.links(prints.select("fp")), "shingle-simhash")
+    one, two = prints.select(F.col("fp").alias("a"), F.col("b").alias("x")), prints.select(F.col("fp").alias("b"), F.col("b").alias("y"))
+    close = by_print.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same)
+
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
     tried = _postings(some, np.zeros(0, np.uint64), "shingle-sample")
     crowded = tried.where(F.size("met") > max(1, CROWDED // SAMPLE)).orderBy(F.size("met").desc(), "tok").limit(_LAST).select("tok").toArrow()
     met = _postings(docs, np.sort(crowded.column(0).to_numpy().view(np.uint64)), "shingle-met")
-    spark = docs.sparkSession
-    heads = staged(met.select(F.lit(0).alias("lo"), "met").mapInArrow(_to_heads, "a long, b long").distinct(), "shingle-heads")
-    near = staged(_similar(docs, sketches, heads), "shingle-near")
-    comps = components(near)
+    heads = met.select("met").mapInArrow(_to_heads, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("times"))
+    best = heads.groupBy("b").agg(F.max(F.struct("times", "a")).alias("h")).select(F.col("h.a").alias("a"), "b")
+    first = staged(close.unionByName(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-first")
+    near = staged(_similar(docs, first), "shingle-near")
+
+    known = sketches.join(components(near), "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "parities")
     entries = met.select("tok", F.explode("met").alias("m")).select("tok", "m.n", "m.node")
-    named = entries.join(comps, "node", "left").select("tok", F.struct("n", "node", F.coalesce("root", "node").alias("comp")).alias("m"))
+    named = entries.join(known, "node").select("tok", F.struct("n", "node", "comp", "parities").alias("m"))
     again = named.groupBy("tok").agg(F.collect_list("m").alias("met"), F.min("m.comp").alias("least"), F.max("m.comp").alias("most"))
-    again = staged(again.where("least < most").select("met"), "shingle-across")
-    strips = again.select(F.explode(F.sequence(F.lit(0), F.size("met") - 1, F.lit(_STRIP))).alias("lo"), "met").repartition(partitions(spark))
-    rest = strips.mapInArrow(_across, "a long, b long").distinct().join(heads, ["a", "b"], "left_anti")
-    return near.unionByName(_similar(docs, sketches, staged(rest, "shingle-rest")))
+    again = staged(again.where("least < most").select("met"), "shingle-again")
+    strips = again.select(F.explode(F.sequence(F.lit(0), F.size("met") - 1, F.lit(_STRIP))).alias("lo"), "met").repartition(partitions(docs.sparkSession))
+    rest = strips.mapInArrow(_across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    return near.unionByName(_similar(docs, staged(rest, "shingle-rest")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` for every row: the smallest id reachable over links of similarity 0.8 or more.
 
-    Null, empty and wordless texts are one node; rows without an id join components without naming them.
+    Null, empty and wordless texts are one node, which is like no other; rows without an id join components without
+    naming them; repeated rows come back repeated; an empty table gives an empty result; other columns are ignored.
     """
-    ddl = "doc_id long, node long, n int, parities binary"
+    ddl = "doc_id long, node long, n int, parities binary, fp long"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingle_set(t.as_py()) for t in batch.column(1)]
-            columns = [[f(x) for x in sets] for f in (_node, len, _parities)]
+            columns = [[f(x) for x in sets] for f in (_node, len, _parities, _print)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, schema.types[1:], strict=True)]], schema=schema)
 
     marked = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, ddl), "shingle-nodes")
     distinct = staged(marked.groupBy("node").agg(F.min("doc_id").alias("first")), "shingle-distinct")
-    sketches = staged(marked.select("node", "n", "parities").dropDuplicates(["node"]), "shingle-sketches")
+    sketches = staged(marked.select("node", "n", "parities", "fp").dropDuplicates(["node"]), "shingle-sketches")
     stars = staged(components(links(docs.select(F.col(text_col).alias("text")), sketches)), "shingle-stars")
     both = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     smallest = both.join(distinct, "node").groupBy("root").agg(F.min("first").alias("component_id"))
