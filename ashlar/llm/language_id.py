@@ -5,8 +5,9 @@ hashed to ``2 ** BITS`` buckets. A bucket's value is its share of the text's n-g
 document frequency. The weights come from follow-the-regularised-leader with elastic-net penalties, which leaves most
 of them zero; a temperature fitted on documents kept from training calibrates the probabilities.
 
-The model is fitted on the driver from at most ``most`` documents (default ``TRAIN_ROWS``) with the smallest seeded
-hash of their id. Since values are shares, a text's score is the mean of one table row per n-gram: scoring reads whole
+Document frequencies are counted over all learning documents. The weights are fitted on the driver from at most ``most``
+documents (default ``TRAIN_ROWS``), taken from the languages in turn, each time the one with the next smallest seeded
+hash of its id, so a rare language is not lost. Since values are shares, a text's score is the mean of one table row per n-gram: scoring reads whole
 texts in Arrow tasks in constant memory per chunk and moves no rows.
 """
 
@@ -18,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema
+from .common import arrow_schema, slices
 
 BITS = 17
 ORDER = 3
@@ -86,17 +87,19 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def fit(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 3) -> Model:
+def fit(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 3, df: np.ndarray | None = None, seen: int = 0) -> Model:
     """FTRL over documents given as ``(buckets, occurrences)``; every fifth document only calibrates.
 
-    Without documents the model knows no language and finds none.
+    ``df`` are the document frequencies of the buckets in ``seen`` documents (default: those given). Without documents
+    the model knows no language and finds none.
     """
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros(0), np.zeros((1 << BITS, 0), np.float32), 1.0)
     y = np.array([names.index(x) for x in langs])
-    df = np.bincount(np.concatenate([b for b, _ in counts]), minlength=1 << BITS)
-    idf = np.log((1 + len(counts)) / (1 + df)) + 1
+    if df is None:
+        df, seen = np.bincount(np.concatenate([b for b, _ in counts]), minlength=1 << BITS), len(counts)
+    idf = np.log((1 + seen) / (1 + df)) + 1
     rows = [(b, 100 * n / max(n.sum(), 1) * idf[b]) for b, n in counts]
     order = np.random.default_rng(seed).permutation(len(rows))
     kept = order[::5] if len(order) >= 20 else order
@@ -138,21 +141,57 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: i
     return Model(names, bias, (w * idf[:, None]).astype(np.float32), float(temperature))
 
 
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many of the texts (one column) each bucket occurs, and how many texts have a letter.
+
+    A task sums its documents first; at most ``2 ** BITS`` sums reach the driver.
+    """
+    ddl = "bucket int, n long"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(1 << BITS, np.int64), 0
+        for batch in batches:
+            for text in batch.column(0):
+                points = codes(text.as_py())
+                if points.any():
+                    mask = np.zeros(1 << BITS, bool)
+                    for lo in range(0, len(points), _CHUNK):
+                        for found in buckets(points[lo : lo + _CHUNK + ORDER - 1]):
+                            mask[found] = True
+                    total += mask
+                    seen += 1
+        some = np.flatnonzero(total)
+        columns = [np.append(some, -1).astype(np.int32), np.append(total[some], seen)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    sums = texts.mapInArrow(run, ddl).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((1 << BITS) + 1, np.int64)
+    out[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()  # -1 is the last place
+    return out[:-1], int(out[-1])
+
+
 def fold(id_col: Column, folds: int = 3) -> Column:
     """CRC-32 of the id as text, by its remainder; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds
 
 
 def train(docs: DataFrame, most: int = TRAIN_ROWS, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits on at most ``most`` documents with an id, a text and a language outside the held-out fold."""
+    """Fits on documents with an id, a text with a letter and a language, outside the held-out fold: document
+    frequencies on all of them, weights on at most ``most``. Of rows that repeat an id, at most ``2 * most`` different
+    ones count, by the hash of their n-grams."""
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    own = own.where("_id is not null and _lang is not null").where(fold(F.col("_id")) != held_out)
-    chosen = own.select("_id").distinct().orderBy(F.xxhash64("_id", F.lit(23)), "_id").limit(most)
+    own = own.where("_id is not null and _lang is not null and _text is not null").where(fold(F.col("_id")) != held_out)
+    df, seen = document_frequencies(own.select("_text"))
+    order = [F.xxhash64("_id", F.lit(23)), F.col("_id")]
+    # in turn: the first of each language, the second of each, and so on
+    ranked = own.select("_id", "_lang").withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy(*order))).where(F.col("_n") <= most)
+    chosen = ranked.orderBy("_n", *order, "_lang").limit(most).select("_id").distinct()
     ddl = "lang string, buckets array<int>, counts array<int>"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 points = codes(text.as_py())
@@ -162,12 +201,12 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS, held_out: int = 1, id_col: st
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(schema.types)], schema=schema)
 
     joined = own.join(F.broadcast(chosen), "_id").select("_lang", "_text")  # at most `most` ids
-    rows = joined.mapInArrow(run, ddl).orderBy("lang", F.xxhash64("buckets", "counts")).limit(2 * most).toArrow().to_batches()
+    rows = joined.mapInArrow(run, ddl).distinct().orderBy(F.xxhash64("buckets", "counts"), "lang").limit(2 * most).toArrow().to_batches()
     counts, langs = [], []
     for batch in rows:
         langs += batch.column(0).to_pylist()
         counts += [(b.values.to_numpy(), n.values.to_numpy()) for b, n in zip(batch.column(1), batch.column(2), strict=True)]
-    return fit(counts, langs)
+    return fit(counts, langs, df=df, seen=seen)
 
 
 def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

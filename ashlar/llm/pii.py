@@ -5,10 +5,13 @@ different kinds may overlap. *Boosted trees* (oblivious, depth 3) score each can
 *Calibrated thresholds*, one per kind, select what to redact: the lowest score at which candidates kept from training
 are personal data in at least ``PRECISION`` of cases. Spans that the exact rules find always stay.
 
-Labels come from the data: spans of the exact rules, and rewritten forms of them (spelt-out signs, other separators, a
-dropped plus), are positive; other candidates, and rewritten forms spoilt in a digit, are negative. At most
-``TRAIN_ROWS`` documents are used for that, those with the smallest seeded hash of their id. Finding spans reads whole
-texts in Arrow tasks and moves no rows.
+Labels come from the data. Positive are spans of the exact rules, the same data rewritten in other forms (spelt-out
+signs, other separators and groups, a dropped plus), and candidates that hold a valid card number, address or phone
+number though the rules lost it, as in two numbers side by side. Negative are rewritten forms spoilt in a digit,
+candidates with a wrong check digit or octet, and words around an "at" without a domain. Candidates of which nothing is
+known take no part. Examples come from at most ``TRAIN_ROWS`` documents for each kind that may hold that kind, those
+with the smallest seeded hash of their id, and at most ``EXAMPLES`` of each kind and label by the hash of their
+features. Finding spans reads whole texts in Arrow tasks and moves no rows.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema
+from .common import arrow_schema, slices
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS = 1500
+TRAIN_ROWS = 1000
+EXAMPLES = 4000
 PRECISION = 0.95
 
 # The exact rules. Looking back for a digit only skips starts that cannot match.
@@ -46,6 +50,11 @@ _LOOSE = {
     "card": re.compile(r"(?<![0-9])[0-9](?:[ ._/-]{0,2}[0-9]){12,18}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9])(?:\+|00)?[0-9]{0,3}[ ./-]{0,2}\(?[0-9]{3}\)?[ ./-]{0,2}[0-9]{3}[ ./-]{0,2}[0-9]{4}(?![0-9])"),
 }
+_CARD_GROUPS = re.compile(r"(?<![0-9])[0-9]{4}(?:([ ._/-]?)[0-9]{4})(?:\1[0-9]{4}){2}(?![0-9])")
+_INTERNATIONAL = re.compile(r"(?<![0-9+])(?:\+|00)[0-9]{1,3}(?:[ ./-]{0,2}\(?[0-9]{1,5}\)?){2,6}(?![0-9])")
+_HEX_IP = re.compile(r"(?<![0-9A-Za-z.])0[xX][0-9A-Fa-f]{1,2}(?:\.0[xX][0-9A-Fa-f]{1,2}){3}(?![0-9A-Za-z])")
+#: Whether a document may hold a kind, for choosing training documents.
+_MAY_HOLD = (r"@|\(at\)|\[at\]", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]", r"[0-9]([ -]?[0-9]){13}", r"\+[0-9]|[0-9]{3}[ ./-][0-9]{4}")
 _MAY_EMAIL = re.compile(r"@|[(\[{]at[)\]}]|\sat\s")
 _CUES = {
     "email": ("mail", "write", "reach"),
@@ -103,7 +112,26 @@ def candidates(text: str) -> list[Span]:
     if re.search("[0-9]{3}", text):
         for kind in (1, 2, 3):
             out += [(m.start(), kind, m.end()) for m in _LOOSE[KINDS[kind]].finditer(text)]
-    return out
+        out += [(m.start(), 3, m.end()) for m in _INTERNATIONAL.finditer(text)]
+        out += [(m.start(), 2, m.end()) for m in _CARD_GROUPS.finditer(text)]
+    if "0x" in text or "0X" in text:
+        out += [(m.start(), 1, m.end()) for m in _HEX_IP.finditer(text)]
+    return sorted(set(out))
+
+
+def known_label(text: str, span: Span) -> float | None:
+    """What the form of a candidate tells about it; None where it tells nothing."""
+    start, kind, end = span
+    body = text[start:end]
+    digits = _digits(body)
+    if kind == 0:
+        return float("@" in body)
+    if kind == 1:
+        parts = re.findall("[0-9]+", body) if "x" not in body.lower() else ["0"]
+        return float(all(int(x) <= 255 for x in parts))
+    if kind == 2:
+        return float(14 <= len(digits) <= 19 and luhn(digits))
+    return 1.0 if body.startswith("+") and 10 <= len(digits) <= 15 else None
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -113,18 +141,23 @@ def features(text: str, span: Span) -> list[float]:
     digits = _digits(body)
     groups = [len(g) for g in re.findall("[0-9]+", body)] or [0]
     before, after = text[max(0, start - 24) : start].lower(), text[end : end + 24]
+    if kind == 0:  # an address is none by its digits; what counts is how its signs are written
+        domain = re.split(_AT, body, maxsplit=1)[-1]
+        marks = [bool(re.search(p, body)) for p in (r"@|[(\[{]at", r"\sat\s")]
+        marks += [bool(re.search(p, domain)) for p in (r"[(\[{]dot|\sdot\s", r"\S\.\S", r"\.\s", r"[.)\]}\s][A-Z][a-z]*$")]
+        digits, groups = "", [int(m) for m in marks]
     octets = [int(g[:4]) for g in re.findall("[0-9]+", body)[:4]]
     top = re.search(r"([A-Za-z]+)$", body)
     return [
         kind,
         len(body),
         len(digits),
-        len(groups),
-        max(groups),
-        min(groups),
-        len(body) - len(digits),
+        groups[0] + 2 * groups[1] if kind == 0 else len(groups),
+        groups[2] if kind == 0 else max(groups),
+        groups[3] if kind == 0 else min(groups),
+        groups[4] if kind == 0 else len(body) - len(digits),
         float(luhn(digits)) if len(digits) > 1 else 0.0,
-        max(octets, default=0),
+        groups[5] if kind == 0 else max(octets, default=0),
         float(len(set(digits))),
         float(body.startswith(("+", "00"))),
         float("(" in body),
@@ -146,16 +179,25 @@ def features(text: str, span: Span) -> list[float]:
 def rewritten(kind: int, body: str, rng: random.Random) -> str:
     """The same datum as people also write it."""
     if kind == 0:
-        at, dot = rng.choice([(" at ", " dot "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" [at] ", "."), ("@", ".")])
+        at, dot = rng.choice([(" at ", " dot "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" [at] ", "."), ("@", "."), ("@", " . "), (" @ ", ".")])
         local, _, domain = body.partition("@")
         return local + at + domain.replace(".", dot)
     if kind == 1:
-        return rng.choice([body.replace(".", "[.]"), body.replace(".", "-"), body, body.replace(".", "(dot)")])
+        hexed = ".".join(f"0x{int(p):02x}" for p in body.split("."))
+        return rng.choice([body.replace(".", "[.]"), body.replace(".", "-"), body, body.replace(".", "(dot)"), hexed])
     digits = _digits(body)
     if kind == 2:
         sep = rng.choice([".", "/", "_", "  ", " ", "-", ""])
         return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
     country, rest = digits[:-10], digits[-10:]
+    if rng.random() < 0.4:  # groups as in other countries
+        at, groups = 0, [rng.choice(["+", "00"]) + str(rng.randrange(20, 999))]
+        while at < len(rest):
+            size = rng.choice([2, 3, 4])
+            size = size if len(rest) - at - size != 1 else size + 1
+            groups.append(rest[at : at + size])
+            at += size
+        return rng.choice([" ", "-", "."]).join(groups)
     area, sep = rest[:3], rng.choice([".", "-", " ", "/"])
     return rng.choice(["", "+" + country + " ", "00" + country + sep]) + rng.choice([area + sep, f"({area}) "]) + rest[3:6] + sep + rest[6:]
 
@@ -255,9 +297,11 @@ def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for text in texts:
         known = base_spans(text)
         for span in candidates(text):
-            same = [b for b in known if b[1] == span[1] and b[0] < span[2] and span[0] < b[2]]
-            x.append(features(text, span))
-            y.append(float(bool(same)))
+            same = any(b[1] == span[1] and b[0] < span[2] and span[0] < b[2] for b in known)
+            label = 1.0 if same else known_label(text, span)
+            if label is not None:
+                x.append(features(text, span))
+                y.append(label)
         for start, kind, end in known:
             around = text[max(0, start - 60) : start], text[end : end + 60]
             for make, label in ((rewritten, 1.0), (rewritten, 1.0), (spoilt, 0.0), (spoilt, 0.0)):
@@ -269,19 +313,25 @@ def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, most: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Trees:
-    """Fits on at most ``most`` documents, whole ones. Without candidates of both labels nothing is added to the rules."""
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
-    chosen = own.select("_id").distinct().orderBy(F.xxhash64("_id", F.lit(31)), "_id").limit(most)
-    ddl = "y double, x array<double>"
+    """Fits on at most ``most`` whole documents for each kind, those that may hold it with the smallest seeded hash of
+    their id, and at most ``EXAMPLES`` of each kind and label. Rows without an id or a text take no part. Without
+    candidates of both labels nothing is added to the rules."""
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null and _text is not null")
+    may = F.array_compact(F.array(*[F.when(F.col("_text").rlike(p), F.lit(k)) for k, p in enumerate(_MAY_HOLD)]))
+    by_hash = Window.partitionBy("_kind").orderBy(F.xxhash64("_id", F.lit(31)), "_id")
+    some = own.select("_id", F.explode(may).alias("_kind")).withColumn("_n", F.dense_rank().over(by_hash)).where(F.col("_n") <= most)
+    ddl = "kind int, y double, x array<double>"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = examples([t.as_py() or "" for t in batch.column(0)])
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.float64()), pa.array(x.tolist(), schema.types[1])], schema=schema)
-
-    joined = own.join(F.broadcast(chosen), "_id").select("_text")  # at most `most` ids
-    table = joined.mapInArrow(run, ddl).orderBy("y", F.xxhash64("x")).limit(40 * most).toArrow()
+        for batch in slices(batches):
+            x, y = examples([t.as_py() for t in batch.column(0)])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int32)), pa.array(y, pa.float64()), pa.array(x.tolist(), schema.types[2])], schema=schema)
+
+    joined = own.join(F.broadcast(some.select("_id").distinct()), "_id").select("_text")  # at most `most` ids for each kind
+    drawn = Window.partitionBy("kind", "y").orderBy(F.xxhash64("x"), "x")
+    # by label only once the hash has cut, so that neither label crowds out the other
+    table = joined.mapInArrow(run, ddl).withColumn("n", F.row_number().over(drawn)).where(F.col("n") <= EXAMPLES).orderBy("kind", "y", "n").toArrow()
     x = np.array(table.column("x").to_pylist(), float).reshape(-1, FEATURES)
     return fit(x, table.column("y").to_numpy())
 
@@ -305,7 +355,11 @@ def joined(spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, of the first's kind."""
+    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, of the first's kind.
+
+    All rows and columns stay, repeated ones too; a null text stays null, an empty one empty; an empty table gives an
+    empty result.
+    """
     at = docs.columns.index(text_col)
 
     def clean(text: str | None) -> str | None:

@@ -164,7 +164,8 @@ def held_out(id_col: Column, folds: int = 5, fold: int = 0) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """Fits on at most ``most`` labelled documents outside the held-out fold. Null labels and ids don't count; of
-    several labels of one id the largest holds."""
+    several labels of one id the largest holds. Of rows that repeat an id, at most ``2 * most`` different ones count, by
+    the hash of their terms."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).where("_id is not null and _y is not null")
     known = known.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
     sample = known.orderBy(F.xxhash64("_id", F.lit(17)), "_id").limit(most)
@@ -178,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, id_col: st
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     joined = texts.join(F.broadcast(sample), "_id").select("_y", "_text")  # sample has at most `most` rows
-    table = joined.mapInArrow(run, "y double, terms array<int>").orderBy("y", F.xxhash64("terms")).limit(2 * most).toArrow()
+    table = joined.mapInArrow(run, "y double, terms array<int>").distinct().orderBy(F.xxhash64("terms"), "y").limit(2 * most).toArrow()
     flat = table.column("terms").combine_chunks()
     at = np.concatenate(([0], np.cumsum(flat.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)))) if len(flat) else np.zeros(1, np.int64)
     values = flat.flatten().to_numpy(zero_copy_only=False)
@@ -213,7 +214,11 @@ def toxic_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores below 0.5."""
+    """The rows of ``docs``, all columns, whose text scores below 0.5.
+
+    Null, empty and wordless texts get the machine's constant, which is low unless most labels are 1; repeated rows go
+    or stay together; an empty table gives an empty result; no name of a column can clash.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -48,3 +48,18 @@ def test_held_out_accuracy_and_edges(spark):
     nothing = li.train(df.where("lang is null"))
     assert {r.lang_pred for r in li.predict_languages(df, nothing).collect()} == {"und"}
     assert li.predict_languages(df.limit(0), model).count() == 0
+
+
+def test_repeated_ids_and_rare_languages(spark):
+    rows = [(i, WORDS["en"], "en") for i in range(60)] * 200 + [(i, WORDS["fr"], "fr") for i in range(60)] * 200 + [(7000 + i, WORDS["de"], "de") for i in range(6)]
+    model = li.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8), most=60)
+    assert model.langs == ["de", "en", "fr"] and model.predict("der und von mit häuser")[0] == "de"
+
+
+def test_document_frequencies_cover_all_texts(spark):
+    texts = [t for _, t, _ in corpus(120)] + [None, "", "12 3"]
+    df, seen = li.document_frequencies(spark.createDataFrame([(t,) for t in texts], "t string").repartition(4))
+    want = Counter()
+    for t in texts:
+        want.update(set(np.concatenate(li.buckets(li.codes(t))).tolist()) if li.codes(t).any() else ())
+    assert seen == 120 and {int(b): int(df[b]) for b in np.flatnonzero(df)} == dict(want)

@@ -68,3 +68,9 @@ def test_packing(spark, capacity):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "　", " \n"])
+def test_ids_of_a_million_of_one_character(unit):
+    text = "start " + unit * (1_000_000 // len(unit)) + " end"
+    assert FAST.ids(text) == np.array(SLOW.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

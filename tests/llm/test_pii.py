@@ -98,3 +98,59 @@ def test_edges(spark):
     assert len(got) == 6 and sum(r.n_email for r in got) == 3
     assert next(r for r in got if r.doc_id == 1).spans == ""
     assert pii.span_digest(df.limit(0), pii.train(df.limit(0))).count() == 0
+
+
+def test_added_spans_against_planted_truth(spark):
+    """Other forms than the rules know, planted at known places of texts that took no part in training."""
+    trees = pii.train(spark.createDataFrame(corpus(800), "doc_id long, text string"))
+    rng = random.Random(77)
+
+    def card(sep):
+        body = "5" + "".join(str(rng.randrange(10)) for _ in range(14))
+        whole = next(body + str(c) for c in range(10) if pii.luhn(body + str(c)))
+        return sep.join(whole[i : i + 4] for i in range(0, 16, 4))
+
+    def address():
+        return [str(rng.randrange(1, 255)) for _ in range(4)]
+
+    makers = {
+        0: [lambda: f"jo{rng.randrange(99)}.d (at) mail{rng.randrange(9)}.example (dot) com", lambda: f"an{rng.randrange(99)}[at]host.example[dot]com", lambda: f"be{rng.randrange(99)}@host{rng.randrange(9)} . example . com"],
+        1: [lambda: "[.]".join(address()), lambda: "(dot)".join(address()), lambda: ".".join(f"0x{int(x):02x}" for x in address())],
+        2: [lambda: card("."), lambda: card("/"), lambda: card("_")],
+        3: [lambda: f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}", lambda: f"0044 20 {rng.randrange(1000, 9999)} {rng.randrange(1000, 9999)}", lambda: f"{rng.randrange(200, 999)}-555-{rng.randrange(1000, 9999)}"],
+    }
+    for kind, forms in makers.items():
+        caught = 0
+        for n in range(60):
+            body = forms[n % 3]()
+            before = " ".join(f"word{rng.randrange(500)}" for _ in range(12)) + " "
+            text = before + body + " " + " ".join(f"word{rng.randrange(500)}" for _ in range(12))
+            base, every = pii.find_spans(text, trees)
+            caught += any(k == kind and s < len(before) + len(body) and e > len(before) for s, k, e in set(every) - set(base))
+        assert caught >= 0.9 * 60, (kind, caught)
+    clean = [" ".join(f"word{rng.randrange(500)}" for _ in range(60)) + f" at home. In {rng.randrange(1900, 2030)} we had {rng.randrange(10**6)}" for _ in range(200)]
+    assert sum(bool(pii.find_spans(t, trees)[1]) for t in clean) <= 2
+
+
+def test_numbers_side_by_side(spark):
+    """The rules lose both numbers; the trees add the valid ones."""
+    trees = pii.train(spark.createDataFrame(corpus(800), "doc_id long, text string"))
+    text = "paid with 7536784127813051 4845168114407329 today"
+    assert pii.base_spans(text) == []
+    assert [text[s:e] for s, k, e in pii.find_spans(text, trees)[1] if k == 2] == ["4845168114407329"]
+
+
+@pytest.mark.parametrize("numbers", [20, 60])
+def test_many_numbers_do_not_crowd_out_a_label(spark, numbers):
+    rng = random.Random(3)
+    docs = [(i, t + " " + " ".join(str(rng.randrange(10**15, 10**16)) for _ in range(numbers))) for i, t in corpus(300)]
+    trees = pii.train(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert len(trees.leaves) == 60 and np.isfinite(trees.thresholds).all()
+
+
+def test_redact_edges(spark):
+    rows = [(1, None, "x"), (2, "", "x"), (3, "mail a@b.co now", "x"), (3, "mail a@b.co now", "x"), (None, "1.2.3.4", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    out = pii.redact(df, pii.Trees())
+    assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == [("1", "None"), ("2", ""), ("3", "mail [email] now"), ("3", "mail [email] now"), ("None", "[ip]")]
+    assert out.columns == df.columns and pii.redact(df.limit(0), pii.Trees()).count() == 0

@@ -57,3 +57,21 @@ def test_edges(spark):
     assert {r.predicted for r in toxicity.toxic_scores(df, nothing).collect()} == {0}
     single = toxicity.train(df, df.where("toxic = 1"))
     assert all(r.score > 0.99 for r in toxicity.toxic_scores(df, single).collect())
+
+
+def test_repeated_ids_keep_both_labels(spark):
+    rows = [(i, f"calm words {i} here", 0) for i in range(60)] * 100 + [(200 + i, f"idiot number {i} there", 1) for i in range(60)] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(8)
+    machine = toxicity.train(df, df, most=60)
+    got = {r.doc_id: r.predicted for r in toxicity.toxic_scores(df.distinct(), machine).collect()}
+    assert np.mean([got[i] == (i >= 200) for i in got]) > 0.9
+
+
+def test_drop_toxic_edges(spark):
+    docs = [(1, None, "a"), (2, "", "b"), (3, "scum", "c"), (3, "scum", "c"), (None, "calm", "d")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    bucket = toxicity.terms("scum", toxicity._Buckets())
+    machine = toxicity.Machine(-3.0, bucket.astype(np.int64), np.array([9.0]), np.zeros((1, toxicity.FACTORS)))
+    out = toxicity.drop_toxic(df, machine)
+    assert out.columns == df.columns and sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "None"]
+    assert toxicity.drop_toxic(df.limit(0), machine).count() == 0
