@@ -5,11 +5,14 @@ A query visits, besides its own cell, the neighbouring cells in the order of the
 ranked by how close the query lies to the cell boundaries they cross. The candidates of all tables are merged and
 reranked by exact cosine in double precision.
 
-*Parameters* are chosen on the driver from ``SETTINGS``, by recall and by share of candidates on a sample of at most
-``SAMPLE`` vectors (those with the smallest seeded hash of their id); every vector is indexed.
+*Parameters* are chosen on the driver from ``SETTINGS``, for each length of vectors, by recall and by share of candidates
+on a sample of at most ``SAMPLE`` vectors (those with the smallest seeded hash of their id); every vector is indexed.
 
-*Work* is dealt out by blocks: a cell of more than ``BLOCK`` vectors is split into blocks by a hash of the id, and a
-query that probes the cell visits each of its blocks. A task multiplies the queries of a block with its vectors and
+*Complete results.* A query that found fewer neighbours than there are, and every query of a length for which no setting
+reaches ``RECALL`` on the sample, is compared with all vectors of its length, in blocks of the same kind.
+
+*Work* is dealt out by blocks: a cell of more than ``BLOCK`` vectors is split into blocks by a hash of the id, its queries
+likewise, and each part of the queries meets each block. A task multiplies the queries of a block with its vectors and
 keeps a few per query, so pairs never become rows, no cell is held whole, and nothing is capped. Equal vectors are one
 entry that knows its smallest ids, as many as a result can use.
 """
@@ -25,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, staged
+from .common import arrow_schema, join_spread, staged
 
 SAMPLE = 2000
-BLOCK = 4096
+BLOCK = 1024
 RECALL = 0.93
 #: (projections, cell width, tables, probes); the last visits nearly everything and suits any data.
 SETTINGS = (
@@ -79,11 +82,15 @@ class Hasher:
         rng = np.random.default_rng((self.seed, table, dim, self.k))
         return rng.normal(size=(dim, self.k)), rng.uniform(0, self.width, self.k), rng.integers(1, 1 << 62, self.k) * 2 + 1
 
+    def _base(self, table: int, dim: int) -> int:
+        """Keeps the cells of tables and lengths apart."""
+        return (table * 1_000_003 + dim) * 0x1E3779B97F4A7C15 % (1 << 62)
+
     def cells(self, unit: np.ndarray, table: int) -> np.ndarray:
         """Cell of each unit vector."""
         a, b, odd = self._drawn(table, unit.shape[1])
         at = np.floor((unit @ a + b) / self.width).astype(np.int64)
-        return (at * odd).sum(1) + unit.shape[1]
+        return (at * odd).sum(1) + self._base(table, unit.shape[1])
 
     def probed(self, unit: np.ndarray, table: int) -> np.ndarray:
         """Cells each query visits, ``[query, probe]``, most promising first."""
@@ -91,7 +98,7 @@ class Hasher:
         exact = (unit @ a + b) / self.width
         at = np.floor(exact).astype(np.int64)
         inside = exact - at
-        own = (at * odd).sum(1) + unit.shape[1]
+        own = (at * odd).sum(1) + self._base(table, unit.shape[1])
         ranked = np.argsort(np.concatenate([inside, 1 - inside], 1), axis=1, kind="stable")
         out = []
         for ranks in perturbations(self.k, self.probes):
@@ -112,8 +119,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def choose(sample: np.ndarray, k: int = 5) -> Hasher:
-    """The setting with the fewest candidates among those that reach ``RECALL`` on the sample, else the last."""
+def choose(sample: np.ndarray, k: int = 5) -> Hasher | None:
+    """The setting with the fewest candidates among those that reach ``RECALL`` on the sample, None if none does."""
     if len(sample) < 2:
         return Hasher(*SETTINGS[-1])
     unit = _unit(sample)
@@ -139,7 +146,7 @@ def choose(sample: np.ndarray, k: int = 5) -> Hasher:
         enough = seen.sum(1).min() > k
         if recall >= RECALL and enough:
             found.append((float(seen.mean()), hasher))
-    return min(found, key=lambda x: x[0])[1] if found else Hasher(*SETTINGS[-1])
+    return min(found, key=lambda x: x[0])[1] if found else None
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -152,7 +159,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     Nearness is the cosine; equal scores go to the smaller id. Vectors that are null, empty, zero, or hold null or
     non-finite components take no part, nor do rows without an id; only vectors of equal length meet. Equal vectors
     are neighbours of each other. Of rows that repeat an id and its vector one counts. Other columns are ignored; an
-    empty table gives an empty result.
+    empty table gives an empty result. Each query gets ``k`` rows, or as many as there are other vectors of its length.
     """
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -165,8 +172,13 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
         "vector-classes",
     )
     sample = classes.orderBy(F.xxhash64("c", F.lit(41)), "c").limit(SAMPLE).select("v").toArrow().column(0).to_pylist()
-    width = max({len(v) for v in sample}, key=[len(v) for v in sample].count) if sample else 1
-    hasher = choose(np.array([v for v in sample if len(v) == width], float), k)
+    by_width: dict[int, list] = {}
+    for v in sample:
+        by_width.setdefault(len(v), []).append(v)
+    chosen = {width: choose(np.array(some, float), k) for width, some in by_width.items()}
+    exact = [width for width, hasher in chosen.items() if hasher is None]
+    usual = Hasher(*SETTINGS[-1])
+    hashers = {width: hasher or usual for width, hasher in chosen.items()}
 
     def by_length(batch: pa.RecordBatch, column: str):
         sizes = batch.column(column).value_lengths().to_numpy(zero_copy_only=False)
@@ -174,47 +186,31 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
             rows = batch.take(pa.array(np.flatnonzero(sizes == size)))
             yield rows, _unit(_matrix(rows.column(column)))
 
-    cell_ddl = "t int, cell long, c long"
+    cell_ddl = "cell long, c long"
     cell_schema = arrow_schema(cell_ddl)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, unit in by_length(batch, "v"):
+                hasher = hashers.get(unit.shape[1], usual)
                 for t in range(hasher.tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), t, np.int32)), pa.array(hasher.cells(unit, t)), rows.column("c")], schema=cell_schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(hasher.cells(unit, t)), rows.column("c")], schema=cell_schema)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, unit in by_length(batch, "v"):
-                ids = rows.column("c").to_numpy()
+                hasher, ids = hashers.get(unit.shape[1], usual), rows.column("c").to_numpy()
                 for t in range(hasher.tables):
                     cells = hasher.probed(unit, t)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(cells.size, t, np.int32)), pa.array(cells.ravel()), pa.array(np.repeat(ids, cells.shape[1]))], schema=cell_schema)
-
-    indexed = classes.select("c", "v").mapInArrow(index, cell_ddl)
-    blocks = indexed.groupBy("t", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    entries = (
-        indexed.join(blocks, ["t", "cell"])
-        .withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-        .join(classes.select("c", "v", "ids"), "c")
-        .select("t", "cell", "block", "v", "ids")
-    )
-    asked = classes.where("asked = 1").select("c", "v")
-    visits = (
-        asked.mapInArrow(probe, cell_ddl)
-        .distinct()
-        .join(blocks, ["t", "cell"])
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .join(asked, "c")
-        .select("t", "cell", "block", "c", "v")
-    )
+                    yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(np.repeat(ids, cells.shape[1]))], schema=cell_schema)
+
     hit_ddl = "c long, ids array<long>, scores array<double>"
     hit_schema = arrow_schema(hit_ddl)
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return hit_schema.empty_table()
-        x, y = _matrix(left.column("v").combine_chunks()), _matrix(right.column("v").combine_chunks())
+        x, y = _matrix(left.column("q").combine_chunks()), _matrix(right.column("e").combine_chunks())
         asked_by, members = left.column("c").to_pylist(), right.column("ids").to_pylist()
         unit, spare = _unit(y), min(len(y), k + 12)
         out = []
@@ -227,11 +223,37 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
                 out.append((asked_by[lo + q], [i for _, i in ranked], [-s for s, _ in ranked]))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), hit_schema.types, strict=True)], schema=hit_schema)
 
-    keys = ["t", "cell", "block"]
-    hits = visits.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(rerank, hit_ddl)
-    merged = hits.select("c", F.explode(F.arrays_zip("ids", "scores")).alias("h")).groupBy("c", F.col("h.ids").alias("id")).agg(F.max("h.scores").alias("s"))
-    first = Window.partitionBy("c").orderBy(F.col("s").desc(), "id")
-    top = merged.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("n", "id", "s"))).alias("best"))
+    def search(indexed: DataFrame, probes: DataFrame, name: str) -> DataFrame:
+        """``c, best``: for the probing classes the best hits in the cells they probe. Pass stored tables."""
+        per_cell = indexed.groupBy("cell").agg(F.count("*").alias("entries"))
+        sizes = staged(per_cell.join(probes.groupBy("cell").agg(F.count("*").alias("queries")), "cell"), f"cells-{name}")
+        blocks, parts = (F.ceil(F.col(x) / BLOCK).cast("int") for x in ("entries", "queries"))
+        dealt = join_spread(indexed, sizes.withColumn("n", F.col("entries")), "cell", F.xxhash64("c"))
+        entries = dealt.select("cell", "c", F.pmod(F.xxhash64("c"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        asking = join_spread(probes, sizes.withColumn("n", F.col("queries")), "cell", F.xxhash64("c"))
+        visits = asking.select("cell", "c", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("c", F.lit(3)), parts).cast("int").alias("part"))
+        keys = ["cell", "block", "part"]
+        left = visits.join(classes.select("c", F.col("v").alias("q")), "c").groupBy(*keys)
+        hits = left.cogroup(entries.join(classes.select("c", F.col("v").alias("e"), F.col("ids").alias("ids")), "c").groupBy(*keys)).applyInArrow(rerank, hit_ddl)
+        merged = hits.select("c", F.explode(F.arrays_zip("ids", "scores")).alias("h")).groupBy("c", F.col("h.ids").alias("id")).agg(F.max("h.scores").alias("s"))
+        first = Window.partitionBy("c").orderBy(F.col("s").desc(), "id")
+        best = merged.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
+        return staged(best.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("n", "id", "s"))).alias("best")), f"best-{name}")
+
+    asked = classes.where("asked = 1").select("c", "v")
+    indexed = staged(classes.select("c", "v").mapInArrow(index, cell_ddl), "vector-cells")
+    probes = staged(asked.mapInArrow(probe, cell_ddl).distinct(), "vector-probes")
+    top = search(indexed, probes, "probed")
+
+    # one row per length: how many neighbours there are, counted as far as a result can use them
+    lengths = classes.groupBy(F.size("v").alias("width")).agg(F.sum(F.size("ids")).alias("members"))
+    held = asked.select("c", F.size("v").alias("width")).join(top, "c", "left").join(lengths, "width")
+    short = F.coalesce(F.size("best"), F.lit(0)) < F.least(F.lit(k + 1), "members")
+    again = staged(held.where(short | F.col("width").isin(exact)).select(F.col("width").cast("long").alias("cell"), "c"), "vector-again")
+    if not again.isEmpty():
+        whole = staged(classes.select(F.size("v").cast("long").alias("cell"), "c"), "vector-every")
+        top = top.join(again, "c", "left_anti").unionByName(search(whole, again, "exact"))
+
     queries = valid.where(F.col("vec_id") % every == 0).join(classes.select("v", "c"), "v").select("vec_id", "c")
     others = F.slice(F.filter("best", lambda b: b["id"] != F.col("vec_id")), 1, k)
     return (

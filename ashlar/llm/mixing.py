@@ -31,7 +31,7 @@ def word_count(text: Column) -> Column:
 
 def _keyed(docs: DataFrame, seed: str, id_col: str, text_col: str) -> DataFrame:
     order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    return docs.withColumns({"_size": word_count(F.col(text_col)), "_order": order}).withColumn(
+    return docs.withColumns({"_size": word_count(F.col(text_col)), "_order": order, "_tie": F.xxhash64(text_col)}).withColumn(
         "_bin", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int")
     )
 
@@ -108,7 +108,7 @@ def _taken(sized: DataFrame, plan: DataFrame, source_col: str) -> DataFrame:
     inside = joined.where(F.col("_bin") != F.col("_cut_bin")).withColumn(
         "_part", F.when(F.col("_bin") < F.col("_cut_bin"), F.col("_size")).otherwise(F.lit(0).cast("long"))
     )
-    in_order = Window.partitionBy(source_col).orderBy("_order", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.partitionBy(source_col).orderBy("_order", "_size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     room = F.col("_left") - F.coalesce(F.sum("_size").over(in_order), F.lit(0))
     edge = joined.where(F.col("_bin") == F.col("_cut_bin")).withColumn(
         "_part", F.greatest(F.least(F.col("_size"), room), F.lit(0)).cast("long")

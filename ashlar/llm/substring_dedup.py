@@ -11,11 +11,12 @@ windows is enough, and none is missed.
 *Doubling.* A repeated anchor is extended to the right or, near the end of a 35-word window, to the left. A 35-word
 window is a candidate if its first anchor's extension inside it is repeated, and its own words are hashed only then.
 
-*Exchange.* Documents are dealt into groups by id, and every level visits the same groups. A group sends the distinct
-hashes of its candidates, packed by hash range; a range replies to each group with one bit for each hash: seen in
-another group or not. What occurs twice inside one group is known there. So a passage that a third of all documents
-share crosses the network once per group, and no range or group grows with the number of copies. Texts are shuffled
-once, into a bucketed table that every level reads.
+*Exchange.* Rows are dealt into groups of about ``GROUP_BYTES`` by their place in the input, so neither null nor repeated
+ids crowd a group, and every level visits the same groups. A group sends the distinct hashes of its candidates; a hash
+that two groups send is repeated, and the join that tells them so splits hot hashes (``common.join_spread``). What occurs
+twice inside one group is known there. So a passage that a third of all documents share crosses the network once per
+group, sums are formed before the shuffle, and the work is linear in the input. Texts are shuffled once, into a bucketed
+table that every level reads.
 
 Window hashes are 64 bits, so among n candidate windows about n*n/2**65 pairs are taken for equal by chance.
 """
@@ -32,11 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bucketed, partitions, staged
+from .common import arrow_schema, bucketed, join_spread, partitions, staged
 
 WINDOW = 35
-#: Bytes of text for each group of documents and for each range of hashes; a task holds one at a time.
-GROUP_BYTES, RANGE_BYTES = 4 << 20, 16 << 20
+#: Bytes of text for each group of documents; a task holds one at a time.
+GROUP_BYTES = 4 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -205,32 +206,17 @@ class Group:
         return np.cumsum(step)[:-1] > 0
 
 
-def _replies(group: Group, levels: int, reply: dict[tuple[int, int], bytes], parts: int) -> list[np.ndarray]:
-    """For each level below ``levels``, which of its candidates are repeated."""
+def _replies(group: Group, levels: int, told: pa.Table) -> list[np.ndarray]:
+    """For each level below ``levels``, which of its candidates are repeated; ``told`` names those other groups sent."""
+    level, hashes = told.column("level").to_numpy(), told.column("hash").to_numpy().view(np.uint64)
     out: list[np.ndarray] = []
     for n in range(levels):
-        hashes = group.level(n, out)
-        distinct, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        twice = counts > 1
-        part = _part(distinct, parts)
-        bounds = np.searchsorted(part, np.arange(parts + 1))
-        for p in np.unique(part).tolist():
-            lo, hi = bounds[p], bounds[p + 1]
-            if bits := reply.get((n, p)):
-                twice[lo:hi] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo, bitorder="little").astype(bool)
+        distinct, inverse, counts = np.unique(group.level(n, out), return_inverse=True, return_counts=True)
+        twice = (counts > 1) | np.isin(distinct, hashes[level == n])
         out.append(twice[inverse])
     return out
 
 
-def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Range of each hash; rises with it."""
-    return ((hashes >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-
-
-def _read(replies: pa.Table) -> dict[tuple[int, int], bytes]:
-    return {(n, p): b for n, p, b in zip(replies.column("level").to_pylist(), replies.column("part").to_pylist(), replies.column("bits").to_pylist(), strict=True)}
-
-
 def _group(docs: pa.Table, window: int) -> tuple[pa.Table, Group]:
     # the same order at every visit; rows that agree in both columns are interchangeable
     docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -251,46 +237,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spread = max(partitions(spark), -(-size // GROUP_BYTES))
-    parts = max(1, -(-size // RANGE_BYTES))
-    grouped = bucketed(own.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int")), "g", partitions(spark), "substring_groups")
-    reply_ddl = "g int, level int, part int, bits binary"
-    sent_ddl = "g int, level int, part int, hashes binary"
-    replies = spark.createDataFrame([], reply_ddl)
-    sent_schema, reply_schema = arrow_schema(sent_ddl), arrow_schema(reply_ddl)
+    # by place, not by id: the table is written once, so the place is decided once
+    grouped = bucketed(own.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(spread)).cast("int")), "g", partitions(spark), "substring_groups")
+    told_ddl = "g int, level int, hash long"
+    sent_schema = arrow_schema(told_ddl)
+    told = spark.createDataFrame([], told_ddl)
 
     def send(n: int):
         def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows:
                 return sent_schema.empty_table()
             _, group = _group(left, window)
-            known = _replies(group, n, _read(right), parts)
-            hashes = np.unique(group.level(n, known))
-            part = _part(hashes, parts)
-            at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
-            pieces = [hashes[s:e].tobytes() for s, e in zip(at, [*at[1:], len(part)][: len(at)], strict=True)]
-            g = key[0].as_py()
-            return pa.table([pa.array([g] * len(at), pa.int32()), pa.array([n] * len(at), pa.int32()), pa.array(part[at].astype(np.int32)), pa.array(pieces, pa.binary())], schema=sent_schema)
+            hashes = np.unique(group.level(n, _replies(group, n, right)))
+            return pa.table([pa.array(np.full(len(hashes), key[0].as_py(), np.int32)), pa.array(np.full(len(hashes), n, np.int32)), pa.array(hashes.view(np.int64))], schema=sent_schema)
 
         return run
 
-    def judge(table: pa.Table) -> pa.Table:
-        pieces = [np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()]
-        values = np.sort(np.concatenate(pieces))
-        again = np.unique(values[1:][values[1:] == values[:-1]])
-        bits, kept = [], []
-        for k, piece in enumerate(pieces):
-            found = np.zeros(len(piece), bool)
-            if len(again):
-                found = again[np.minimum(np.searchsorted(again, piece), len(again) - 1)] == piece
-            if found.any():
-                kept.append(k)
-                bits.append(np.packbits(found, bitorder="little").tobytes())
-        some = table.take(pa.array(kept, pa.int64()))
-        return pa.table([some.column("g"), some.column("level"), some.column("part"), pa.array(bits, pa.binary())], schema=reply_schema)
-
     for n in range(3):
-        sent = grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(send(n), sent_ddl)
-        replies = replies.unionByName(staged(sent.groupBy("part").applyInArrow(judge, reply_ddl), f"level-{n}"))
+        sent = staged(grouped.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(send(n), told_ddl), f"sent-{n}")
+        again = staged(sent.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), f"again-{n}")
+        found = join_spread(sent, again, "hash", F.xxhash64("g")).select("g", "level", "hash")
+        told = told.unionByName(staged(found, f"told-{n}"))
 
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
     schema = arrow_schema(ddl)
@@ -299,7 +266,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         if not left.num_rows:
             return schema.empty_table()
         table, group = _group(left, window)
-        known = _replies(group, 3, _read(right), parts)
+        known = _replies(group, 3, right)
         gone = group.covered(known[2])
         rows = []
         for i, text in enumerate(group.texts):
@@ -312,4 +279,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             rows.append((len(mine), removed, hashlib.sha256(kept).hexdigest(), kept.decode())[: 3 + keep_text])
         return pa.table([table.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types[1:], strict=True)]], schema=schema)
 
-    return grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(finish, ddl)
+    return grouped.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(finish, ddl)

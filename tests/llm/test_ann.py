@@ -64,3 +64,34 @@ def test_probes_come_in_order_of_cost():
     assert sets[0] == () and sets[1] == (0,) and len(set(sets)) == len(sets)
     assert all(5 - r not in s for s in sets for r in s)
     assert len(ann.perturbations(3, 99)) == 27
+
+
+def test_rare_lengths_and_outliers_are_complete(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist(), 0, "") for i in range(1, 400)]
+    rows += [(3000 + i, rng.normal(size=2).astype(np.float32).tolist(), 0, "") for i in range(4)]
+    centres = rng.normal(size=(20, 16)) * 5
+    rows += [(10_001 + i, (centres[i % 20] + rng.normal(size=16) / 50).astype(np.float32).tolist(), 0, "") for i in range(3000)]
+    rows += [(20_000 + 50 * i, (rng.normal(size=16) * 3).astype(np.float32).tolist(), 0, "") for i in range(20)]
+    want, got = exact(rows), found(ann.nearest(spark.createDataFrame(rows, SCHEMA)))
+    assert {q: len(w) for q, w in want.items()} == {q: len(g) for q, g in got.items()}
+    assert [i for i, _ in got[3000]] == [i for i, _ in want[3000]] == [3001, 3003, 3002]
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in w}) / len(w) for q, w in want.items()]) >= 0.9
+
+
+def test_exact_where_no_setting_reaches_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(ann, "RECALL", 1.1)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=12).astype(np.float32).tolist(), 0, "") for i in range(1500)]
+    want, got = exact(rows), found(ann.nearest(spark.createDataFrame(rows, SCHEMA)))
+    assert {q: [i for i, _ in w] for q, w in want.items()} == {q: [i for i, _ in g] for q, g in got.items()}
+
+
+def test_registered_query_against_brute_force(spark):
+    from ashlar.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    want, got = exact(rows), found(queries.op6_ann_multiprobe(spark, sf))
+    assert {q: len(w) for q, w in want.items()} == {q: len(g) for q, g in got.items()}
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in w}) / len(w) for q, w in want.items()]) >= 0.9
