@@ -12,6 +12,8 @@ Those of one component of the first round need no look. For the others the parit
 at most as many bits as the sets differ in members, which refuses most pairs where they meet, before they are rows. The
 order is by hash, with the most crowded shingles last; which those are changes the cost and never the result.
 
+Sets are compared by 40 bits of each hash: of two sets of 1000 shingles about one in a million counts one too many.
+
 SimHash alone cannot do this: at similarity 0.8 about 10 of 64 bits differ, where no pivot table discards anything.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import arrow_schema, join_spread, partitions, slices, staged
+from .common import arrow_schema, partitions, slices, staged
 from .simhash import components, keep_first
 
 SHINGLE = 5
@@ -109,6 +111,17 @@ def _postings(docs: DataFrame, last: np.ndarray, name: str) -> DataFrame:
     return staged(rows.groupBy("tok").agg(F.collect_set(F.struct("n", "node")).alias("met")).where("size(met) > 1"), name)
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """The upper five bytes of each hash: what a pair needs to count what it shares."""
+    return hashes.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64)[:, 0]
+
+
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
 
@@ -157,7 +170,7 @@ def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [shingle_set(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in found], pa.int64()), pa.array([_packed(x) for x in found], pa.binary())], schema=schema)
 
     sets = staged(docs.mapInArrow(run, ddl).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
 
@@ -165,18 +178,14 @@ def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             near = []
             for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+                x, y = _unpacked(one), _unpacked(two)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(both * 10 >= TENTHS * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(pa.array(near, pa.bool_()))
 
-    def with_set(rows: DataFrame, side: str, name: str) -> DataFrame:
-        # a head may be in very many pairs
-        counts = pairs.groupBy(side).agg(F.count("*").alias("n"))
-        heads = counts.join(sets.select(F.col("node").alias(side), F.col("hashes").alias(name)), side)
-        return join_spread(rows, staged(heads, f"shingle-{side}"), side, F.xxhash64("a", "b")).drop("n")
-
-    return with_set(with_set(pairs, "b", "y"), "a", "x").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
+    # a head may be in very many pairs: both sides come straight from a shuffle, so Spark splits it
+    one, two = (sets.select(F.col("node").alias(side), F.col("hashes").alias(name)) for side, name in (("a", "x"), ("b", "y")))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
 
 
 def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
