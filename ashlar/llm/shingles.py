@@ -111,6 +111,16 @@ def _postings(docs: DataFrame, last: np.ndarray, name: str) -> DataFrame:
     return staged(rows.groupBy("tok").agg(F.collect_set(F.struct("n", "node")).alias("met")).where("size(met) > 1"), name)
 
 
+def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ``a, b`` of those rows of ``a, b, m, n, x, y`` whose sizes and parities allow the similarity."""
+    for batch in batches:
+        if batch.num_rows:
+            total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, 8) for k in (4, 5))
+            kept = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) * (10 + TENTHS) <= total * (10 - TENTHS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(pa.array(kept))
+
+
 def _packed(hashes: np.ndarray) -> bytes:
     """The upper five bytes of each hash: what a pair needs to count what it shares."""
     return hashes.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
@@ -205,7 +215,10 @@ def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     met = _postings(docs, np.sort(crowded.column(0).to_numpy().view(np.uint64)), "shingle-met")
     heads = met.select("met").mapInArrow(_to_heads, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("times"))
     best = heads.groupBy("b").agg(F.max(F.struct("times", "a")).alias("h")).select(F.col("h.a").alias("a"), "b")
-    first = staged(close.unionByName(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-first")
+    likely = close.unionByName(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one, two = (sketches.select(F.col("node").alias(k), F.col("n").alias(size), F.col("parities").alias(bits)) for k, size, bits in (("a", "m", "x"), ("b", "n", "y")))
+    # the parities refuse most before whole sets travel
+    first = staged(likely.join(one, "a").join(two, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_may_be_similar, "a long, b long"), "shingle-first")
     near = staged(_similar(docs, first), "shingle-near")
 
     known = sketches.join(components(near), "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "parities")
