@@ -35,7 +35,10 @@ def mix_seed_array(base: int, round_: int, stage: int, block: np.ndarray) -> np.
 
 
 def row_hash(key: Column, base: int, round_: int, stage: int, modulus: int | None = None) -> Column:
-    """Hash of a row's integer key: its remainder by ``modulus``, or without one its top 63 bits, which fit a long."""
+    """Hash of a row's integer key: its remainder by ``modulus``, or without one its top 63 bits, which fit a long.
+
+    A null key has a null hash and leaves the others alone: they never pass through floating point.
+    """
 
     @F.pandas_udf("long")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -44,7 +47,8 @@ def row_hash(key: Column, base: int, round_: int, stage: int, modulus: int | Non
             out = z >> np.uint64(1) if modulus is None else z % np.uint64(modulus)
             yield pd.Series(out.astype(np.int64))
 
-    return hashed(key.cast("long"))
+    # a single null would turn a whole batch of keys into doubles, so nulls stay outside
+    return F.when(key.isNotNull(), hashed(F.coalesce(key.cast("long"), F.lit(0))))
 
 
 def row_hash_sql(key: str, base: int, round_: int, stage: int, modulus: int | None = None) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,26 +70,87 @@ def quantile_borders(distinct: DataFrame, max_bin: int) -> DataFrame:
     return plain.unionByName(exact).select(F.col("border").cast("float").cast("double").alias("border")).distinct()
 
 
-def refill(borders: np.ndarray, x: np.ndarray, w: np.ndarray, max_bin: int) -> np.ndarray:
-    """Spends what duplicates left of the budget: splits the heaviest interval at its mass median, again and again.
+@dataclass(frozen=True)
+class Split:
+    """Where an interval of values is cut: its weight, the border, and the least value of the upper part."""
+
+    mass: float
+    border: float
+    upper: float
+
 
-    ``x`` and ``w`` are distinct values and weights. An interval takes in the values below its upper border; a new
-    border is the value that starts the upper part.
+def interval_splits(running: DataFrame, spans: list[tuple[float, float]]) -> dict[tuple[float, float], Split]:
+    """For each span ``[low, high)`` with two distinct values or more, its cut at the boundary nearest to half its weight.
+
+    ``running`` holds distinct values ``x`` with weight ``w``, rows ``n`` and the running sums ``cum`` and ``rows``. The
+    row in which the span's running weight reaches the half lies in the run of one value; the run's nearer end in rows
+    is the boundary, the upper one at a tie, and the border is the float midpoint of the values beside it. A row per
+    span comes to the driver; at most ``max_bin`` spans are asked for.
     """
-    borders = sorted(borders.tolist())
-    while len(borders) < max_bin - 1:
-        edges = [0, *np.searchsorted(x, borders, side="left").tolist(), len(x)]
-        spans = [(lo, hi) for lo, hi in zip(edges[:-1], edges[1:], strict=True) if hi - lo >= 2]
-        if not spans:
-            break
-        lo, hi = max(spans, key=lambda s: (w[s[0] : s[1]].sum(), -s[0]))
-        cum = np.cumsum(w[lo:hi])[:-1]
-        cut = lo + 1 + int(np.argmin(np.abs(cum - w[lo:hi].sum() / 2)))
-        value = float(np.float32(x[cut]))
-        if value in borders:
-            break
-        borders = sorted([*borders, value])
-    return np.array(borders)
+    which = F.lit(None).cast("int")
+    for k, (low, high) in enumerate(spans):
+        which = F.when((F.col("x") >= low) & (F.col("x") < high), F.lit(k)).otherwise(which)
+    inside = running.withColumn("k", which).where("k is not null")
+
+    def pick(values: dict[int, float]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(v) for pair in values.items() for v in pair]), F.col("k"))
+
+    start, end = F.col("cum") - F.col("w"), F.col("rows") - F.col("n")
+    sums = inside.groupBy("k").agg(F.count("*").alias("c"), F.min(start).alias("low"), F.max("cum").alias("high"), F.min(end).alias("first"), F.max("rows").alias("last"))
+    whole = {r["k"]: r for r in sums.where("c > 1").collect()}
+    if not whole:
+        return {}
+    half = {k: float(r["low"] + (r["high"] - r["low"]) * 0.5) for k, r in whole.items()}
+    open_ = inside.where(F.col("k").isin(list(whole)))
+    runs = {r["k"]: r["r"] for r in open_.where(F.col("cum") >= pick(half)).groupBy("k").agg(F.min(F.struct("x", "cum", "w", "rows", "n")).alias("r")).collect()}
+    at = {k: float(r["x"]) for k, r in runs.items()}
+    beside = open_.groupBy("k").agg(F.max(F.when(F.col("x") < pick(at), F.col("x"))).alias("below"), F.min(F.when(F.col("x") > pick(at), F.col("x"))).alias("above")).collect()
+    out = {}
+    for r in beside:
+        k, run = r["k"], runs[r["k"]]
+        each = run["w"] / run["n"]
+        reached = run["rows"] - run["n"] + (math.ceil((half[k] - (run["cum"] - run["w"])) / each) if each > 0 else 0)
+        reached = min(max(reached, whole[k]["first"] + 1), whole[k]["last"] - 1)
+        up, down = run["rows"] - reached, reached - (run["rows"] - run["n"])
+        if r["above"] is not None and (r["below"] is None or up <= down):
+            low, high = run["x"], r["above"]
+        else:
+            low, high = r["below"], run["x"]
+        out[spans[k]] = Split(float(whole[k]["high"] - whole[k]["low"]), float(np.float32((low + high) * 0.5)), float(high))
+    return out
+
+
+def refill(borders: np.ndarray, distinct: DataFrame, max_bin: int) -> np.ndarray:
+    """Spends what duplicates left of the budget: cuts the heaviest interval near its mass median, again and again.
+
+    ``distinct`` has ``x, w, n``. All intervals that are not known yet are measured in one round of jobs, exactly and
+    whatever the number of distinct values; the driver sees a row per interval.
+    """
+    found = sorted(borders.tolist())
+    if len(found) >= max_bin - 1:
+        return np.array(found)
+    running = running_sums(distinct, ["x"], {"cum": F.col("w"), "rows": F.col("n")}).cache()
+    try:
+        edges = [-math.inf, *found, math.inf]
+        spans = list(zip(edges[:-1], edges[1:], strict=True))
+        known: dict[tuple[float, float], Split | None] = {}
+        made = len(found)
+        while made < max_bin - 1:
+            if unknown := [s for s in spans if s not in known]:
+                cuts = interval_splits(running, unknown)
+                known.update({s: cuts.get(s) for s in unknown})
+            able = [s for s in spans if known[s]]
+            if not able:
+                break
+            best = max(able, key=lambda s: (known[s].mass, -s[0]))
+            cut = known[best]
+            found.append(cut.border)
+            made += 1
+            at = spans.index(best)
+            spans[at : at + 1] = [(best[0], cut.upper), (cut.upper, best[1])]
+        return np.unique(found)
+    finally:
+        running.unpersist()
 
 
 def collapse_rare(borders: np.ndarray, x: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
@@ -107,8 +169,8 @@ def collapse_rare(borders: np.ndarray, x: np.ndarray, n: np.ndarray, least: int)
 def build_grid(df: DataFrame, column: str, weight: str | None = None, config: GridConfig = GridConfig()) -> np.ndarray:
     """Strictly ascending borders of a column, at most ``max_bin - 1`` of them; none if nothing is finite.
 
-    The distinct values come to the driver only where there are at most ``max_bin`` of them; refilling and collapsing
-    work on at most 64 values between neighbouring borders beyond that.
+    The distinct values come to the driver only where there are at most ``max_bin`` of them. Refilling is exact on Spark;
+    collapsing counts rows on at most 64 merged values between neighbouring borders, which leaves those counts exact.
     """
     distinct = distinct_values(df, column, weight).cache()
     try:
@@ -119,10 +181,10 @@ def build_grid(df: DataFrame, column: str, weight: str | None = None, config: Gr
             borders = np.unique(((x[:-1] + x[1:]) / 2).astype(np.float32).astype(float)) if len(x) > 1 else np.zeros(0)
         else:
             borders = np.array(sorted(r["border"] for r in quantile_borders(distinct, config.max_bin).collect()))
-            x, w, n = summary(distinct, borders)
+            x, w, n = summary(distinct, borders) if config.min_data_per_bin else (None, None, None)
         if config.min_data_per_bin:
             return collapse_rare(borders, x, n, config.min_data_per_bin)
-        return refill(borders, x, w, config.max_bin)
+        return refill(borders, distinct, config.max_bin)
     finally:
         distinct.unpersist()
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
@@ -19,6 +20,8 @@ from .model import Axis, Correction, InvalidParameter, Model
 
 #: Most cells per axis of a pair's correction, and most rows of the selection sample.
 PAIR_CELLS, SELECT_ROWS = 24, 20_000
+#: Up to this many cells their joint sums (this number squared) fit the driver and save jobs.
+JOINT_CELLS = 4096
 SHRINKS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
@@ -56,11 +59,20 @@ def _column(maps: list[np.ndarray], bins: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _joint_sums(packed: DataFrame, width: int, ddl: str, add: Callable[[pa.Table], pa.Table]) -> tuple[np.ndarray, np.ndarray]:
+    """The weights each two cells share, and the residuals per cell."""
+    partial = packed.withColumn("k", F.pmod(F.spark_partition_id(), F.lit(16)))
+    total = np.sum([np.frombuffer(r[0]) for r in partial.groupBy("k").applyInArrow(lambda t: add(t.select(["packed"])), ddl).collect()], axis=0)
+    gram = total[: width * width].reshape(width, width)
+    return np.triu(gram) + np.triu(gram, 1).T, total[width * width :]
+
+
 def cell_correction(binned: DataFrame, model: Model, base: float = 10.0, gamma: float = 0.5, sweeps: int = 20, held: float = 0.2, base_seed: int = 0) -> Model:
     """Adds a ridge correction on the cells of the model's own single features and pairs.
 
-    Tasks sum, for the Newton residual -g/h with weight h, the weight each two cells share; cells by cells numbers, at
-    most 4096 squared, come to the driver, which backfits support by support. A flat first solve tells how strong each
+    The Newton residual -g/h with weight h is backfitted support by support. For up to ``JOINT_CELLS`` cells tasks sum
+    the weight each two cells share, and the driver backfits on these sums; for more, each step is one job that sums what
+    is left per cell of one support. Both are the same steps, so no support is ever dropped. A flat first solve tells how strong each
     support is, and weaker ones are shrunk more. What is kept of it, from nothing to all, is decided on held-out rows,
     so the deviance there never rises.
     """
@@ -69,13 +81,6 @@ def cell_correction(binned: DataFrame, model: Model, base: float = 10.0, gamma:
     width = sum(size for *_, size in layout)
     if not width:
         return model
-    if width > 4096:
-        layout = [x for x in layout if len(x[0]) == 1]
-        width, at = 0, 0
-        for k, (u, maps, _, size) in enumerate(layout):
-            layout[k] = (u, maps, at, size)
-            at += size
-        width = at
     names = [f"b{i}" for i in range(len(model.axes))]
     limit = np.uint64(int(held * 2**64))
     ddl = "packed binary"
@@ -103,12 +108,57 @@ def cell_correction(binned: DataFrame, model: Model, base: float = 10.0, gamma:
     def add(table: pa.Table) -> pa.Table:
         return pa.table({"packed": [np.sum([np.frombuffer(x) for x in table.column("packed").to_pylist()], axis=0).tobytes()]}, schema=schema)
 
-    partial = rows.mapInArrow(sums, ddl).withColumn("k", F.pmod(F.spark_partition_id(), F.lit(16)))
-    total = np.sum([np.frombuffer(r[0]) for r in partial.groupBy("k").applyInArrow(lambda t: add(t.select(["packed"])), ddl).collect()], axis=0)
-    gram, right = total[: width * width].reshape(width, width), total[width * width :]
-    gram = np.triu(gram) + np.triu(gram, 1).T
+    def left_over(k: int, delta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per cell of support ``k`` the residual that the other supports leave, and the weight: one job."""
+        u, maps, first, size = layout[k]
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            left, weight = np.zeros(size), np.zeros(size)
+            for batch in batches:
+                data = {n: x.to_numpy(zero_copy_only=False) for n, x in zip(batch.schema.names, batch.columns, strict=True)}
+                bins = [data[n] for n in names]
+                shift = sum((delta[f + _column(m, [bins[a] for a in v])] for j, (v, m, f, _) in enumerate(layout) if j != k), np.zeros(batch.num_rows))
+                own = _column(maps, [bins[a] for a in u])
+                left += np.bincount(own, -data["g"] - data["h"] * shift, size)
+                weight += np.bincount(own, data["h"], size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(left), pa.array(weight)], schema=cell_schema)
+
+        found = residuals().mapInArrow(task, cell_ddl).groupBy("cell").agg(*[F.sum(F.col(c).cast(DECIMAL)).cast("double").alias(c) for c in ("r", "h")]).orderBy("cell").toPandas()
+        return found["r"].to_numpy(), found["h"].to_numpy()
+
+    cell_ddl = "cell int, r double, h double"
+    cell_schema = arrow_schema(cell_ddl)
+
+    @functools.cache
+    def residuals() -> DataFrame:
+        """The rows that learn, with their gradient, stored once."""
+        ddl = ", ".join(f"{n} int" for n in names) + ", g double, h double"
+        schema = arrow_schema(ddl)
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, bins, raw, out = columns_of(batch)
+                g, h = loss.numpy_gradient(data["y"][~out], raw[~out], data["w"][~out])
+                yield pa.RecordBatch.from_arrays([*[pa.array(b[~out].astype(np.int32)) for b in bins], pa.array(g), pa.array(h)], schema=schema)
+
+        return staged(rows.mapInArrow(task, ddl), "residuals")
+
+    def by_jobs(ridge: list[float]) -> np.ndarray:
+        delta = np.zeros(width)
+        for _ in range(sweeps):
+            for k, ((_, _, first, size), penalty) in enumerate(zip(layout, ridge, strict=True)):
+                left, weight = left_over(k, delta)
+                delta[first : first + size] = left / (weight + penalty)
+        return delta
+
+    def joint() -> tuple[np.ndarray, np.ndarray]:
+        return _joint_sums(rows.mapInArrow(sums, ddl), width, ddl, add)
+
+    gram, right = joint() if width <= JOINT_CELLS else (None, None)
 
     def backfit(ridge: list[float]) -> np.ndarray:
+        if gram is None:
+            return by_jobs(ridge)
         delta = np.zeros(width)
         for _ in range(sweeps):
             for (_, _, first, size), penalty in zip(layout, ridge, strict=True):

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -56,6 +57,47 @@ def test_refill_and_collapse(spark):
         GridConfig(1)
 
 
+def slow_refill(borders, values, target):
+    """On all rows, one by one."""
+    rows = sorted(values)
+    cuts = sorted({0, len(rows), *[sum(v < b for v in rows) for b in borders]})
+    parts, out = list(zip(cuts[:-1], cuts[1:])), list(borders)
+    while len(out) < target:
+        able = [(hi - lo, -lo, lo, hi) for lo, hi in parts if rows[lo] != rows[hi - 1]]
+        if not able:
+            break
+        _, _, lo, hi = max(able)
+        middle = min(max(lo + -(-(hi - lo) // 2), lo + 1), hi - 1)
+        steps = [j for j in range(lo + 1, hi) if rows[j - 1] != rows[j]]
+        cut = min(steps, key=lambda j: (abs(j - middle), j < middle))
+        out.append(float(np.float32((rows[cut - 1] + rows[cut]) / 2)))
+        parts[parts.index((lo, hi)) : parts.index((lo, hi)) + 1] = [(lo, cut), (cut, hi)]
+    return sorted(set(out))
+
+
+def test_refill_on_tied_columns(spark):
+    """Nine tenths zeros: quantiles collapse, and the continuous rest gets the budget at its exact medians."""
+    rng = np.random.default_rng(4)
+    values = [0.0] * 9000 + [float(np.float32(v)) for v in rng.random(1000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    config = GridConfig(32)
+    first = sorted(r["border"] for r in grids.quantile_borders(grids.distinct_values(df, "x"), 32).collect())
+    got = grids.build_grid(df, "x", config=config).tolist()
+    assert got == slow_refill(first, values, 31)
+    assert len(got) == 31 and sum(b > 0.5 for b in got) > 8
+    four = spark.createDataFrame([(float(v),) for v in range(4)], "x double")
+    assert grids.refill(np.zeros(0), grids.distinct_values(four, "x"), 2).tolist() == [1.5]
+
+
+def test_null_keys_leave_other_hashes_alone(spark):
+    from ashlar.functions import seed
+
+    big = 2**60 + 12345
+    df = spark.createDataFrame([(big,), (None,)], "k long").coalesce(1)
+    got = {r.k: r.h for r in df.select("k", seed.row_hash(F.col("k"), 7, 0, 2).alias("h")).collect()}
+    assert got == {big: seed.mix_seed(7, 0, 2, big) >> 1, None: None}
+
+
 def _rows(spark):
     data = [(i, f"l{i % 7}" if i % 11 else None, float((i * 37) % 100)) for i in range(400)]
     df = spark.createDataFrame(data, "key long, level string, y double")

@@ -52,3 +52,15 @@ def test_coarse_cells():
     assert refit.coarse_map(3, 24).tolist() == [0, 1, 2, 3]
     wide = refit.coarse_map(200, 24)
     assert wide[0] == 0 and wide.max() == 23 and (np.diff(wide) >= 0).all()
+
+
+def test_many_cells_keep_their_pairs(spark, monkeypatch):
+    """Steps by jobs give what the joint sums give, and no support is dropped."""
+    rows, axes = binned(spark)
+    model = Booster(axes, config=BoostConfig(n_trees=3, learning_rate=0.4)).fit(rows)
+    joint = refit.cell_correction(rows, model, base=1.0, sweeps=3)
+    monkeypatch.setattr(refit, "JOINT_CELLS", 1)
+    steps = refit.cell_correction(rows, model, base=1.0, sweeps=3)
+    assert [c.axes for c in steps.corrections] == [c.axes for c in joint.corrections] and any(len(c.axes) == 2 for c in steps.corrections)
+    for a, b in zip(steps.corrections, joint.corrections, strict=True):
+        assert np.allclose(a.values, b.values, atol=1e-9)
