@@ -6,12 +6,12 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import arrow_schema, partitions, shared_folder, staged
 
-__all__ = ["WORD", "arrow_schema", "bucketed", "join_spread", "partitions", "shared_folder", "slices", "staged"]
+__all__ = ["WORD", "arrow_schema", "bucketed", "join_spread", "first_of_each", "partitions", "shared_folder", "slices", "staged"]
 
 #: What separates words in every contract of this subpackage; ``bytes.split()`` splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,3 +49,14 @@ def join_spread(rows: DataFrame, heads: DataFrame, key: str, by: Column, how: st
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_piece", F.pmod(by, F.coalesce("_pieces", F.lit(1))).cast("int")).drop("_pieces")
     repeated = heads.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
     return dealt.join(repeated, [key, "_piece"], how).drop("_piece")
+
+
+def first_of_each(rows: DataFrame, key: str, order: list[Column], most: int, spread: int = 64) -> DataFrame:
+    """The first ``most`` rows of each ``key`` in ``order``, numbered in ``_n``.
+
+    Each of ``spread`` parts of a key is cut first, so a key with most of the rows is several tasks, and the last step
+    sees at most ``spread * most`` rows of it.
+    """
+    parted = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(spread)))
+    cut = parted.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))).where(F.col("_n") <= most)
+    return cut.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= most).drop("_part")

@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, slices
+from .common import arrow_schema, first_of_each, slices
 
 BITS = 17
 ORDER = 3
@@ -185,7 +185,7 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS, held_out: int = 1, id_col: st
     df, seen = document_frequencies(own.select("_text"))
     order = [F.xxhash64("_id", F.lit(23)), F.col("_id")]
     # in turn: the first of each language, the second of each, and so on
-    ranked = own.select("_id", "_lang").withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy(*order))).where(F.col("_n") <= most)
+    ranked = first_of_each(own.select("_id", "_lang").distinct(), "_lang", order, most)
     chosen = ranked.orderBy("_n", *order, "_lang").limit(most).select("_id").distinct()
     ddl = "lang string, buckets array<int>, counts array<int>"
     schema = arrow_schema(ddl)

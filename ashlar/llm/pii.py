@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, slices
+from .common import arrow_schema, first_of_each, slices
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_ROWS = 1000
@@ -318,8 +318,8 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS, id_col: str = "doc_id", text_
     candidates of both labels nothing is added to the rules."""
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null and _text is not null")
     may = F.array_compact(F.array(*[F.when(F.col("_text").rlike(p), F.lit(k)) for k, p in enumerate(_MAY_HOLD)]))
-    by_hash = Window.partitionBy("_kind").orderBy(F.xxhash64("_id", F.lit(31)), "_id")
-    some = own.select("_id", F.explode(may).alias("_kind")).withColumn("_n", F.dense_rank().over(by_hash)).where(F.col("_n") <= most)
+    order = [F.xxhash64("_id", F.lit(31)), F.col("_id")]
+    some = first_of_each(own.select("_id", F.explode(may).alias("_kind")).distinct(), "_kind", order, most)
     ddl = "kind int, y double, x array<double>"
     schema = arrow_schema(ddl)
 
