@@ -8,9 +8,10 @@ node is compared with one more, the one it most often meets (see below) as the s
 
 *Second round*, which no similar pair escapes. In any fixed order of all shingles, two sets of similarity ``s`` or more
 share one of their first ``n - ceil(s * n) + 1`` members each, so only sets that meet at such a shingle can be linked.
-Those of one component of the first round need no look. For the others the parities of 512 parts of two sets differ in
-at most as many bits as the sets differ in members, which refuses most pairs where they meet, before they are rows. The
-order is by hash, with the most crowded shingles last; which those are changes the cost and never the result.
+Those of one component of the first round need no look. For the others the parities of the parts of two sets differ in
+at most as many bits as the sets differ in members. Parities of 512 parts refuse most pairs of short texts where they
+meet, before they are rows; those of as many parts as a set has members refuse most other pairs before whole sets
+travel. The order is by hash, with the most crowded shingles last; which those are changes the cost and never the result.
 
 Sets are compared by 40 bits of each hash: of two sets of 1000 shingles about one in a million counts one too many.
 
@@ -67,9 +68,19 @@ def _node(hashes: np.ndarray) -> int:
     return value - (value >> 63 << 64)
 
 
-def _parities(hashes: np.ndarray) -> bytes:
-    parts = (hashes >> np.uint64(7)) & np.uint64(511)
-    return np.packbits(np.bincount(parts.astype(np.int64), minlength=512) & 1).tobytes()
+def _bits(hashes: np.ndarray) -> bytes:
+    """Parities of the counts of a set's members in parts: a power of two of parts, 512 or as many as members."""
+    parts = max(512, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 512
+    dealt = (hashes >> np.uint64(7)) & np.uint64(parts - 1)
+    return np.packbits(np.bincount(dealt.astype(np.int64), minlength=parts) & 1).tobytes()
+
+
+def _folded(bits: bytes, size: int) -> bytes:
+    """The parities in ``8 * size`` parts: of two parts that become one, the parities add up."""
+    found = np.frombuffer(bits, np.uint8)
+    while len(found) > size:
+        found = found[: len(found) // 2] ^ found[len(found) // 2 :]
+    return found.tobytes()
 
 
 def _print(hashes: np.ndarray) -> int:
@@ -89,36 +100,45 @@ def _prefix(hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
     return hashes[:need]
 
 
-def _postings(docs: DataFrame, last: np.ndarray, name: str) -> DataFrame:
-    """``tok, met``: shingles in more than one set's prefix with the ``n, node`` of those sets."""
-    ddl = "tok long, n int, node long"
-    schema = arrow_schema(ddl)
+_SKETCH_DDL = "doc_id long, txt long, node long, n int, parities binary, bits binary, fp long, prefix array<long>"
+
+
+def _sketched(docs: DataFrame, last: np.ndarray) -> DataFrame:
+    """Everything but the set itself of each row of ``doc_id, txt, text``, in one reading of the texts."""
+    schema = arrow_schema(_SKETCH_DDL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            toks, sizes, nodes = [np.zeros(0, np.uint64)], [], []
-            for text in batch.column(0):
-                hashes = shingle_set(text.as_py())
-                own = _prefix(hashes, last) if len(hashes) else hashes
-                toks.append(own)
-                sizes.append(np.full(len(own), len(hashes), np.int32))
-                nodes.append(np.full(len(own), _node(hashes), np.int64))
-            if sizes:
-                columns = [np.concatenate(toks).view(np.int64), np.concatenate(sizes), np.concatenate(nodes)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+            sets = [shingle_set(t.as_py()) for t in batch.column(2)]
+            bits = [_bits(x) for x in sets]
+            prefixes = [_prefix(x, last).view(np.int64) if len(x) else x.view(np.int64) for x in sets]
+            found = [[_node(x) for x in sets], [len(x) for x in sets], [_folded(x, 64) for x in bits], bits, [_print(x) for x in sets], prefixes]
+            columns = [pa.array(c, t) for c, t in zip(found, schema.types[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], schema=schema)
+
+    return docs.mapInArrow(run, _SKETCH_DDL)
 
-    rows = docs.mapInArrow(run, ddl)
-    return staged(rows.groupBy("tok").agg(F.collect_set(F.struct("n", "node")).alias("met")).where("size(met) > 1"), name)
+
+def _met(marked: DataFrame) -> DataFrame:
+    """``tok, met``: shingles in more than one set's prefix with the ``n, node`` of those sets."""
+    entries = marked.select(F.explode("prefix").alias("tok"), F.struct("n", "node").alias("m"))
+    return entries.groupBy("tok").agg(F.collect_set("m").alias("met")).where("size(met) > 1")
 
 
 def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ``a, b`` of those rows of ``a, b, m, n, x, y`` whose sizes and parities allow the similarity."""
-    for batch in batches:
-        if batch.num_rows:
-            total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, 8) for k in (4, 5))
-            kept = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) * (10 + TENTHS) <= total * (10 - TENTHS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(pa.array(kept))
+    for batch in slices(batches):
+        kept = []
+        for m, n, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+            size = min(len(x), len(y))
+            one, two = (int.from_bytes(_folded(z, size), "little") for z in (x, y))
+            kept.append((one ^ two).bit_count() * (10 + TENTHS) <= (m + n) * (10 - TENTHS))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(pa.array(kept, pa.bool_()))
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    one, two = (sketches.select(F.col("node").alias(k), F.col("n").alias(size), F.col("bits").alias(bits)) for k, size, bits in (("a", "m", "x"), ("b", "n", "y")))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_may_be_similar, "a long, b long")
 
 
 def _packed(hashes: np.ndarray) -> bytes:
@@ -171,9 +191,14 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield _edges(np.full(len(j), node[i]), node[j])
 
 
-def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the ``a, b`` pairs of nodes whose whole sets are similar enough. Pass stored ``pairs``."""
-    wanted = staged(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "shingle-wanted")
+def _similar(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the ``a, b`` pairs of nodes whose whole sets are similar enough. Pass stored ``pairs``.
+
+    Only the texts of these nodes are read as sets again, each once: one text a node, found by its hash.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = staged(sketches.select("node", "txt").join(nodes, "node", "left_semi").select("txt").distinct(), "shingle-wanted")
+    texts = docs.select("txt", "text").join(wanted, "txt", "left_semi").groupBy("txt").agg(F.first("text").alias("text")).select("text")
     ddl = "node long, hashes binary"
     schema = arrow_schema(ddl)
 
@@ -182,7 +207,7 @@ def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             found = [shingle_set(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in found], pa.int64()), pa.array([_packed(x) for x in found], pa.binary())], schema=schema)
 
-    sets = staged(docs.mapInArrow(run, ddl).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
+    sets = staged(texts.mapInArrow(run, ddl).dropDuplicates(["node"]), "shingle-sets")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -198,10 +223,17 @@ def _similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
 
 
-def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """``a, b``: enough links between the nodes of ``docs`` (one text column) to connect all that are connected.
+def _crowded(docs: DataFrame) -> np.ndarray:
+    """Shingles that very many sets meet at, ascending; at most ``_LAST``."""
+    tried = staged(_met(_sketched(docs.where(F.pmod("txt", F.lit(SAMPLE)) == 0), np.zeros(0, np.uint64))), "shingle-sample")
+    found = tried.where(F.size("met") > max(1, CROWDED // SAMPLE)).orderBy(F.size("met").desc(), "tok").limit(_LAST).select("tok").toArrow()
+    return np.sort(found.column(0).to_numpy().view(np.uint64))
+
+
+def links(docs: DataFrame, marked: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``a, b``: enough links between nodes to connect all that are connected.
 
-    ``sketches`` has each node's size, parities and fingerprint: ``node, n, parities, fp``.
+    ``docs`` has ``txt, text``, ``marked`` the sketch of each of its rows and ``sketches`` that of each node.
     """
     prints = staged(sketches.groupBy("fp").agg(F.min("node").alias("b")), "shingle-prints")
     same = sketches.join(prints, "fp").where("node != b").select(F.col("node").alias("a"), "b")
@@ -209,17 +241,12 @@ def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     one, two = prints.select(F.col("fp").alias("a"), F.col("b").alias("x")), prints.select(F.col("fp").alias("b"), F.col("b").alias("y"))
     close = by_print.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same)
 
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    tried = _postings(some, np.zeros(0, np.uint64), "shingle-sample")
-    crowded = tried.where(F.size("met") > max(1, CROWDED // SAMPLE)).orderBy(F.size("met").desc(), "tok").limit(_LAST).select("tok").toArrow()
-    met = _postings(docs, np.sort(crowded.column(0).to_numpy().view(np.uint64)), "shingle-met")
+    met = staged(_met(marked), "shingle-met")
     heads = met.select("met").mapInArrow(_to_heads, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("times"))
     best = heads.groupBy("b").agg(F.max(F.struct("times", "a")).alias("h")).select(F.col("h.a").alias("a"), "b")
     likely = close.unionByName(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one, two = (sketches.select(F.col("node").alias(k), F.col("n").alias(size), F.col("parities").alias(bits)) for k, size, bits in (("a", "m", "x"), ("b", "n", "y")))
-    # the parities refuse most before whole sets travel
-    first = staged(likely.join(one, "a").join(two, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_may_be_similar, "a long, b long"), "shingle-first")
-    near = staged(_similar(docs, first), "shingle-near")
+    first = staged(_possible(likely, sketches), "shingle-first")
+    near = staged(_similar(docs, sketches, first), "shingle-near")
 
     known = sketches.join(components(near), "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "parities")
     entries = met.select("tok", F.explode("met").alias("m")).select("tok", "m.n", "m.node")
@@ -228,7 +255,7 @@ def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     again = staged(again.where("least < most").select("met"), "shingle-again")
     strips = again.select(F.explode(F.sequence(F.lit(0), F.size("met") - 1, F.lit(_STRIP))).alias("lo"), "met").repartition(partitions(docs.sparkSession))
     rest = strips.mapInArrow(_across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    return near.unionByName(_similar(docs, staged(rest, "shingle-rest")))
+    return near.unionByName(_similar(docs, sketches, staged(_possible(rest, sketches), "shingle-rest")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,19 +264,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and wordless texts are one node, which is like no other; rows without an id join components without
     naming them; repeated rows come back repeated; an empty table gives an empty result; other columns are ignored.
     """
-    ddl = "doc_id long, node long, n int, parities binary, fp long"
-    schema = arrow_schema(ddl)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingle_set(t.as_py()) for t in batch.column(1)]
-            columns = [[f(x) for x in sets] for f in (_node, len, _parities, _print)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, schema.types[1:], strict=True)]], schema=schema)
-
-    marked = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, ddl), "shingle-nodes")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("txt"), F.col(text_col).alias("text"))
+    marked = staged(_sketched(texts, _crowded(texts)), "shingle-nodes")
     distinct = staged(marked.groupBy("node").agg(F.min("doc_id").alias("first")), "shingle-distinct")
-    sketches = staged(marked.select("node", "n", "parities", "fp").dropDuplicates(["node"]), "shingle-sketches")
-    stars = staged(components(links(docs.select(F.col(text_col).alias("text")), sketches)), "shingle-stars")
+    sketches = staged(marked.drop("doc_id", "prefix").dropDuplicates(["node"]), "shingle-sketches")
+    stars = staged(components(links(texts, marked, sketches)), "shingle-stars")
     both = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     smallest = both.join(distinct, "node").groupBy("root").agg(F.min("first").alias("component_id"))
     groups = both.join(smallest, "root").select("node", "component_id")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from ashlar.llm import shingles
@@ -73,3 +74,17 @@ def test_stage_links_at_similarity(spark):
     assert kept.columns == df.columns and None in ids
     assert sorted(i for i in ids if i is not None) == sorted(set(slow(data).values()))
     assert shingles.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 9000, np.uint64)
+    for many in (0, 1, 500, 513, 3000):
+        for other in (many, many + 700):
+            x, y = (np.unique(rng.choice(pool, k)) for k in (many, other))
+            one, two = shingles._bits(x), shingles._bits(y)
+            assert 8 * len(one) >= max(512, len(x))
+            size = min(len(one), len(two))
+            a, b = (int.from_bytes(shingles._folded(z, size), "little") for z in (one, two))
+            assert (a ^ b).bit_count() <= len(np.setxor1d(x, y))
+            assert shingles._folded(one, 64) == shingles._bits(x)[:64] or len(one) > 64
