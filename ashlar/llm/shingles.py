@@ -40,6 +40,7 @@ CROWDED = 256
 SAMPLE = 16
 _LAST = 200_000
 _STRIP = 512
+_PAIRS = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -152,10 +153,6 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
-def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
-
-
 def _to_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From ``met``: each set with the first one of its class of sizes, ``a`` the head."""
     for batch in slices(batches, 64):
@@ -175,20 +172,36 @@ def _to_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From ``lo, met``: the pairs of different components, one of them from ``lo`` on, that may be similar."""
-    for batch in slices(batches, 16):
-        for lo, met in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            n, node, comp = (met.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            order = np.lexsort((node, n))
-            n, node, comp = n[order].astype(np.int64), node[order], comp[order]
-            bits = np.frombuffer(b"".join(met.values.field(3).to_pylist()), np.uint64).reshape(-1, 8)[order]
-            ends = np.searchsorted(n, n * 10 // TENTHS, side="right")
-            for i in range(lo, min(lo + _STRIP, len(n))):
-                j = np.arange(i + 1, ends[i])
-                j = j[comp[j] != comp[i]]
-                differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-                j = j[differ * (10 + TENTHS) <= (n[j] + n[i]) * (10 - TENTHS)]
-                if len(j):
-                    yield _edges(np.full(len(j), node[i]), node[j])
+    for batch in slices(batches, 64):
+        lists = batch.column(1)
+        many = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        n, node, comp = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+        bits = np.frombuffer(b"".join(flat.field(3).to_pylist()), np.uint64).reshape(-1, 8)
+        own = np.repeat(np.arange(len(many)), many)
+        order = np.lexsort((node, n, own))
+        n, node, comp, bits = n[order], node[order], comp[order], bits[order]
+        # sizes that a pair allows, each list apart; first members are those of the strip
+        ends = np.searchsorted(own << 40 | n, own << 40 | n * 10 // TENTHS, side="right")
+        place = np.arange(len(n)) - np.repeat(np.cumsum(many) - many, many) - np.repeat(batch.column(0).to_numpy().astype(np.int64), many)
+        partners = np.where((place >= 0) & (place < _STRIP), ends - np.arange(len(n)) - 1, 0)
+        upto = np.cumsum(partners)
+        lo, found = 0, []
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _PAIRS, side="right")))
+            ahead = partners[lo:hi]
+            a = np.repeat(np.arange(lo, hi), ahead)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
+            apart = comp[a] != comp[b]
+            a, b = a[apart], b[apart]
+            differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+            may = differ * (10 + TENTHS) <= (n[a] + n[b]) * (10 - TENTHS)
+            a, b = node[a[may]], node[b[may]]
+            found.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
+            lo = hi
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], schema=_PAIR)
 
 
 def _similar(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
