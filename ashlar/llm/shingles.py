@@ -238,8 +238,9 @@ def _similar(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFram
 
 def _crowded(docs: DataFrame) -> np.ndarray:
     """Shingles that very many sets meet at, ascending; at most ``_LAST``."""
-    tried = staged(_met(_sketched(docs.where(F.pmod("txt", F.lit(SAMPLE)) == 0), np.zeros(0, np.uint64))), "shingle-sample")
-    found = tried.where(F.size("met") > max(1, CROWDED // SAMPLE)).orderBy(F.size("met").desc(), "tok").limit(_LAST).select("tok").toArrow()
+    tried = _sketched(docs.where(F.pmod("txt", F.lit(SAMPLE)) == 0).dropDuplicates(["txt"]), np.zeros(0, np.uint64))
+    often = tried.select(F.explode("prefix").alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") > max(1, CROWDED // SAMPLE))
+    found = often.orderBy(F.desc("n"), "tok").limit(_LAST).select("tok").toArrow()
     return np.sort(found.column(0).to_numpy().view(np.uint64))
 
 
@@ -266,7 +267,9 @@ def links(docs: DataFrame, marked: DataFrame, sketches: DataFrame) -> DataFrame:
     named = entries.join(known, "node").select("tok", F.struct("n", "node", "comp", "parities").alias("m"))
     again = named.groupBy("tok").agg(F.collect_list("m").alias("met"), F.min("m.comp").alias("least"), F.max("m.comp").alias("most"))
     again = staged(again.where("least < most").select("met"), "shingle-again")
-    strips = again.select(F.explode(F.sequence(F.lit(0), F.size("met") - 1, F.lit(_STRIP))).alias("lo"), "met").repartition(partitions(docs.sparkSession))
+    short = again.where(F.size("met") <= _STRIP).select(F.lit(0).alias("lo"), "met")
+    strips = again.where(F.size("met") > _STRIP).select(F.explode(F.sequence(F.lit(0), F.size("met") - 1, F.lit(_STRIP))).alias("lo"), "met")
+    strips = short.unionByName(strips.repartition(partitions(docs.sparkSession)))
     rest = strips.mapInArrow(_across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     return near.unionByName(_similar(docs, sketches, staged(_possible(rest, sketches), "shingle-rest")))
 

@@ -253,11 +253,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id names its component in ``found``; of rows that share an id one stays, and rows
-    without an id all stay. Rows travel in one struct, so no name of theirs can clash."""
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
-    once = packed.join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id"])
-    return once.unionByName(packed.where("_id is null")).select("_row.*")
+    without an id all stay. Rows travel in one struct, so no name of theirs can clash.
+
+    Joined are the ids that go or repeat, not those that stay: they are fewer, and where Spark finds them small enough to
+    broadcast, no text is shuffled but those of repeated ids.
+    """
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("named"))
+    other = staged(ids.where("n > 1 or not named"), "near-duplicate-ids")
+    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"))
+    once = packed.join(other.select(F.col("doc_id").alias("_id")), "_id", "left_anti")
+    repeated = packed.join(other.where("named").select(F.col("doc_id").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"])
+    return once.unionByName(repeated).select("_row.*")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
