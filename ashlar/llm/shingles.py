@@ -1,14 +1,18 @@
 """Near-duplicate documents by the Jaccard similarity of their word shingles: SimHash first, then an exact join.
 
 A text is the set of its 64-bit shingle hashes; equal sets are one node, so copies cost nothing. Links are decided by
-the whole sets. Candidates come in two rounds.
+the whole sets. Candidates come in three rounds.
 
 *First round*, linear. Operator 10 links the nodes' 64-bit SimHash fingerprints by its pivot distances; besides, each
-node is compared with one more, the one it most often meets (see below) as the smallest of its class of sizes.
+node is compared with two more, those it most often meets (see below) as the smallest of its class of sizes and as the
+one before it by size.
 
-*Second round*, which no similar pair escapes. In any fixed order of all shingles, two sets of similarity ``s`` or more
+*Second round*, linear. Wherever several components of the first meet, each is compared with the one nearest to it by
+the parities below. So a large group of near copies is one component, or nearly, before all pairs are formed.
+
+*Third round*, which no similar pair escapes. In any fixed order of all shingles, two sets of similarity ``s`` or more
 share one of their first ``n - ceil(s * n) + 1`` members each, so only sets that meet at such a shingle can be linked.
-Those of one component of the first round need no look. For the others the parities of the parts of two sets differ in
+Those of one component of the rounds before need no look. For the others the parities of the parts of two sets differ in
 at most as many bits as the sets differ in members. Parities of 512 parts refuse most pairs of short texts where they
 meet, before they are rows; those of as many parts as a set has members refuse most other pairs before whole sets
 travel. The order is by hash, with the most crowded shingles last; which those are changes the cost and never the result.
@@ -40,9 +44,11 @@ CROWDED = 256
 SAMPLE = 16
 _LAST = 200_000
 _STRIP = 512
+_AHEAD = 64
 _PAIRS = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_HEAD = pa.schema([*_PAIR, ("next", pa.bool_())])
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -154,20 +160,62 @@ def _unpacked(packed: bytes) -> np.ndarray:
 
 
 def _to_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From ``met``: each set with the first one of its class of sizes, ``a`` the head."""
-    for batch in slices(batches, 64):
+    """From ``met``: each set with the first one of its class of sizes, and with the one before it; ``b`` is the set."""
+    for batch in slices(batches, 1024):
         lists = batch.column(0)
-        n, node = (lists.flatten().field(k).to_numpy() for k in (0, 1))
-        bounds = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            order = np.lexsort((node[s:e], n[s:e])) + s
-            size, names, at = n[order], node[order], 0
-            while at < len(size):
-                upto = int(np.searchsorted(size, size[at] * 10 // TENTHS, side="right"))
-                if upto > at + 1:
-                    columns = [pa.array(np.full(upto - at - 1, names[at])), pa.array(names[at + 1 : upto])]
-                    yield pa.RecordBatch.from_arrays(columns, schema=_PAIR)
-                at = upto
+        many = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        n, node = (lists.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        own = np.repeat(np.arange(len(many)), many)
+        order = np.lexsort((node, n, own))
+        n, node = n[order], node[order]
+        ends = np.searchsorted(own << 40 | n, own << 40 | n * 10 // TENTHS, side="right")
+        stop = np.cumsum(many)
+        at, first = stop - many, np.zeros(len(n), bool)
+        while len(at):
+            first[at] = True
+            more = ends[at] < stop
+            at, stop = ends[at][more], stop[more]
+        head = np.maximum.accumulate(np.where(first, np.arange(len(n)), 0))
+        after = np.flatnonzero(np.arange(1, len(n)) < ends[:-1]) + 1
+        for before, of, is_next in ((head[~first], np.flatnonzero(~first), False), (after - 1, after, True)):
+            yield pa.RecordBatch.from_arrays([pa.array(node[before]), pa.array(node[of]), pa.array(np.full(len(of), is_next))], schema=_HEAD)
+
+
+def _members(lists: pa.Array) -> tuple[np.ndarray, ...]:
+    """``n, node, comp, bits`` of the members of all lists, each list by size, and which list each is in."""
+    many = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    n, node, comp = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+    bits = np.frombuffer(b"".join(flat.field(3).to_pylist()), np.uint64).reshape(-1, 8)
+    own = np.repeat(np.arange(len(many)), many)
+    order = np.lexsort((node, n, own))
+    return n[order], node[order], comp[order], bits[order], own
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``met``: for each component in a list, its pair with another one whose parities differ least.
+
+    Each set is held against the ``_AHEAD`` that follow it by size, so the work is linear in the list.
+    """
+    for batch in slices(batches, 256):
+        n, node, comp, bits, own = _members(batch.column(0))
+        ends = np.searchsorted(own << 40 | n, own << 40 | n * 10 // TENTHS, side="right")
+        least, partner = np.full(len(n), np.iinfo(np.int64).max), np.zeros(len(n), np.int64)
+        for ahead in range(1, min(_AHEAD, len(n) - 1) + 1):
+            a = np.flatnonzero((np.arange(ahead, len(n)) < ends[:-ahead]) & (comp[ahead:] != comp[:-ahead]))
+            differ = np.bitwise_count(bits[a] ^ bits[a + ahead]).sum(1, dtype=np.int64)
+            may = differ * (10 + TENTHS) <= (n[a] + n[a + ahead]) * (10 - TENTHS)
+            a, differ = a[may], differ[may]
+            for of, other in ((a, a + ahead), (a + ahead, a)):
+                better = differ < least[of]
+                least[of[better]], partner[of[better]] = differ[better], other[better]
+        has = np.flatnonzero(least < np.iinfo(np.int64).max)
+        has = has[np.lexsort((least[has], comp[has], own[has]))]
+        if len(has):
+            new = np.ones(len(has), bool)
+            new[1:] = (comp[has][1:] != comp[has][:-1]) | (own[has][1:] != own[has][:-1])
+            a, b = node[has[new]], node[partner[has[new]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,12 +223,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 64):
         lists = batch.column(1)
         many = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = lists.flatten()
-        n, node, comp = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
-        bits = np.frombuffer(b"".join(flat.field(3).to_pylist()), np.uint64).reshape(-1, 8)
-        own = np.repeat(np.arange(len(many)), many)
-        order = np.lexsort((node, n, own))
-        n, node, comp, bits = n[order], node[order], comp[order], bits[order]
+        n, node, comp, bits, own = _members(lists)
         # sizes that a pair allows, each list apart; first members are those of the strip
         ends = np.searchsorted(own << 40 | n, own << 40 | n * 10 // TENTHS, side="right")
         place = np.arange(len(n)) - np.repeat(np.cumsum(many) - many, many) - np.repeat(batch.column(0).to_numpy().astype(np.int64), many)
@@ -244,6 +287,12 @@ def _crowded(docs: DataFrame) -> np.ndarray:
     return np.sort(found.column(0).to_numpy().view(np.uint64))
 
 
+def _apart(entries: DataFrame) -> DataFrame:
+    """``tok, met``: the members of the shingles at which more than one component meets."""
+    lists = entries.groupBy("tok").agg(F.collect_list(F.struct("n", "node", "comp", "parities")).alias("met"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    return lists.where("least < most").select("tok", "met")
+
+
 def links(docs: DataFrame, marked: DataFrame, sketches: DataFrame) -> DataFrame:
     """``a, b``: enough links between nodes to connect all that are connected.
 
@@ -256,21 +305,27 @@ def links(docs: DataFrame, marked: DataFrame, sketches: DataFrame) -> DataFrame:
     close = by_print.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same)
 
     met = staged(_met(marked), "shingle-met")
-    heads = met.select("met").mapInArrow(_to_heads, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("times"))
-    best = heads.groupBy("b").agg(F.max(F.struct("times", "a")).alias("h")).select(F.col("h.a").alias("a"), "b")
+    heads = met.select("met").mapInArrow(_to_heads, "a long, b long, next boolean").groupBy("a", "b", "next").agg(F.count("*").alias("times"))
+    best = heads.groupBy("b", "next").agg(F.max(F.struct("times", "a")).alias("h")).select(F.col("h.a").alias("a"), "b")
     likely = close.unionByName(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = staged(_possible(likely, sketches), "shingle-first")
     near = staged(_similar(docs, sketches, first), "shingle-near")
 
     known = sketches.join(components(near), "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "parities")
     entries = met.select("tok", F.explode("met").alias("m")).select("tok", "m.n", "m.node")
-    named = entries.join(known, "node").select("tok", F.struct("n", "node", "comp", "parities").alias("m"))
-    again = named.groupBy("tok").agg(F.collect_list("m").alias("met"), F.min("m.comp").alias("least"), F.max("m.comp").alias("most"))
-    again = staged(again.where("least < most").select("met"), "shingle-again")
+    again = staged(_apart(entries.join(known, "node")), "shingle-again")
+
+    close = again.select("met").mapInArrow(_nearest, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    second = staged(_possible(close, sketches), "shingle-second")
+    near = staged(near.unionByName(_similar(docs, sketches, second)), "shingle-nearer")
+
+    entries = again.select("tok", F.explode("met").alias("m")).select("tok", "m.n", "m.node", "m.comp", "m.parities")
+    known = components(near)
+    again = staged(_apart(entries.join(known, "node", "left").withColumn("comp", F.coalesce("root", "comp"))), "shingle-last")
     short = again.where(F.size("met") <= _STRIP).select(F.lit(0).alias("lo"), "met")
     strips = again.where(F.size("met") > _STRIP).select(F.explode(F.sequence(F.lit(0), F.size("met") - 1, F.lit(_STRIP))).alias("lo"), "met")
     strips = short.unionByName(strips.repartition(partitions(docs.sparkSession)))
-    rest = strips.mapInArrow(_across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    rest = strips.mapInArrow(_across, "a long, b long").distinct().join(first.unionByName(second), ["a", "b"], "left_anti")
     return near.unionByName(_similar(docs, sketches, staged(_possible(rest, sketches), "shingle-rest")))
 
 
