@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, language_id, line_dedup, mixing, ogg, packing, pii, simhash, substring_dedup, toxicity
+from . import ann, language_id, lattice, line_dedup, mixing, ogg, packing, pii, simhash, substring_dedup, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
+def op13_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.linked_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ogg_media": op1_ogg_media,
@@ -68,8 +72,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity_fm": op8_toxicity_fm,
         "op9_mix_to_weights": op9_mix_to_weights,
         "op10_simhash_pivot": op10_simhash_pivot,
+        "op13_lattice_near_dedup": op13_lattice_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix_to_weights": mixing.ORACLE_SQL}
+    return {
+        "op9_mix_to_weights": mixing.ORACLE_SQL,
+        "op13_lattice_near_dedup": lattice.ORACLE_SQL,
+    }
