@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, blockmax, language_id, lattice, line_dedup, mixing, ogg, packing, pii, simhash, substring_dedup, toxicity
+from . import ann, blockmax, language_id, lattice, line_dedup, mixing, ogg, packing, pii, simhash, spelling, substring_dedup, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_docs(spark, sf_dir))
+
+
 def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blockmax.ranked(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity_fm": op8_toxicity_fm,
         "op9_mix_to_weights": op9_mix_to_weights,
         "op10_simhash_pivot": op10_simhash_pivot,
+        "op11_spelling_variants": op11_spelling_variants,
         "op12_block_max_search": op12_block_max_search,
         "op13_lattice_near_dedup": op13_lattice_near_dedup,
     }
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op9_mix_to_weights": mixing.ORACLE_SQL,
+        "op11_spelling_variants": spelling.ORACLE_SQL,
         "op12_block_max_search": blockmax.ORACLE_SQL,
         "op13_lattice_near_dedup": lattice.ORACLE_SQL,
     }
