@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, partitions, slices, staged
 
 TOP = 20
-DOCS = 128
-POSTINGS = 1 << 15
+DOCS = 8
+POSTINGS = 1 << 14
 ITEMS = 1024
 TERMS = 200_000
-FIRST = 4
+FIRST = 24
+_BLOCKS = 2048
 _SPLIT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -208,7 +209,7 @@ def _search(blocks: DataFrame, scorer: Scorer) -> DataFrame:
     def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.zeros((0, len(items)), np.int64)
         names = np.zeros((0, len(items)), np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, _BLOCKS):
             kept = np.concatenate([kept, scorer.bounds(batch)])
             names = np.concatenate([names, np.repeat(batch.column("block").to_numpy()[:, None], len(items), 1)])
             order = np.argsort(-kept, axis=0, kind="stable")[:FIRST]
@@ -218,7 +219,7 @@ def _search(blocks: DataFrame, scorer: Scorer) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(np.zeros(len(items), np.int64))
-        for batch in slices(batches, 32):
+        for batch in slices(batches):
             for row, asked in enumerate(batch.column("asked").to_pylist()):
                 postings = scorer.by_term(batch, row)
                 for item in asked:
@@ -228,7 +229,8 @@ def _search(blocks: DataFrame, scorer: Scorer) -> DataFrame:
     bounds = blocks.select("block", "top_terms", "top_shares").mapInArrow(highest, bound_ddl).where("bound > 0")
     leading = bounds.withColumn("n", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("bound"), "block"))).where(F.col("n") <= FIRST)
     asked = leading.groupBy("block").agg(F.collect_list("item").alias("asked"))
-    sampled = blocks.join(asked, "block").select("block", "ids", "sizes", "terms", "shares", "asked").mapInArrow(first, _HIT_DDL)
+    # at most FIRST rows for each of the ITEMS queries of a set, so the broadcast is bounded
+    sampled = blocks.join(F.broadcast(asked), "block").select("block", "ids", "sizes", "terms", "shares", "asked").mapInArrow(first, _HIT_DDL)
     ranked = sampled.withColumn("n", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "at"))).where(F.col("n") == TOP)
     # one number per query of the set
     thresholds = np.zeros(len(items), np.int64)
@@ -237,7 +239,7 @@ def _search(blocks: DataFrame, scorer: Scorer) -> DataFrame:
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(thresholds)
-        for batch in slices(batches):
+        for batch in slices(batches, _BLOCKS):
             bounds = scorer.bounds(batch)
             postings: dict[int, tuple] = {}
             ids: dict[int, list] = {}
