@@ -8,8 +8,11 @@ reranked by exact cosine in double precision.
 *Parameters* are chosen on the driver from ``SETTINGS``, for each length of vectors, by recall and by share of candidates
 on a sample of at most ``SAMPLE`` vectors (those with the smallest seeded hash of their id); every vector is indexed.
 
-*Complete results.* A query that found fewer neighbours than there are, and every query of a length for which no setting
-reaches ``RECALL`` on the sample, is compared with all vectors of its length, in blocks of the same kind.
+*Recall of each query.* How likely a setting finds a neighbour depends on its distance alone, as projections are Gaussian.
+A missed neighbour is nearer than the last one found, so a query whose last neighbour lies where that chance is at least
+``CHANCE`` expects to have found that share of its neighbours. All other queries (outliers, mostly), those that found
+fewer neighbours than there are, and those of a length that the sample does not show or for which no setting reaches
+``RECALL`` on it, are compared with all vectors of their length, in blocks of the same kind.
 
 *Work* is dealt out by blocks: a cell of more than ``BLOCK`` vectors is split into blocks by a hash of the id, its queries
 likewise, and each part of the queries meets each block. A task multiplies the queries of a block with its vectors and
@@ -33,6 +36,7 @@ from .common import arrow_schema, join_spread, staged
 SAMPLE = 2000
 BLOCK = 1024
 RECALL = 0.93
+CHANCE = 0.9
 #: (projections, cell width, tables, probes); the last visits nearly everything and suits any data.
 SETTINGS = (
     (16, 1.0, 8, 16),
@@ -109,6 +113,29 @@ class Hasher:
         return np.stack(out, 1)
 
 
+    def chance(self, distance: float, trials: int = 2000) -> float:
+        """Chance that a query visits the cell of a vector at this distance in some table, by simulated projections."""
+        rng = np.random.default_rng((self.seed, self.k, self.probes))
+        inside, step = rng.uniform(size=(trials, self.k)), rng.normal(size=(trials, self.k)) * distance / self.width
+        moved = np.floor(inside + step).astype(np.int64)
+        ranked = np.argsort(np.concatenate([inside, 1 - inside], 1), axis=1, kind="stable")
+        met = np.zeros(trials, bool)
+        for ranks in perturbations(self.k, self.probes):
+            visited = np.zeros_like(moved)
+            for r in ranks:
+                visited[np.arange(trials), ranked[:, r] % self.k] += np.where(ranked[:, r] < self.k, -1, 1)
+            met |= (visited == moved).all(1)
+        return 1 - (1 - float(met.mean())) ** self.tables
+
+    def sure_cosine(self) -> float:
+        """The smallest cosine at which the chance to find a vector is at least ``CHANCE``; 1 if there is none."""
+        near, far = 0.0, 2.0
+        for _ in range(12):
+            middle = (near + far) / 2
+            near, far = (middle, far) if self.chance(middle) >= CHANCE else (near, middle)
+        return 1 - near * near / 2
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of paired rows, summed in the same order whatever else is in the block."""
     dot = (a * b).sum(1)
@@ -176,9 +203,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     for v in sample:
         by_width.setdefault(len(v), []).append(v)
     chosen = {width: choose(np.array(some, float), k) for width, some in by_width.items()}
-    exact = [width for width, hasher in chosen.items() if hasher is None]
+    sure = {width: hasher.sure_cosine() for width, hasher in chosen.items() if hasher}
     usual = Hasher(*SETTINGS[-1])
-    hashers = {width: hasher or usual for width, hasher in chosen.items()}
+    hashers = {width: hasher for width, hasher in chosen.items() if hasher}
 
     def by_length(batch: pa.RecordBatch, column: str):
         sizes = batch.column(column).value_lengths().to_numpy(zero_copy_only=False)
@@ -249,7 +276,10 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     lengths = classes.groupBy(F.size("v").alias("width")).agg(F.sum(F.size("ids")).alias("members"))
     held = asked.select("c", F.size("v").alias("width")).join(top, "c", "left").join(lengths, "width")
     short = F.coalesce(F.size("best"), F.lit(0)) < F.least(F.lit(k + 1), "members")
-    again = staged(held.where(short | F.col("width").isin(exact)).select(F.col("width").cast("long").alias("cell"), "c"), "vector-again")
+    # a length outside the sample has no such cosine, so its queries are doubtful whatever they found
+    certain = F.element_at(F.create_map(*[F.lit(x) for pair in sure.items() for x in pair]), F.col("width")) if sure else F.lit(None).cast("double")
+    doubtful = (F.col("members") > k + 1) & ~F.coalesce(F.element_at("best", -1)["s"] >= certain, F.lit(False))
+    again = staged(held.where(short | doubtful).select(F.col("width").cast("long").alias("cell"), "c"), "vector-again")
     if not again.isEmpty():
         whole = staged(classes.select(F.size("v").cast("long").alias("cell"), "c"), "vector-every")
         top = top.join(again, "c", "left_anti").unionByName(search(whole, again, "exact"))

@@ -76,9 +76,36 @@ def test_rare_lengths_and_outliers_are_complete(spark):
     want, got = exact(rows), found(ann.nearest(spark.createDataFrame(rows, SCHEMA)))
     assert {q: len(w) for q, w in want.items()} == {q: len(g) for q, g in got.items()}
     assert [i for i, _ in got[3000]] == [i for i, _ in want[3000]] == [3001, 3003, 3002]
+    recall = {q: len({i for i, _ in got[q]} & {i for i, _ in w}) / len(w) for q, w in want.items()}
+    for lo, hi in ((0, 3000), (3000, 10_000), (10_000, 20_000), (20_000, 30_000)):
+        assert np.mean([r for q, r in recall.items() if lo <= q < hi]) >= 0.9
+
+
+def test_lengths_that_the_sample_misses_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 50)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist(), 0, "") for i in range(1, 2000)]
+    rows += [(5000 + 10 * i, rng.normal(size=9).astype(np.float32).tolist(), 0, "") for i in range(40)]
+    want, got = exact(rows), found(ann.nearest(spark.createDataFrame(rows, SCHEMA)))
+    assert {q: [i for i, _ in w] for q, w in want.items() if q >= 5000} == {q: [i for i, _ in g] for q, g in got.items() if q >= 5000}
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in w}) / len(w) for q, w in want.items()]) >= 0.9
 
 
+def test_chance_agrees_with_drawn_tables():
+    """The simulated chance is what real projections of real pairs at a distance give."""
+    rng = np.random.default_rng(9)
+    u, w = rng.normal(size=(2, 4000, 20))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    w -= (w * u).sum(1)[:, None] * u
+    w /= np.linalg.norm(w, axis=1)[:, None]
+    for setting in ann.SETTINGS[::3]:
+        hasher = ann.Hasher(*setting)
+        for cosine in (0.5, 0.9):
+            other = cosine * u + np.sqrt(1 - cosine**2) * w
+            met = np.any([(hasher.probed(u, t) == hasher.cells(other, t)[:, None]).any(1) for t in range(hasher.tables)], axis=0)
+            assert abs(met.mean() - hasher.chance(np.sqrt(2 - 2 * cosine))) < 0.05
+
+
 def test_exact_where_no_setting_reaches_the_recall(spark, monkeypatch):
     monkeypatch.setattr(ann, "RECALL", 1.1)
     rng = np.random.default_rng(7)
