@@ -14,8 +14,8 @@ and neither rare nor frequent runs are left out. More copies of a passage never
 *Alignment.* What travels is not the documents but their shared runs, with their positions in both. Lines with one
 position in both are anchors, the longest increasing run of anchors is kept, and the regions between are aligned in the
 same way, in the end by an exact longest common subsequence. Matches without a gap in either document are a block.
-What is left is aligned again, until no block comes out, so blocks that were moved go as well. All is judged on the
-input, so the first document that has a passage always keeps it.
+What is left of the later document is aligned again with the whole earlier one, until no block comes out, so blocks that
+were moved or repeated go as well, and the first holder does for all earlier ones. All is judged on the input, so the first document that has a passage always keeps it.
 
 *Hot passages.* A run that a third of all documents hold is one entry per task before its shuffle, and the join that
 tells its holders who the first one is splits it (``common.join_spread``). Runs are found by one 64-bit hash of their
@@ -158,18 +158,28 @@ def patience(later: dict[int, int], earlier: dict[int, int]) -> list[tuple[int,
 def common_blocks(later: dict[int, int], earlier: dict[int, int], words: dict[int, int], least: int = MIN_WORDS) -> list[int]:
     """Positions in ``later`` of the aligned blocks with at least ``least`` words.
 
-    What no block has taken in either document is aligned again; where that gives only blocks of fewer words, without
-    those.
+    A block of the earlier document serves every repeat of it in the later one. What no block has taken there is aligned
+    again; where that gives only blocks of fewer words, without those.
     """
-    left, other, out = dict(later), dict(earlier), []
-    while matches := patience(left, other):
+    left, out = dict(later), []
+    while matches := patience(left, earlier):
         cuts = [k for k in range(1, len(matches)) if matches[k] != (matches[k - 1][0] + 1, matches[k - 1][1] + 1)]
         blocks = [matches[s:e] for s, e in zip([0, *cuts], [*cuts, len(matches)], strict=True)]
         whole = [b for b in blocks if sum(words[p] for p, _ in b) >= least]
         for block in whole or blocks:
-            for p, q in block:
-                del left[p], other[q]
+            for p, _ in block:
+                del left[p]
         out += [p for block in whole for p, _ in block]
+        # what repeats a block goes with it, so that each round meets a block of its own
+        places: dict[int, list[int]] = {}
+        for p, line in left.items():
+            places.setdefault(line, []).append(p)
+        for lines in {tuple(later[p] for p, _ in block) for block in whole}:
+            for start in places.get(lines[0], ()):
+                if all(left.get(start + k) == line for k, line in enumerate(lines)):
+                    for k in range(len(lines)):
+                        del left[start + k]
+                        out.append(start + k)
     return sorted(out)
 
 

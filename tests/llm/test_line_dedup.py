@@ -73,6 +73,9 @@ def test_patience():
     earlier = {0: 9, 1: 1, 2: 2, 3: 3, 8: 4, 9: 4}
     assert ld.patience(later, earlier) == [(0, 1), (1, 2), (2, 3), (5, 8), (6, 9)]
     assert ld.common_blocks(later, earlier, dict.fromkeys(later, 2), 5) == [0, 1, 2]
+    assert ld.common_blocks({0: 1, 1: 2, 4: 1, 5: 2, 9: 1, 11: 2}, {3: 1, 4: 2}, dict.fromkeys(range(12), 3), 5) == [0, 1, 4, 5]
+    many = ld.common_blocks(dict.fromkeys(range(200_000), 7), {3: 7}, dict.fromkeys(range(200_000), 6), 5)
+    assert many == list(range(200_000))
     assert ld.patience({}, {1: 1}) == []
 
 
@@ -110,7 +113,8 @@ def test_refrains_and_line_ends(spark):
     r, s = "the refrain has five words", "the second has five words"
     docs = [(1, "\n".join([s, r, s, r])), (2, "\n".join([r, s, r, s, r, s])), (3, "a line with a return\r\nand one more of words\t"), (4, "own\na line with a return\n and one more of words")]
     got = {x.doc_id: x.text for x in ld.dedup_lines(spark.createDataFrame([(i, t, "c", 1) for i, t in docs], SCHEMA)).collect()}
-    assert got[1] == docs[0][1] and len(got[2].split("\n")) == 2
+    # a block serves all its repeats in a later document, so the third refrain goes with the other two
+    assert got[1] == docs[0][1] and got[2] == ""
     assert got[3] == docs[2][1] and got[4] == "own"
 
 
@@ -124,6 +128,31 @@ def test_more_holders_lose_the_same(spark):
         assert all(got[k] == f"own {k} words\nend {k} words" for k in range(2, holders + 1))
 
 
+def test_repeats_go_however_many_hold_them(spark):
+    line = "one line of seven words for all"
+    two, three = f"own two here\n{line}\nmid two\n{line}", f"{line}\nown three here\n{line}"
+    for docs in ([(2, two), (3, three)], [(1, line), (2, two), (3, three)], [(0, line + "\nx"), (1, line), (2, two), (3, three)]):
+        got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame([(i, t, "c", 1) for i, t in docs], SCHEMA)).collect()}
+        assert got[3] == "own three here" and got == {i: slow(docs)[i, t] for i, t in docs}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repeats_inside_documents_against_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    pool = [f"passage number {k} of five" for k in range(12)]
+    docs = []
+    for i in range(60):
+        lines = [f"own {i} {k}" for k in range(3)]
+        for x in rng.sample(pool, rng.randrange(4)):
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                lines.insert(rng.randrange(len(lines) + 1), x)
+        docs.append((i, "\n".join(lines)))
+    got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame([(i, t, "c", 1) for i, t in docs], SCHEMA).repartition(3)).collect()}
+    want = slow(docs)
+    count = lambda i, text: [text.split("\n").count(x) for x in pool]
+    assert all(count(i, got[i]) == count(i, want[i, t]) for i, t in docs)
+
+
 def test_moved_blocks_go(spark):
     a, b = "the first block has words", "the other block has words too"
     docs = [(1, f"{b}\nx\n{a}"), (2, f"{a}\ny\n{b}"), (3, f"{a}\nz\n{b}")]
