@@ -335,6 +335,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and wordless texts are one node, which is like no other; rows without an id join components without
     naming them; repeated rows come back repeated; an empty table gives an empty result; other columns are ignored.
     """
+    return _named(docs, id_col, text_col).select("doc_id", "component_id")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, txt, comp, component_id``: with a hash of the text and the component itself."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("txt"), F.col(text_col).alias("text"))
     marked = staged(_sketched(texts, _crowded(texts)), "shingle-nodes")
     distinct = staged(marked.groupBy("node").agg(F.min("doc_id").alias("first")), "shingle-distinct")
@@ -342,11 +347,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = staged(components(links(texts, marked, sketches)), "shingle-stars")
     both = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     smallest = both.join(distinct, "node").groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = both.join(smallest, "root").select("node", "component_id")
-    return marked.select("doc_id", "node").join(distinct, "node").join(groups, "node", "left").select("doc_id", F.coalesce("component_id", "first").alias("component_id"))
+    groups = both.join(smallest, "root").select("node", "root", "component_id")
+    return marked.select("doc_id", "txt", "node").join(distinct, "node").join(groups, "node", "left").select("doc_id", "txt", F.coalesce("root", "node").alias("comp"), F.coalesce("component_id", "first").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names its component, with all columns; of rows that share an id one stays, and
-    rows without an id all stay. An empty table gives an empty result."""
-    return keep_first(docs, near_duplicates(docs, id_col, text_col), id_col)
+    """One row of ``docs`` for each component, that of its smallest id, with all columns. An id with two texts is two
+    documents, of equal rows one stays, rows without an id all stay. An empty table gives an empty result."""
+    return keep_first(docs, _named(docs, id_col, text_col), id_col, text_col)

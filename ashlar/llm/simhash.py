@@ -66,14 +66,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null, empty and wordless texts give 0; null ids stay null; an empty table gives an empty result; other columns are
     ignored, whatever their names.
     """
-    schema = arrow_schema("doc_id long, fp long")
+    return _marked(docs, id_col, text_col, shingle).select("doc_id", "fp")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``doc_id, txt, fp``: with a hash of the text, by which its row is found again."""
+    ddl = "doc_id long, txt long, fp long"
+    schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(_signed(found))], schema=schema)
+            found = [fingerprint(t.as_py(), shingle) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_signed(found))], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(text_col)).mapInArrow(run, ddl)
 
 
 def references(pivots: int = PIVOTS, seed: int = 7) -> np.ndarray:
@@ -236,40 +242,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     back as often as they came; rows without ``doc_id`` keep a null id and join components without naming them. An
     empty table gives an empty result. Other columns are ignored, whatever their names.
     """
-    marked = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    named = _named(docs, id_col, text_col, shingle, most)
+    return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3, most: int = 2) -> DataFrame:
+    """``doc_id, txt, fp, comp, component_id``: with the component itself, as two may bear one name where ids clash."""
+    marked = staged(_marked(docs, id_col, text_col, shingle), "fingerprints")
     distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     stars = components(links(distinct, most))
     named = stars.join(distinct.withColumnRenamed("fp", "node"), "node").select("root", "node", "first")
     own = stars.select("root").distinct().join(distinct.select(F.col("fp").alias("root"), "first"), "root").select("root", F.col("root").alias("node"), "first")
     members = staged(named.unionByName(own), "members")
     smallest = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = members.join(smallest, "root").select(F.col("node").alias("fp"), "component_id")
-    return (
-        marked.join(distinct, "fp")
-        .join(groups, "fp", "left")
-        .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "first").alias("component_id"))
-    )
+    groups = members.join(smallest, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    return marked.join(distinct, "fp").join(groups, "fp", "left").select("doc_id", "txt", "fp", F.coalesce("root", "fp").alias("comp"), F.coalesce("component_id", "first").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id names its component in ``found``; of rows that share an id one stays, and rows
-    without an id all stay. Rows travel in one struct, so no name of theirs can clash.
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component ``comp`` of ``found`` (``doc_id, txt, comp, component_id``): that of its
+    smallest id, and of several texts or rows with this id the one with the smallest hash. Rows without an id all stay.
 
-    Joined are the ids that go or repeat, not those that stay: they are fewer, and where Spark finds them small enough to
-    broadcast, no text is shuffled but those of repeated ids.
+    Rows are told apart by id and text, so a text that is like no other stays even if its id is that of a copy. Joined
+    are the rows that go or repeat, not those that stay: they are fewer, and where Spark finds them small enough to
+    broadcast, no text is shuffled but those of repeated rows. Rows travel in one struct, so no name of theirs can clash.
     """
-    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("named"))
-    other = staged(ids.where("n > 1 or not named"), "near-duplicate-ids")
-    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"))
-    once = packed.join(other.select(F.col("doc_id").alias("_id")), "_id", "left_anti")
-    repeated = packed.join(other.where("named").select(F.col("doc_id").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"])
-    return once.unionByName(repeated).select("_row.*")
+    rows = staged(found.where("doc_id is not null").groupBy("doc_id", "txt").agg(F.count("*").alias("n"), F.first("comp").alias("comp"), F.first("component_id").alias("component_id")), "near-duplicate-rows")
+    named = rows.where("doc_id = component_id").groupBy("doc_id", "comp").agg(F.min("txt").alias("txt"), F.lit(True).alias("stays"))
+    other = staged(rows.join(named, ["doc_id", "comp", "txt"], "left").where("n > 1 or stays is null").select(F.col("doc_id").alias("_id"), F.col("txt").alias("_txt"), "stays"), "near-duplicate-ids")
+    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_txt"))
+    once = packed.join(other.select("_id", "_txt"), ["_id", "_txt"], "left_anti")
+    repeated = packed.join(other.where("stays").select("_id", "_txt"), ["_id", "_txt"], "left_semi").groupBy("_id", "_txt").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return once.select("_row").unionByName(repeated.select("_row")).select("_row.*")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names its component: one document of each group stays, with all its columns.
+    """One document of each group stays, with all its columns: that of the smallest id.
 
-    Of rows that share an id one stays; rows without an id all stay, as nothing names them. Null, empty and wordless
-    texts are one group. An empty table gives an empty result.
+    Of rows that repeat an id and a text one stays; an id with two texts is two documents; rows without an id all stay,
+    as nothing names them. Null, empty and wordless texts are one group. An empty table gives an empty result.
     """
-    return keep_first(docs, near_duplicates(docs, id_col, text_col), id_col)
+    return keep_first(docs, _named(docs, id_col, text_col), id_col, text_col)

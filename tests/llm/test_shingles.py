@@ -76,6 +76,21 @@ def test_stage_links_at_similarity(spark):
     assert shingles.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_clashing_ids_lose_no_text(spark):
+    """A text that is like no other stays, even where its id is that of a near copy; of equal rows one stays."""
+    a = " ".join(f"a{k}" for k in range(60))
+    b, near = " ".join(f"b{k}" for k in range(60)), a + " more"
+    rows = [(5, a, 1), (5, b, 2), (6, near, 3), (5, a, 1), (7, b + " end", 4), (8, None, 5), (8, "", 6), (9, "  ", 7)]
+    from ashlar.llm import simhash
+
+    for drop in (shingles.drop_near_duplicates, simhash.drop_near_duplicates):
+        kept = drop(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+        texts = sorted((r.doc_id, r.text or "") for r in kept)
+        if drop is shingles.drop_near_duplicates:
+            assert texts == [(5, a), (5, b), (8, "")]
+        assert {(5, a), (5, b)} <= set(texts) and len([t for t in texts if t == (5, a)]) == 1
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 63, 9000, np.uint64)
