@@ -13,6 +13,7 @@ from .operators.encode import EncodeConfig, fit_encoder
 from .operators.explain import TableBank, explain, merged_axes
 from .operators.grids import GridConfig, build_grid
 from .operators.model import Axis, InvalidParameter, Model
+from .operators.refit import CellRefit, Selection, fit_model
 from .operators.split import SplitConfig
 from .session import staged
 from .sources.frames import column_kinds, training_rows
@@ -22,16 +23,21 @@ class BoostedRegressor:
     """Depth-three symmetric trees on binned columns, with exact tables.
 
     ``key`` names a unique integer column: folds, samples and hold-outs key on it, so results do not depend on the
-    partitioning. Knobs not named here are fields of ``BoostConfig`` and ``SplitConfig``.
+    partitioning. Knobs not named here are fields of ``BoostConfig`` and ``SplitConfig``. With ``n_bags`` bags are
+    averaged, and ``cell_refit`` corrects the average on what the bags left out; with ``selection`` the settings of a grid
+    are fitted and the best mixture of them is kept.
     """
 
-    def __init__(self, key: str, features: list[str], objective: str = "squared_error", categorical: list | None = None, monotone: dict[str, int] | list[int] | None = None, max_bin: int = 254, encode: EncodeConfig = EncodeConfig(), tweedie_rho: float = 1.5, **knobs) -> None:
+    def __init__(self, key: str, features: list[str], objective: str = "squared_error", categorical: list | None = None, monotone: dict[str, int] | list[int] | None = None, max_bin: int = 254, encode: EncodeConfig = EncodeConfig(), tweedie_rho: float = 1.5, cell_refit: CellRefit | None = None, selection: Selection | None = None, **knobs) -> None:
         names = SplitConfig.__dataclass_fields__
         self.split = SplitConfig(**{k: v for k, v in knobs.items() if k in names})
         self.config = BoostConfig(**{k: v for k, v in knobs.items() if k not in names})
         self.key, self.features, self.objective, self.categorical = key, features, objective, categorical
         self.monotone = dict(zip(features, monotone, strict=True)) if isinstance(monotone, list) else dict(monotone or {})
         self.grid, self.encode, self.rho = GridConfig(max_bin), encode, tweedie_rho
+        self.cell_refit, self.selection = cell_refit, selection
+        if cell_refit is not None and self.config.n_bags < 2:
+            raise InvalidParameter("a cell refit needs n_bags >= 2, for residuals that no tree has seen")
         if any(v not in (-1, 0, 1) for v in self.monotone.values()) or set(self.monotone) - set(features):
             raise InvalidParameter("monotone constraints are -1, 0 or 1 for known features")
         self.model: Model | None = None
@@ -63,7 +69,7 @@ class BoostedRegressor:
         binned = score.binned_frame(rows, train_axes, ["rid", "y", "w", "off"])
         signs = {i: self.monotone[a.name] for i, a in enumerate(axes) if self.monotone.get(a.name)}
         config = replace(self.config, split=replace(self.split, monotone=signs))
-        self.model = Booster(axes, self.objective, config, self.rho).fit(binned)
+        self.model = fit_model(Booster(axes, self.objective, config, self.rho), binned, self.cell_refit, self.selection)
         self.model.class_labels = labels
         return self
 

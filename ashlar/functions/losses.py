@@ -69,13 +69,17 @@ class Loss:
         row = df.agg(
             F.sum(weight).alias("w"), F.sum(weight * F.col(y)).alias("wy"), F.sum(weight * (F.col(y) - offset)).alias("wd"), F.sum(weight * F.exp(offset)).alias("we")
         ).first()
-        if not row["w"] or row["w"] <= 0:
+        return self.start_from(*row)
+
+    def start_from(self, w: float, wy: float, wd: float, we: float) -> float:
+        """The same from the sums of weights, weighted targets, targets less offsets, and exponentials of offsets."""
+        if not w or w <= 0:
             raise LossError("weights sum to zero")
         if self.link == "identity":
-            return row["wd"] / row["w"]
+            return wd / w
         if self.link == "log":
-            return math.log(max(row["wy"] / row["we"], PROBABILITY_FLOOR))
-        p = row["wy"] / row["w"]
+            return math.log(max(wy / we, PROBABILITY_FLOOR))
+        p = wy / w
         if not 0 < p < 1:
             raise LossError("both classes are needed")
         return math.log(p / (1 - p))

@@ -46,36 +46,52 @@ def subtract(parent: DataFrame, child: DataFrame) -> DataFrame:
 
 
 def arrow_histogram(binned: DataFrame, width: int, leaves: int, bins: int, state: Callable[[dict[str, np.ndarray]], tuple], unit: float | None = None) -> np.ndarray:
-    """Sums ``[leaf, axis, bin, (g, h, w, n)]`` on the driver, at most ``leaves * width * bins`` rows of them.
+    """Sums ``[leaf, axis, bin, (g, h, w, n)]`` on the driver: ``arrow_histograms`` of one part with all its columns."""
 
-    ``state`` turns a batch's columns into (bin columns, leaf, g, h, w); it holds whatever trees the scores need, so no
-    lineage grows. Each task sums its rows in numpy and sends one row per cell. With a ``unit``, a bound on |g| and
-    h, gradients are rounded to 2**-30 of it: their sums are whole numbers, the same however the rows are dealt.
+    def part(batch: dict[str, np.ndarray]) -> tuple:
+        columns, *rest = state(batch)
+        return dict(enumerate(columns)), *rest
+
+    return arrow_histograms(binned, width, [leaves], bins, [part], unit)[0]
+
+
+def arrow_histograms(binned: DataFrame, width: int, leaves: list[int], bins: int, states: list[Callable[[dict[str, np.ndarray]], tuple]], unit: float | None = None) -> list[np.ndarray]:
+    """Sums ``[leaf, axis, bin, (g, h, w, n)]`` of several parts from one reading of the rows.
+
+    Each of ``states`` turns a batch's columns into (bin columns by axis, leaf, g, h, w), leaf -1 leaving a row out; it holds
+    whatever trees the scores need, so no lineage grows. Each task sums its rows in numpy and sends one row per cell; at
+    most ``sum(leaves) * width * bins`` come to the driver. With a ``unit``, a bound on |g| and h, gradients are rounded
+    to 2**-30 of it: their sums are whole numbers, the same however the rows are dealt.
     """
     grain = None if unit is None else unit / (1 << 30)
     ddl = "cell int, g double, h double, w double, n long"
     schema = arrow_schema(ddl)
+    firsts = np.concatenate(([0], np.cumsum(leaves))) * width * bins
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, leaves * width * bins))
+        total = np.zeros((4, firsts[-1]))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns, leaf, g, h, w = state({n: c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns, strict=True)})
-            used = leaf >= 0
-            if grain is not None:
-                g, h = np.rint(g / grain), np.rint(h / grain)
-            for a, column in enumerate(columns):
-                at = ((leaf * width + a) * bins + column)[used]
-                for k, value in enumerate((g, h, w, None)):
-                    total[k] += np.bincount(at, None if value is None else value[used], total.shape[1])
+            data = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+            for first, many, state in zip(firsts, leaves, states, strict=False):
+                columns, leaf, g, h, w = state(data)
+                used = np.flatnonzero(leaf >= 0)
+                leaf, g, h, w = leaf[used], g[used], h[used], w[used]
+                if grain is not None:
+                    g, h = np.rint(g / grain), np.rint(h / grain)
+                size = many * width * bins
+                for a, column in columns.items():
+                    at = (leaf * width + a) * bins + column[used]
+                    for k, value in enumerate((g, h, w, None)):
+                        total[k, first : first + size] += np.bincount(at, value, size)
         live = np.flatnonzero(total[3])
         yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), *[pa.array(total[k][live]) for k in range(3)], pa.array(total[3][live].astype(np.int64))], schema=schema)
 
     sums = binned.mapInArrow(run, ddl).groupBy("cell").agg(*[F.sum(F.col(c).cast(DECIMAL)).cast("double").alias(c) for c in ("g", "h", "w")], F.sum("n").alias("n"))
     table = sums.toArrow()
-    out = np.zeros((leaves * width * bins, 4))
+    out = np.zeros((firsts[-1], 4))
     at = table.column("cell").to_numpy()
     for k, c in enumerate(("g", "h", "w", "n")):
         out[at, k] = table.column(c).to_numpy() * (grain if grain is not None and k < 2 else 1)
-    return out.reshape(leaves, width, bins, 4)
+    return [out[lo:hi].reshape(-1, width, bins, 4) for lo, hi in zip(firsts[:-1], firsts[1:], strict=True)]

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ashlar.operators import explain, refit, score
+from ashlar.operators import explain, refit, ridge, score
 from ashlar.operators.boost import BoostConfig, Booster
 from ashlar.operators.model import Axis, InvalidParameter
 
@@ -59,7 +59,7 @@ def test_many_cells_keep_their_pairs(spark, monkeypatch):
     rows, axes = binned(spark)
     model = Booster(axes, config=BoostConfig(n_trees=3, learning_rate=0.4)).fit(rows)
     joint = refit.cell_correction(rows, model, base=1.0, sweeps=3)
-    monkeypatch.setattr(refit, "JOINT_CELLS", 1)
+    monkeypatch.setattr(ridge, "JOINT_PAIRS", 1)
     steps = refit.cell_correction(rows, model, base=1.0, sweeps=3)
     assert [c.axes for c in steps.corrections] == [c.axes for c in joint.corrections] and any(len(c.axes) == 2 for c in steps.corrections)
     for a, b in zip(steps.corrections, joint.corrections, strict=True):
