@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import arrow_schema
 from .prefix import running_sums
 
 
@@ -71,84 +74,134 @@ def quantile_borders(distinct: DataFrame, max_bin: int) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Split:
-    """Where an interval of values is cut: its weight, the border, and the least value of the upper part."""
+class Interval:
+    """A run of distinct values ``[start, end)`` with the running weight and rows before it and up to its end."""
+
+    start: float
+    end: float
+    low: float
+    high: float
+    first: int
+    last: int
+
+    @property
+    def mass(self) -> float:
+        return self.high - self.low
+
+
+@dataclass(frozen=True)
+class Cut:
+    """Where an interval is cut: the border, and the two parts."""
 
-    mass: float
     border: float
-    upper: float
+    lower: Interval
+    upper: Interval
 
 
-def interval_splits(running: DataFrame, spans: list[tuple[float, float]]) -> dict[tuple[float, float], Split]:
-    """For each span ``[low, high)`` with two distinct values or more, its cut at the boundary nearest to half its weight.
+def cut_intervals(running: DataFrame, asked: list[Interval]) -> list[Cut | None]:
+    """Each interval's cut at the boundary of values nearest to half its weight, None if it has a single value; one job.
 
     ``running`` holds distinct values ``x`` with weight ``w``, rows ``n`` and the running sums ``cum`` and ``rows``. The
-    row in which the span's running weight reaches the half lies in the run of one value; the run's nearer end in rows
-    is the boundary, the upper one at a tie, and the border is the float midpoint of the values beside it. A row per
-    span comes to the driver; at most ``max_bin`` spans are asked for.
+    row in which an interval's running weight reaches the half lies in the run of one value, whose rows count alike (their
+    mean weight each); the run's nearer end in rows is the boundary, the upper one at a tie, and the border is the float
+    midpoint of the values beside it. A task sends at most three values per interval: the last below the half and the
+    first two from it on.
     """
-    which = F.lit(None).cast("int")
-    for k, (low, high) in enumerate(spans):
-        which = F.when((F.col("x") >= low) & (F.col("x") < high), F.lit(k)).otherwise(which)
-    inside = running.withColumn("k", which).where("k is not null")
-
-    def pick(values: dict[int, float]) -> Column:
-        return F.element_at(F.create_map(*[F.lit(v) for pair in values.items() for v in pair]), F.col("k"))
-
-    start, end = F.col("cum") - F.col("w"), F.col("rows") - F.col("n")
-    sums = inside.groupBy("k").agg(F.count("*").alias("c"), F.min(start).alias("low"), F.max("cum").alias("high"), F.min(end).alias("first"), F.max("rows").alias("last"))
-    whole = {r["k"]: r for r in sums.where("c > 1").collect()}
-    if not whole:
-        return {}
-    half = {k: float(r["low"] + (r["high"] - r["low"]) * 0.5) for k, r in whole.items()}
-    open_ = inside.where(F.col("k").isin(list(whole)))
-    runs = {r["k"]: r["r"] for r in open_.where(F.col("cum") >= pick(half)).groupBy("k").agg(F.min(F.struct("x", "cum", "w", "rows", "n")).alias("r")).collect()}
-    at = {k: float(r["x"]) for k, r in runs.items()}
-    beside = open_.groupBy("k").agg(F.max(F.when(F.col("x") < pick(at), F.col("x"))).alias("below"), F.min(F.when(F.col("x") > pick(at), F.col("x"))).alias("above")).collect()
-    out = {}
-    for r in beside:
-        k, run = r["k"], runs[r["k"]]
-        each = run["w"] / run["n"]
-        reached = run["rows"] - run["n"] + (math.ceil((half[k] - (run["cum"] - run["w"])) / each) if each > 0 else 0)
-        reached = min(max(reached, whole[k]["first"] + 1), whole[k]["last"] - 1)
-        up, down = run["rows"] - reached, reached - (run["rows"] - run["n"])
-        if r["above"] is not None and (r["below"] is None or up <= down):
-            low, high = run["x"], r["above"]
+    order = np.argsort([i.start for i in asked], kind="stable")
+    starts, ends = np.array([asked[k].start for k in order]), np.array([asked[k].end for k in order])
+    half = np.array([asked[k].low + asked[k].mass * 0.5 for k in order])
+    ddl = "k int, above boolean, x double, w double, n long, cum double, rows long"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below: dict[int, tuple] = {}
+        above: dict[int, list[tuple]] = {}
+        for batch in batches:
+            x, w, n, cum, rows = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            k = np.searchsorted(starts, x, side="right") - 1
+            inside = np.flatnonzero((k >= 0) & (x < ends[k]))
+            inside = inside[np.lexsort((x[inside], k[inside]))]
+            for rank, lo, hi in zip(*_runs(k[inside]), strict=True):
+                own = inside[lo:hi]
+                at = int((cum[own] < half[rank]).sum())
+                told = [(x[i], w[i], n[i], cum[i], rows[i]) for i in own[max(at - 1, 0) : at + 2]]
+                if at:
+                    below[rank] = max(below.get(rank, told[0]), told[0])
+                    told = told[1:]
+                above[rank] = sorted(above.get(rank, []) + told)[:2]
+        found = [(rank, False, *v) for rank, v in below.items()] + [(rank, True, *v) for rank, some in above.items() for v in some]
+        columns = zip(*found, strict=True) if found else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array([y.item() if isinstance(y, np.generic) else y for y in c], t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+    value = F.struct("x", "w", "n", "cum", "rows")
+    partial = running.select("x", "w", "n", "cum", "rows").mapInArrow(run, ddl)
+    merged = partial.groupBy("k").agg(F.max(F.when(~F.col("above"), value)).alias("below"), F.slice(F.array_sort(F.collect_list(F.when(F.col("above"), value))), 1, 2).alias("above"))
+    out: list[Cut | None] = [None] * len(asked)
+    for r in merged.collect():
+        whole = asked[order[r["k"]]]
+        if not r["above"]:
+            continue  # the weights add up to less than half only where they are all zero
+        at, below, above = r["above"][0], r["below"], r["above"][1] if len(r["above"]) > 1 else None
+        if below is None and above is None:
+            continue
+        each = at["w"] / at["n"]
+        before, weight_before = at["rows"] - at["n"], at["cum"] - at["w"]
+        reached = before + (math.ceil((whole.low + whole.mass * 0.5 - weight_before) / each) if each > 0 else 0)
+        reached = min(max(reached, whole.first + 1), whole.last - 1)
+        if above is not None and (below is None or at["rows"] - reached <= reached - before):
+            low, high, cum, rows = at["x"], above["x"], at["cum"], at["rows"]
         else:
-            low, high = r["below"], run["x"]
-        out[spans[k]] = Split(float(whole[k]["high"] - whole[k]["low"]), float(np.float32((low + high) * 0.5)), float(high))
+            low, high, cum, rows = below["x"], at["x"], weight_before, before
+        lower = Interval(whole.start, high, whole.low, cum, whole.first, rows)
+        upper = Interval(high, whole.end, cum, whole.high, rows, whole.last)
+        out[order[r["k"]]] = Cut(float(np.float32((low + high) * 0.5)), lower, upper)
     return out
 
 
+def _runs(k: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Value, start and end of each run of equal numbers."""
+    new = np.flatnonzero(np.diff(k, prepend=-1)) if len(k) else np.zeros(0, np.int64)
+    return k[new].tolist(), new.tolist(), [*new[1:].tolist(), len(k)] if len(new) else []
+
+
+def _whole_intervals(running: DataFrame, borders: list[float]) -> list[Interval]:
+    """The intervals between the borders that hold values: a row for each comes to the driver."""
+    cuts = F.array(*[F.lit(float(b)) for b in borders]) if borders else F.array().cast("array<double>")
+    which = F.size(F.filter(cuts, lambda b: b <= F.col("x")))
+    edges = [-math.inf, *borders, math.inf]
+    sums = running.groupBy(which.alias("k")).agg(
+        F.min(F.col("cum") - F.col("w")).alias("low"), F.max("cum").alias("high"), F.min(F.col("rows") - F.col("n")).alias("first"), F.max("rows").alias("last")
+    )
+    return [Interval(edges[r["k"]], edges[r["k"] + 1], r["low"], r["high"], r["first"], r["last"]) for r in sums.orderBy("k").collect()]
+
+
 def refill(borders: np.ndarray, distinct: DataFrame, max_bin: int) -> np.ndarray:
     """Spends what duplicates left of the budget: cuts the heaviest interval near its mass median, again and again.
 
-    ``distinct`` has ``x, w, n``. All intervals that are not known yet are measured in one round of jobs, exactly and
-    whatever the number of distinct values; the driver sees a row per interval.
+    ``distinct`` has ``x, w, n``. A part weighs no more than its whole, so the cuts made are those of the heaviest intervals
+    of the tree of all cuts. Each wave asks in one job for the cuts of all intervals among the heaviest in sight, the
+    parts of those just cut included: as many waves as that tree is deep, about the logarithm of the bins. The driver sees
+    a few values per interval, whatever the number of distinct values.
     """
     found = sorted(borders.tolist())
-    if len(found) >= max_bin - 1:
+    budget = max_bin - 1 - len(found)
+    if budget <= 0:
         return np.array(found)
     running = running_sums(distinct, ["x"], {"cum": F.col("w"), "rows": F.col("n")}).cache()
     try:
-        edges = [-math.inf, *found, math.inf]
-        spans = list(zip(edges[:-1], edges[1:], strict=True))
-        known: dict[tuple[float, float], Split | None] = {}
-        made = len(found)
-        while made < max_bin - 1:
-            if unknown := [s for s in spans if s not in known]:
-                cuts = interval_splits(running, unknown)
-                known.update({s: cuts.get(s) for s in unknown})
-            able = [s for s in spans if known[s]]
-            if not able:
+        # of equals the one further left goes first, and a whole before its parts
+        seen = [(-i.mass, i.start, 0, i) for i in _whole_intervals(running, found)]
+        cuts: dict[Interval, Cut | None] = {}
+        while True:
+            heaviest = [s for s in sorted(seen, key=lambda s: s[:3]) if cuts.get(s[3], True)][:budget]
+            asked = [s for s in heaviest if s[3] not in cuts]
+            if not asked:
                 break
-            best = max(able, key=lambda s: (known[s].mass, -s[0]))
-            cut = known[best]
-            found.append(cut.border)
-            made += 1
-            at = spans.index(best)
-            spans[at : at + 1] = [(best[0], cut.upper), (cut.upper, best[1])]
-        return np.unique(found)
+            for (*_, depth, whole), cut in zip(asked, cut_intervals(running, [s[3] for s in asked]), strict=True):
+                cuts[whole] = cut
+                if cut is not None:
+                    seen += [(-part.mass, part.start, depth + 1, part) for part in (cut.lower, cut.upper)]
+        return np.unique(found + [cuts[i].border for *_, i in heaviest])
     finally:
         running.unpersist()
 

@@ -89,6 +89,46 @@ def test_refill_on_tied_columns(spark):
     assert grids.refill(np.zeros(0), grids.distinct_values(four, "x"), 2).tolist() == [1.5]
 
 
+def test_refill_takes_waves(spark, monkeypatch):
+    """At 254 bins the heaviest intervals are found in fewer than ten rounds, and are those of cutting one by one."""
+    rng = np.random.default_rng(7)
+    values = [0.0] * 9000 + [float(np.float32(v)) for v in np.exp(rng.normal(size=2500))] + [2.0] * 300 + [5.0] * 40
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    waves = []
+    real = grids.cut_intervals
+    monkeypatch.setattr(grids, "cut_intervals", lambda running, asked: waves.append(len(asked)) or real(running, asked))
+    first = sorted(r["border"] for r in grids.quantile_borders(grids.distinct_values(df, "x"), 254).collect())
+    got = grids.build_grid(df, "x", config=GridConfig(254)).tolist()
+    assert got == slow_refill(first, values, 253) and len(got) == 253
+    assert len(waves) < 10 and sum(waves) < 3 * 253
+
+
+def test_refill_with_weights(spark):
+    """Rows of one value count alike, with their mean weight; zero weights make no cut of their own."""
+    rng = np.random.default_rng(5)
+    data = [(float(rng.integers(0, 40)), float(rng.integers(0, 4))) for _ in range(3000)] + [(50.0, 0.0), (60.0, 0.0)]
+    df = spark.createDataFrame(data, "x double, w double")
+    sums = {}
+    for x, w in data:
+        sums.setdefault(x, [0.0, 0])[0] += w
+        sums[x][1] += 1
+    xs = sorted(sums)
+    rows = [(x, sums[x][0] / sums[x][1]) for x in xs for _ in range(sums[x][1])]
+    prefix = np.concatenate(([0], np.cumsum([w for _, w in rows])))
+    parts, out = [(0, len(rows))], []
+    while len(out) < 9:
+        able = [(round(prefix[hi] - prefix[lo], 9), -lo, lo, hi) for lo, hi in parts if rows[lo][0] != rows[hi - 1][0]]
+        _, _, lo, hi = max(able)
+        half = prefix[lo] + (prefix[hi] - prefix[lo]) / 2
+        m = lo + 1
+        while m + 1 < hi and prefix[m] < half - 1e-9:
+            m += 1
+        cut = min((j for j in range(lo + 1, hi) if rows[j - 1][0] != rows[j][0]), key=lambda j: (abs(j - m), j < m))
+        out.append((rows[cut - 1][0] + rows[cut][0]) / 2)
+        parts[parts.index((lo, hi)) : parts.index((lo, hi)) + 1] = [(lo, cut), (cut, hi)]
+    assert grids.refill(np.zeros(0), grids.distinct_values(df, "x", "w"), 10).tolist() == sorted(out)
+
+
 def test_null_keys_leave_other_hashes_alone(spark):
     from ashlar.functions import seed
 
