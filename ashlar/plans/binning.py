@@ -84,19 +84,58 @@ def grid_built(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, float(b)) for k, b in enumerate(found)], "k int, border double")
 
 
+def grid_refill_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column in which most rows are zero, so that quantiles collapse and the rest is refilled."""
+    excess = F.greatest(F.col("o_totalprice") - 200_000.0, F.lit(0.0))
+    found = grids.build_grid(table(spark, sf_dir, "orders").select(excess.alias("x")), "x", config=grids.GridConfig(64))
+    return spark.createDataFrame([(k, float(b)) for k, b in enumerate(found)], "k int, border double")
+
+
 def grid_rare_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = grids.build_grid(table(spark, sf_dir, "orders"), "o_totalprice", config=grids.GridConfig(64, min_data_per_bin=40))
     return spark.createDataFrame([(k, float(b)) for k, b in enumerate(found)], "k int, border double")
 
 
-def quantile_sql(weight: str) -> str:
+def quantile_sql(weight: str, x: str = "l_extendedprice", source: str = "lineitem", bins: int = 32) -> str:
     return f"""
-with d as (select l_extendedprice::float::double x, sum({weight}) w from lineitem group by 1),
+with d as (select {x}::float::double x, sum({weight}) w from {source} group by 1),
 c as (select x, sum(w) over (order by x) cum, sum(w) over (order by x) - w prev, lead(x) over (order by x) nx, sum(w) over () total from d),
-q as (select k, x, nx, cum, k * total / 32 t, prev from c, (select unnest(range(1, 32)) k) where k * total / 32 <= cum and k * total / 32 > prev)
+q as (select k, x, nx, cum, k * total / {bins} t, prev from c, (select unnest(range(1, {bins})) k) where k * total / {bins} <= cum and k * total / {bins} > prev)
 select distinct (case when cum = t then (x + coalesce(nx, x)) / 2 else x end)::float::double border from q"""
 
 
+def refill_sql(x: str, source: str, bins: int) -> str:
+    """The tree of all cuts by rows, and of its intervals those with most rows."""
+    return f"""
+with recursive v as (select {x}::float::double x from {source}),
+r as (select x, (sum(n) over (order by x) - n)::bigint first, (sum(n) over (order by x))::bigint last from (select x, count(*) n from v group by x)),
+b as ({quantile_sql('1.0e0', x, source, bins)}),
+e as (select 0::bigint edge union select count(*) from v union select (select count(*) from v where x < border) from b),
+p as (select edge lo, lead(edge) over (order by edge) hi from e),
+tree(lo, hi, depth, cut) as (
+  select lo, hi, 0, case when last < hi and (first <= lo or last - m <= m - first) then last when first > lo then first end
+  from (select *, least(greatest(lo + ((hi - lo + 1) // 2), lo + 1), hi - 1) m from p where hi - lo > 1) join r on first < m and m <= last
+  union all
+  select lo, hi, depth, case when last < hi and (first <= lo or last - m <= m - first) then last when first > lo then first end
+  from (select *, least(greatest(lo + ((hi - lo + 1) // 2), lo + 1), hi - 1) m from (
+      select lo, cut hi, depth + 1 depth from tree where cut is not null and cut - lo > 1
+      union all select cut, hi, depth + 1 from tree where cut is not null and hi - cut > 1)) join r on first < m and m <= last),
+picked as (select cut, row_number() over (order by hi - lo desc, lo, depth) i from tree where cut is not null),
+cuts as (select ((f.x + l.x) / 2)::float::double border from picked join r f on f.first = cut join r l on l.last = cut where i <= {bins - 1} - (select count(*) from b))
+select (row_number() over (order by border) - 1)::int k, border from (select border from b union select border from cuts)"""
+
+
+def collapse_sql(x: str, source: str, bins: int, least: int) -> str:
+    """From left to right, each border with enough rows since the last one kept and enough behind it."""
+    return f"""
+with recursive b as (select border, row_number() over (order by border) i, (select count(*) from {source} where {x}::float::double <= border) upto, (select count(*) from {source}) total from ({quantile_sql('1.0e0', x, source, bins)})),
+walk(i, begun, border, kept) as (
+  select 0::bigint, 0::bigint, null::double, false
+  union all select b.i, case when b.upto - begun >= {least} and b.total - b.upto >= {least} then b.upto else begun end, b.border, b.upto - begun >= {least} and b.total - b.upto >= {least}
+  from walk join b on b.i = walk.i + 1)
+select (row_number() over (order by border) - 1)::int k, border from walk where kept"""
+
+
 def _rows(spark: SparkSession, sf_dir: str, least: float = 0.0) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumn("lv", F.concat(F.substring("o_orderpriority", 1, 1), F.lit("-"), (F.col("o_custkey") % 37).cast("string")))
     return encode.prepared(orders.withColumn("yy", F.col("o_totalprice") / 1000.0), "lv", "yy", "o_orderkey", encode.EncodeConfig(least=least))
@@ -203,7 +242,7 @@ _LEVELS = "lv as (select label, sum(s) s, sum(d) d from rows_ group by 1)"
 
 QUERIES = {
     "bin_numeric": bin_numeric, "bin_missing_nan_inf": bin_missing, "grid_midpoint": grid_midpoint, "grid_quantile": grid_quantile,
-    "grid_quantile_weighted": grid_quantile_weighted, "grid_refill": grid_built, "grid_rare_collapse": grid_rare_collapse,
+    "grid_quantile_weighted": grid_quantile_weighted, "grid_refill": grid_built, "grid_refill_tied": grid_refill_tied, "grid_rare_collapse": grid_rare_collapse,
     "target_stat_base": target_stat_base, "target_stat_full": target_stat_full, "target_stat_auto_smooth": target_stat_auto_smooth,
     "target_stat_rare_collapse": target_stat_rare, "target_stat_log_mean": target_stat_log_mean, "target_stat_kfold": target_stat_kfold,
     "target_stat_loo": target_stat_loo, "target_stat_ordered": target_stat_ordered, "fisher_bins": fisher_bins, "encoder_grid": encoder_grid,
@@ -218,6 +257,9 @@ ORACLE = {
     "grid_midpoint": "select distinct ((x + nx) / 2)::float::double border from (select x, lead(x) over (order by x) nx from (select distinct l_discount::float::double x from lineitem)) where nx is not null",
     "grid_quantile": quantile_sql("1.0e0"),
     "grid_quantile_weighted": quantile_sql("l_quantity"),
+    "grid_refill": refill_sql("o_totalprice", "orders", 64),
+    "grid_refill_tied": refill_sql("greatest(o_totalprice - 200000.0e0, 0.0e0)", "orders", 64),
+    "grid_rare_collapse": collapse_sql("o_totalprice", "orders", 64, 40),
     "target_stat_base": f"select round(sum(s) / sum(d), 6) base from ({ROWS_SQL})",
     "target_stat_full": f"with {labelled_sql(0)}, {_LEVELS} select label, round({_SMOOTH.format(s='s', d='d')}, 6) enc, d weight from lv, base",
     "target_stat_auto_smooth": f"""with {labelled_sql(0)}, {_LEVELS},
