@@ -94,7 +94,14 @@ class BoostedRegressor:
         kind = {"product": "product", "product_marginals": "product", "uniform": "uniform"}.get(ref_measure)
         if kind is None:
             raise InvalidParameter(f"unknown reference measure {ref_measure!r}")
-        return explain(self._fitted(), None if df is None else self.cells(df), kind, laplace, overflow)
+        return explain(self._fitted(), None if df is None else self.cells(df), kind, laplace, overflow, spark=None if df is None else df.sparkSession)
+
+    def explain_rows(self, df: DataFrame, bank: TableBank, keep: list[str] | None = None) -> DataFrame:
+        """The columns ``keep`` (the key) with the raw score and each feature's attribution ``phi_{name}``."""
+        model, keep = self._fitted(), keep or [self.key]
+        cells = score.cell_frame(score.binned_frame(df, model.axes, keep), merged_axes(model), keep)
+        out = score.attributions(cells, bank, keep)
+        return out.withColumnsRenamed({f"phi{r}": f"phi_{m.name}" for r, m in bank.axes.items()})
 
     def to_json(self) -> str:
         return export.to_json(self._fitted())

@@ -237,7 +237,7 @@ class Booster:
         if c.ridge_refit and trees:
             trees = self._ridge(binned, member, trees)
         if c.reanchor or (c.reanchor is None and self.loss.link == "log"):
-            f0 += self._anchor(binned, member, trees)
+            f0 += self.anchor(binned, member, trees)
         return self._model(float(f"{f0:.12g}"), trees)
 
     def _unit(self, state: DataFrame, members: list[Member]) -> float:
@@ -511,7 +511,7 @@ class Booster:
         rows = binned.select("rid", *columns, "y", "w", (F.lit(member.f0) + F.col("off")).alias("raw"))
         return rows.mapInArrow(run, "y double, w double, raw double")
 
-    def _anchor(self, binned: DataFrame, member: Member, trees) -> float:
+    def anchor(self, binned: DataFrame, member: Member, trees) -> float:
         """Shift of the intercept after which predictions and targets have the same weighted total, over all its rows."""
         scored = self._scored(binned, member, trees)
         y, w, raw = F.col("y"), F.col("w"), F.col("raw")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seed
+from .prefix import running_sums
 
 RARE = "__rare__"
 # Fixed values of automatic smoothing.
@@ -115,37 +116,44 @@ def loo_encodings(rows: DataFrame, m: float, base: float) -> DataFrame:
     return rows.join(sums, "label").select("key", enc.alias("enc"))
 
 
+#: Ranges of hashes into which the order within a level is cut; each is a task's group.
+RANGES = 256
+
+
 def ordered_encodings(rows: DataFrame, m: float, base: float, permutations: int, base_seed: int) -> DataFrame:
     """``key, enc``: each row from those before it in hash order, averaged over permutations.
 
-    The order runs through a level, so this one needs a level's rows in order; they are dealt by level.
+    The order runs through a level, but no level is one group: it is cut into ranges of hashes, whose sums are carried on
+    from range to range, a row per level and range. Within a range rows add up one by one.
     """
-    out = rows
-    for p in range(permutations):
-        out = out.withColumn(f"h{p}", seed.row_hash(F.col("key"), base_seed, p, seed.STAGES["folds"]))
-    terms = []
+    out, terms = rows, []
     for p in range(permutations):
-        before = Window.partitionBy("label").orderBy(f"h{p}", "key").rowsBetween(Window.unboundedPreceding, -1)
-        s, d = F.coalesce(F.sum("s").over(before), F.lit(0.0)), F.coalesce(F.sum("d").over(before), F.lit(0.0))
-        out = out.withColumn(f"e{p}", F.when(d > 0, smoothed(s, d, m, base)).otherwise(F.lit(base)))
+        order, part = f"h{p}", f"part{p}"
+        out = out.withColumn(order, seed.row_hash(F.col("key"), base_seed, p, seed.STAGES["folds"])).withColumn(part, F.shiftright(order, 63 - RANGES.bit_length() + 1))
+        sums = out.groupBy("label", part).agg(F.sum("s").alias("s"), F.sum("d").alias("d"))
+        earlier = Window.partitionBy("label").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        carried = sums.select("label", part, F.coalesce(F.sum("s").over(earlier), F.lit(0.0)).alias("cs"), F.coalesce(F.sum("d").over(earlier), F.lit(0.0)).alias("cd"))
+        before = Window.partitionBy("label", part).orderBy(order, "key").rowsBetween(Window.unboundedPreceding, -1)
+        s, d = (F.col(c) + F.coalesce(F.sum(x).over(before), F.lit(0.0)) for c, x in (("cs", "s"), ("cd", "d")))
+        out = out.join(carried, ["label", part]).withColumn(f"e{p}", F.when(d > 0, smoothed(s, d, m, base)).otherwise(F.lit(base))).drop("cs", "cd")
         terms.append(F.col(f"e{p}"))
     return out.select("key", (sum(terms[1:], terms[0]) / permutations).alias("enc"))
 
 
 def fisher_bins(levels: DataFrame, most: int = 254) -> DataFrame:
-    """``label, enc, bin``: ordinal bins by (encoding, label); ties share one. One row per level meets in one place."""
-    distinct = levels.select("enc").distinct().withColumn("r", F.row_number().over(Window.partitionBy().orderBy("enc")) - 1)
-    total = F.count("*").over(Window.partitionBy())
-    ranked = distinct.withColumn("nd", total)
-    bin_ = 1 + F.floor(F.col("r") * F.least(F.col("nd"), F.lit(most)) / F.col("nd"))
+    """``label, enc, bin``: ordinal bins by (encoding, label); ties share one. Ranks are running counts by ranges."""
+    distinct = levels.select("enc").distinct()
+    total = distinct.count()
+    ranked = running_sums(distinct, ["enc"], {"r": F.lit(1)})
+    bin_ = 1 + F.floor((F.col("r") - 1) * min(total, most) / max(total, 1))
     return levels.join(ranked.select("enc", bin_.cast("long").alias("bin")), "enc").select("label", "enc", "bin")
 
 
 def fisher_borders(levels: DataFrame, most: int = 254) -> DataFrame:
-    """``border``: float midpoints where the ordinal bin changes."""
-    order = Window.partitionBy().orderBy("enc")
-    marked = fisher_bins(levels, most).select("enc", "bin").distinct().withColumns({"pe": F.lag("enc").over(order), "pb": F.lag("bin").over(order)})
-    return marked.where("pb is not null and pb <> bin").select(((F.col("pe") + F.col("enc")) / 2).cast("float").cast("double").alias("border")).distinct()
+    """``border``: float midpoints where the ordinal bin changes; a row per bin meets in one place."""
+    ends = fisher_bins(levels, most).groupBy("bin").agg(F.min("enc").alias("low"), F.max("enc").alias("high"))
+    marked = ends.withColumn("before", F.lag("high").over(Window.partitionBy().orderBy("bin")))
+    return marked.where("before is not null").select(((F.col("before") + F.col("low")) / 2).cast("float").cast("double").alias("border")).distinct()
 
 
 def fit_encoder(df: DataFrame, level: str, y: str, key: str, config: EncodeConfig = EncodeConfig(), base_seed: int = 0, w: Column | None = None, exposure: Column | None = None) -> tuple[CatEncoder, DataFrame]:

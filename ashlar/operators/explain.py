@@ -1,20 +1,23 @@
 """Exact decomposition of a model into a constant and tables of one to three features, and its gates.
 
 A model is small whatever the data: tables are accumulated and purified as arrays on the driver, within cell budgets.
-What depends on data, the weight of each cell, is one aggregate. ``purify_query`` is the same purification as windows
-over a stored table, for tables that live in Spark.
+What depends on data, the weight of each cell and the check of the raw tables on rows, is one aggregate each. A triple
+over its budget stays factored, tree by tree; ``overflow="sparse"`` also writes its cells as rows (see ``stored_rows``).
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import arrow_schema, staged
 from .model import BudgetExceeded, InvalidParameter, InvariantError, Model, NotExact
 
 # Cell budgets per table and per bank, joint cells that are checked exhaustively.
@@ -78,9 +81,9 @@ class TableBank:
     axes: dict[int, MergedAxis]
     weights: dict[int, np.ndarray]
     boxes: dict[tuple[int, ...], list[Box]] = field(default_factory=dict)
-    support: dict[tuple[int, ...], np.ndarray] = field(default_factory=dict)
     link: str = "identity"
     exact: bool = True
+    stored: dict[tuple[int, ...], DataFrame] = field(default_factory=dict)  # boxes as rows, where asked for
 
     def supports(self) -> list[tuple[int, ...]]:
         return sorted({*self.tables, *self.boxes}, key=lambda u: (len(u), u))
@@ -137,7 +140,7 @@ class TableBank:
         if self.boxes:
             raise NotExact("a bank with factored tables cannot be reweighted")
         f0, tables = purify(self.f0, {u: v.copy() for u, v in self.tables.items()}, weights)
-        return TableBank(f0, tables, self.axes, weights, {}, self.support, self.link, self.exact)
+        return TableBank(f0, tables, self.axes, weights, {}, self.link, self.exact)
 
 
 def _outer(parts: list[np.ndarray]) -> np.ndarray:
@@ -147,8 +150,15 @@ def _outer(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def accumulate(model: Model, axes: dict[int, MergedAxis], overflow: str = "factored") -> tuple[dict[tuple[int, ...], np.ndarray], dict[tuple[int, ...], list[Box]]]:
+#: What becomes of a triple over its cell budget: an error, boxes tree by tree, or boxes that are also written as rows.
+OVERFLOW = {"error": "error", "hard": "error", "factored": "factored", "factor": "factored", "sparse": "sparse", "sparse_fallback": "sparse"}
+
+
+def accumulate(model: Model, axes: dict[int, MergedAxis], overflow: str = "factored", table_cells: int | None = None) -> tuple[dict[tuple[int, ...], np.ndarray], dict[tuple[int, ...], list[Box]]]:
     """Tables of alpha * leaf per set of features; sets over the cell budget stay as boxes, or raise."""
+    table_cells = TABLE_CELLS if table_cells is None else table_cells
+    if overflow not in OVERFLOW:
+        raise InvalidParameter(f"overflow is one of {', '.join(OVERFLOW)}, not {overflow!r}")
     tables: dict[tuple[int, ...], np.ndarray] = {}
     boxes: dict[tuple[int, ...], list[Box]] = {}
     spent = 0
@@ -163,8 +173,8 @@ def accumulate(model: Model, axes: dict[int, MergedAxis], overflow: str = "facto
         shape = tuple(axes[r].cells for r in u)
         if u not in tables and u not in boxes:
             cells = math.prod(shape)
-            if cells > TABLE_CELLS or spent + cells > BANK_CELLS:
-                if overflow == "error" or len(u) < 3:
+            if cells > table_cells or spent + cells > BANK_CELLS:
+                if OVERFLOW[overflow] == "error" or len(u) < 3:
                     raise BudgetExceeded(f"table {u} has {cells} cells")
                 boxes[u] = []
             else:
@@ -246,21 +256,79 @@ def reference_weights(axes: dict[int, MergedAxis], cells: DataFrame | None = Non
     return out
 
 
-def explain(model: Model, cells: DataFrame | None = None, kind: str = "product", laplace: float = 1.0, overflow: str = "factored", check: bool = True) -> TableBank:
-    """The exact tables of a model. ``cells`` are the audit rows as merged cells (see ``score.cell_frame``)."""
+def explain(
+    model: Model, cells: DataFrame | None = None, kind: str = "product", laplace: float = 1.0, overflow: str = "factored", check: bool = True, table_cells: int | None = None, spark: SparkSession | None = None
+) -> TableBank:
+    """The exact tables of a model. ``cells`` are the audit rows as merged cells (see ``score.cell_frame``).
+
+    The raw tables have to give the trees' scores, on the joint cells and on every audit row, before they are purified.
+    With ``overflow="sparse"`` triples over ``table_cells`` are written as rows by the session of ``cells`` or ``spark``.
+    """
     if not model.exact:
         raise NotExact("an approximate model is not explained")
     axes = merged_axes(model)
     weights = reference_weights(axes, cells, laplace, kind)
-    tables, boxes = accumulate(model, axes, overflow)
+    tables, boxes = accumulate(model, axes, overflow, table_cells)
+    if check:
+        raw_gate(model, TableBank(model.f0, tables, axes, weights, boxes, model.link, model.exact), cells)
     shed(tables, boxes, weights, axes)
     f0, tables = purify(model.f0, tables, weights)
-    bank = TableBank(f0, tables, axes, weights, boxes, {}, model.link, model.exact)
+    bank = TableBank(f0, tables, axes, weights, boxes, model.link, model.exact)
     if check:
         run_gates(model, bank)
+    if boxes and OVERFLOW[overflow] == "sparse":
+        session = cells.sparkSession if cells is not None else spark
+        if session is None:
+            raise InvalidParameter("sparse tables are written by Spark: pass audit rows or a session")
+        bank.stored = {u: stored_rows(session, bank, u) for u in boxes}
     return bank
 
 
+def stored_rows(spark: SparkSession, bank: TableBank, u: tuple[int, ...], per_task: int = 1 << 20) -> DataFrame:
+    """``cell0, cell1, cell2, value`` of the cells of a factored table whose value is not zero, evaluated in tasks and
+    written to the shared folder: no task or driver ever holds the table."""
+    shape, boxes = tuple(bank.axes[r].cells for r in u), bank.boxes[u]
+    total = math.prod(shape)
+    ddl = "cell0 int, cell1 int, cell2 int, value double"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unravel_index(batch.column(0).to_numpy(), shape)
+            value = sum((box.values(at) for box in boxes), np.zeros(batch.num_rows))
+            live = value != 0
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[live].astype(np.int32)) for x in at], pa.array(value[live])], schema=schema)
+
+    return staged(spark.range(0, total, 1, -(-total // per_task)).mapInArrow(run, ddl), "table-" + "-".join(map(str, u)))
+
+
+def raw_gate(model: Model, bank: TableBank, cells: DataFrame | None = None) -> float:
+    """Largest difference between the trees and the unpurified tables, on the joint cells and in one aggregate over the
+    audit rows; raises where it is more than rounding. It tells a fault in adding up from one in purifying."""
+    tol = _tolerance(model)
+    joint, _ = _joint(bank)
+    worst = float(np.abs(model_on_cells(model, bank, joint) - bank.score(joint)).max(initial=0))
+    if cells is not None and bank.axes and worst <= tol:
+        raws = list(bank.axes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = 0.0
+            for batch in batches:
+                at = {r: batch.column(k).to_numpy() for k, r in enumerate(raws)}
+                found = max(found, float(np.abs(model_on_cells(model, bank, at) - bank.score(at)).max(initial=0)))
+            yield pa.RecordBatch.from_arrays([pa.array([found])], names=["d"])
+
+        worst = max(worst, cells.select(*[F.col(f"c{r}") for r in raws]).mapInArrow(run, "d double").agg(F.max("d")).first()[0] or 0.0)
+    if not worst <= tol:
+        raise InvariantError(f"accumulation: the raw tables differ from the trees by {worst:.3g}, over {tol:.3g}")
+    return worst
+
+
+def _tolerance(model: Model) -> float:
+    scale = max(1.0, float(np.abs([model.f0, *[v for _, t in model.trees for v in t.leaves]]).max()))
+    return 4 * max(len(model.trees), 1) * float(np.finfo(np.float32).eps) * scale
+
+
 def _joint(bank: TableBank, rng_seed: int = 0) -> tuple[dict[int, np.ndarray], np.ndarray]:
     """Joint cells to check and their weights: all of them if few, else a sample by weight."""
     raws = list(bank.axes)
@@ -293,7 +361,7 @@ def run_gates(model: Model, bank: TableBank, tolerance: float | None = None) ->
     """
     model.validate()
     scale = max(1.0, float(np.abs([model.f0, *[v for _, t in model.trees for v in t.leaves]]).max()))
-    tol = tolerance if tolerance is not None else 4 * max(len(model.trees), 1) * float(np.finfo(np.float32).eps) * scale
+    tol = tolerance if tolerance is not None else _tolerance(model)
     cells, w = _joint(bank)
     exact = math.prod(m.cells for m in bank.axes.values()) <= JOINT_CELLS
     trees, tables = model_on_cells(model, bank, cells), bank.score(cells)
@@ -361,7 +429,7 @@ def average_banks(banks: list[TableBank], alphas: list[float]) -> tuple[TableBan
         between = sum(s * (v - tables[u]) ** 2 for s, v in zip(share, values, strict=True))
         bands[u] = np.sqrt(np.maximum(between / max(1 - squares, 1e-300), 0)) * math.sqrt(squares) if squares < 1 else np.zeros(shape)
     f0 = sum(s * f for s, (f, _) in zip(share, members, strict=True))
-    return TableBank(f0, tables, axes, weights, {}, {}, banks[0].link, all(b.exact for b in banks)), bands
+    return TableBank(f0, tables, axes, weights, {}, banks[0].link, all(b.exact for b in banks)), bands
 
 
 def _member_cells(union: MergedAxis, member: MergedAxis | None) -> np.ndarray:
@@ -369,18 +437,3 @@ def _member_cells(union: MergedAxis, member: MergedAxis | None) -> np.ndarray:
     if member is None:
         return np.array([0] + [1] * (union.cells - 1))
     return np.array([0, *[1 + int(np.searchsorted(member.borders, x, side="left")) for x in union.borders], member.cells - 1])
-
-
-def purify_query(table: DataFrame, cells: list[str], weights: dict[str, Column], value: str = "value") -> tuple[DataFrame, list[DataFrame], Column]:
-    """One table's purification as windows: the pure table, what goes to each lower table, in order.
-
-    ``table`` has a row per cell with one column per axis; ``weights`` gives each axis's weight as a column.
-    """
-    moved = []
-    for c in cells:
-        rest = [x for x in cells if x != c]
-        mean = F.sum(F.col(value) * weights[c]).over(Window.partitionBy(*rest))
-        marked = table.withColumn("_mean", mean)
-        moved.append(marked.select(*rest, F.col("_mean").alias(value)).distinct())
-        table = marked.withColumn(value, F.col(value) - F.col("_mean")).drop("_mean")
-    return table, moved, F.col(value)

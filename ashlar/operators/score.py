@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -91,23 +92,50 @@ def cell_frame(binned: DataFrame, bank_axes: dict, keep: list[str]) -> DataFrame
 
 
 def table_scores(cells: DataFrame, bank: TableBank, key: str) -> DataFrame:
-    """``key, f0, effects.., raw_score``: one array lookup per table, in the JVM; no join and no shuffle."""
-    if bank.boxes:
-        raise SchemaMismatch("factored tables are scored by their boxes")
-    out, names = cells, []
-    for k, (u, v) in enumerate(sorted(bank.tables.items(), key=lambda x: (len(x[0]), x[0]))):
+    """``key, raw_score`` by looking every table up, with no join and no shuffle: as array lookups in the JVM where all
+    tables are small and dense, otherwise in one Arrow pass with the bank in it."""
+    if bank.boxes or any(v.size > 4096 for v in bank.tables.values()):
+        return bank_scores(cells, bank, [key])
+    total = F.lit(bank.f0)
+    for u, v in sorted(bank.tables.items(), key=lambda x: (len(x[0]), x[0])):
         at = F.lit(0)
         for d, r in enumerate(u):
             at = at * v.shape[d] + F.col(f"c{r}")
-        values = F.array(*[F.lit(float(x)) for x in v.ravel()]) if v.size <= 4096 else None
-        if values is None:
-            raise SchemaMismatch("tables of over 4096 cells are scored by joining effect_rows")
-        out = out.withColumn(f"e{k}", F.element_at(values, at + 1))
-        names.append(f"e{k}")
-    total = F.lit(bank.f0)
-    for n in names:
-        total = total + F.col(n)
-    return out.select(key, total.alias("raw_score"))
+        total = total + F.element_at(F.array(*[F.lit(float(x)) for x in v.ravel()]), at + 1)
+    return cells.select(key, total.alias("raw_score"))
+
+
+def bank_scores(cells: DataFrame, bank: TableBank, keep: list[str], shares: bool = False, interactions: tuple[tuple[int, ...], ...] = ()) -> DataFrame:
+    """The columns ``keep`` and ``raw_score`` of rows of merged cells, in one Arrow pass with the bank in it.
+
+    ``shares`` adds ``phi{raw}``, each feature's attribution; ``interactions`` adds ``inter_{raw}_{raw}`` for sets of
+    features. A bank is bounded by its cell budgets, and tables over them are evaluated box by box, so no row needs more
+    than its own cells, however many features there are.
+    """
+    raws = list(bank.axes)
+    own = cells.select(*keep, *[F.col(f"c{r}").alias(f"_c{r}") for r in raws])
+    names = ["raw_score", *[f"phi{r}" for r in raws if shares], *["inter_" + "_".join(map(str, sorted(u))) for u in interactions]]
+    schema = StructType([*[own.schema[c] for c in keep], *[StructField(n, DoubleType()) for n in names]])
+    columns = [f.name for f in schema]
+    # rows of the tables stay behind: they belong to the driver's session
+    small = replace(bank, stored={})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {r: batch.column(len(keep) + k).to_numpy(zero_copy_only=False) for k, r in enumerate(raws)}
+            found = [small.score(at) if raws else np.full(batch.num_rows, small.f0)]
+            if shares:
+                own_shares = small.shap(at) if raws else {}
+                found += [own_shares[r] for r in raws]
+            found += [small.faith_shap(u, at) for u in interactions]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(x) for x in found]], names=columns)
+
+    return own.mapInArrow(run, schema)
+
+
+def attributions(cells: DataFrame, bank: TableBank, keep: list[str]) -> DataFrame:
+    """The columns ``keep``, ``raw_score`` and ``phi{raw}`` of each feature: with f0 they add up to the score."""
+    return bank_scores(cells, bank, keep, shares=True)
 
 
 def effect_rows(bank: TableBank) -> list[tuple]:
@@ -124,11 +152,16 @@ EFFECT_DDL = "table_id int, ord int, raw0 int, raw1 int, raw2 int, cell0 int, ce
 
 
 def joined_scores(cells: DataFrame, bank: TableBank, key: str) -> DataFrame:
-    """``key, raw_score`` by joining each table's effects on its cells and summing: the warehouse recipe."""
+    """``key, raw_score`` by joining each table's effects on its cells and summing: the warehouse recipe.
+
+    Tables that were written as rows are joined from there; boxes that were not cannot be joined.
+    """
+    if set(bank.boxes) - set(bank.stored):
+        raise SchemaMismatch("factored tables are joined once they are written as rows: overflow='sparse'")
     effects = cells.sparkSession.createDataFrame(effect_rows(bank) or [(None,) * 9], EFFECT_DDL)
     parts = []
     for i, (u, _) in enumerate(bank.sobol()):
-        own = effects.where(F.col("table_id") == i)
+        own = bank.stored[u] if u in bank.stored else effects.where(F.col("table_id") == i)
         on = [F.col(f"c{r}") == F.col(f"cell{d}") for d, r in enumerate(u)]
         # a table has at most the cell budget; Spark broadcasts it where it is small enough
         parts.append(cells.join(own, on).select(key, "value"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import metrics, seed
 from ..functions.losses import Gamma, Logistic, Poisson, SquaredError, Tweedie
 from ..operators import explain, histogram, refit, sampling, score, split
-from ..operators.boost import BoostConfig, Booster
+from ..estimator import BoostedRegressor
+from ..operators.boost import BoostConfig, Booster, Member
 from ..operators.model import Axis, Correction, Model, Split, Tree
 from ..session import table
 from .binning import BINNED_SQL, BORDERS, binned, floats, rounded
@@ -239,18 +240,27 @@ def correction_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dart_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores without a dropped tree, the rest renormalised as dropout does."""
+    """Scores after a round that dropped the first tree: it and the new one are renormalised as dropout does."""
     model = demo_model()
-    model.trees = [(0.5, TREES[0][1]), *TREES[1:2], (0.5, TREES[2][1])]
+    member = Member(BoostConfig(), "raw0", {}, trees=[(1.0, TREES[0][1]), TREES[1]])
+    member.take(TREES[2][1], [0])
+    model.trees = member.trees
     out = score.predict(table(spark, sf_dir, "lineitem"), model, ["l_orderkey", "l_linenumber"])
     return out.select("l_orderkey", "l_linenumber", rounded(F.col("raw_score")).alias("raw_score"))
 
 
 def leaf_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _hist_rows(spark, sf_dir)
-    bits = [F.when(F.col(f"b{s.axis}") <= s.bin_le, 1 << k).otherwise(0) for k, s in enumerate(TREES[0][1].splits)]
-    sums = rows.groupBy((bits[0] + bits[1] + bits[2]).alias("leaf")).agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    return sums.select(F.col("leaf").cast("long").alias("leaf"), rounded(0.3 * -F.col("g") / (F.col("h") + 1.0)).alias("value"))
+    """The leaves' values from their sums, as a tree in work gets them."""
+    splits = [Split(s.axis, s.bin_le) for s in TREES[0][1].splits]
+
+    def state(batch):
+        n = len(batch["g"])
+        leaf = sum(s.low(batch[f"b{s.axis}"]).astype(np.int64) << k for k, s in enumerate(splits))
+        return [np.zeros(n, np.int64)], leaf, batch["g"], batch["h"], np.ones(n)
+
+    sums = histogram.arrow_histogram(_hist_rows(spark, sf_dir).select("b0", "b1", "b2", "g", "h"), 1, 8, 1, state)[:, 0, 0]
+    values = split.leaf_values(sums, split.SplitConfig(), splits, 0.3)
+    return spark.createDataFrame([(k, round(float(v), 6) + 0.0) for k, v in enumerate(values) if sums[k, 3]], "leaf long, value double")
 
 
 def leaf_path_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,11 +306,15 @@ def column_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reanchor(link: str):
+    """The shift that the booster adds to the intercept after a fit."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = score.predict(table(spark, sf_dir, "lineitem"), demo_model(), ["l_orderkey", "l_quantity"])
-        y, f = F.col("l_quantity"), F.col("raw_score")
-        shift = F.avg(y - f) if link == "identity" else F.log(F.sum(y) / F.sum(F.exp(f)))
-        return out.agg(rounded(shift).alias("shift"))
+        model = demo_model()
+        keyed = table(spark, sf_dir, "lineitem").withColumns({"rid": F.col("l_orderkey") * 8 + F.col("l_linenumber"), "y": F.col("l_quantity"), "w": F.lit(1.0), "off": F.lit(0.0)})
+        booster = Booster(model.axes, {"identity": "squared_error", "log": "poisson"}[link])
+        member = Member(booster.config, "raw0", {"base": 0, "held": 0, "bag": None}, f0=model.f0)
+        shift = booster.anchor(score.binned_frame(keyed, model.axes, ["rid", "y", "w", "off"]), member, model.trees)
+        return spark.createDataFrame([(round(float(shift), 6) + 0.0,)], "shift double")
 
     return run
 
@@ -385,13 +399,10 @@ _VARIANCE_SQL = "with " + purify_sql() + ", v as (" + " union all ".join(f"selec
 
 
 def shap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attributions of every row, by looking its cells up in the summed tables."""
+    """Attributions of every row, from its own cells."""
     cells, bank = _bank(spark, sf_dir)
-    grid = np.indices([bank.axes[r].cells for r in bank.axes]).reshape(len(bank.axes), -1)
-    values = bank.shap(dict(zip(bank.axes, grid, strict=True)))
-    rows = [(*map(int, grid[:, k]), *[float(values[r][k]) for r in bank.axes]) for k in range(grid.shape[1])]
-    lookup = spark.createDataFrame(rows, "c0 int, c1 int, c2 int, p0 double, p1 double, p2 double")
-    return cells.join(F.broadcast(lookup), ["c0", "c1", "c2"]).select("l_orderkey", "l_linenumber", *[rounded(F.col(f"p{r}")).alias(f"phi{r}") for r in range(3)])  # as many rows as joint cells
+    out = score.attributions(cells, bank, ["l_orderkey", "l_linenumber"])
+    return out.select("l_orderkey", "l_linenumber", *[rounded(F.col(f"phi{r}")).alias(f"phi{r}") for r in range(3)])
 
 
 _SHAP_SQL = f"""with {purify_sql()}, b as (select l_orderkey, l_linenumber, {cell_sql(0)} c0, {cell_sql(1)} c1, {cell_sql(2)} c2 from ({BINNED_SQL}))
@@ -457,17 +468,17 @@ def relativities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def factored_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores with the triple kept as boxes: the same function as with dense tables."""
     cells, _ = _bank(spark, sf_dir)
-    model = demo_model()
-    kept = explain.TABLE_CELLS
-    try:
-        explain.TABLE_CELLS = 19  # below the triple's cells and above every pair's
-        bank = explain.explain(model, cells)
-    finally:
-        explain.TABLE_CELLS = kept
-    grid = np.indices([bank.axes[r].cells for r in bank.axes]).reshape(len(bank.axes), -1)
-    value = bank.score(dict(zip(bank.axes, grid, strict=True)))
-    lookup = spark.createDataFrame([(*map(int, grid[:, k]), float(value[k])) for k in range(grid.shape[1])], "c0 int, c1 int, c2 int, v double")
-    return cells.join(F.broadcast(lookup), ["c0", "c1", "c2"]).select("l_orderkey", "l_linenumber", rounded(F.col("v")).alias("raw_score"))
+    bank = explain.explain(demo_model(), cells, table_cells=19)  # below the triple's cells and above every pair's
+    out = score.bank_scores(cells, bank, ["l_orderkey", "l_linenumber"])
+    return out.withColumn("raw_score", rounded(F.col("raw_score")))
+
+
+def sparse_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The triple over its budget written as rows, which are the pure table's cells."""
+    cells, _ = _bank(spark, sf_dir)
+    bank = explain.explain(demo_model(), cells, overflow="sparse", table_cells=19)
+    rows = bank.stored[(0, 1, 2)].withColumn("value", rounded(F.col("value"), 9))
+    return rows.where("value <> 0").select(*[F.col(f"cell{k}").cast("long").alias(f"cell{k}") for k in range(3)], "value")
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -549,6 +560,27 @@ def fit_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.predict(rows, model, ["rid", "y"]).agg(F.count("*").alias("n"), rounded(F.sqrt(F.avg((F.col("y") - F.col("prediction")) ** 2)), 4).alias("rmse"))
 
 
+def _exact_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a target that is constant in each of eight boxes, which one tree can tell exactly."""
+    x0, x1, x2 = F.col("o_custkey") % 50, F.col("o_orderkey") % 11, F.col("o_orderkey") % 9
+    y = 10 + F.when(x0 <= 20, 1.2).otherwise(-0.4) + F.when(x1 <= 3, 0.8).otherwise(-0.3) + F.when((x0 > 20) & (x1 <= 3) & (x2 <= 2), 0.9).otherwise(0.0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", x0.cast("double").alias("x0"), x1.cast("double").alias("x1"), x2.cast("double").alias("x2"), y.alias("y"))
+
+
+_EXACT_SQL = "select o_orderkey, round(10 + case when o_custkey % 50 <= 20 then 1.2e0 else -0.4e0 end + case when o_orderkey % 11 <= 3 then 0.8e0 else -0.3e0 end + case when o_custkey % 50 > 20 and o_orderkey % 11 <= 3 and o_orderkey % 9 <= 2 then 0.9e0 else 0e0 end, 5) prediction from orders"
+
+
+def fit_exact(**knobs):
+    """Predictions of a whole fit, from columns to scores, which has to find the target itself."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _exact_orders(spark, sf_dir)
+        model = BoostedRegressor("o_orderkey", ["x0", "x1", "x2"], **{"n_trees": 2, "learning_rate": 1.0, "ridge": 0.0, **knobs}).fit(df, "y")
+        return model.predict(df).select("o_orderkey", rounded(F.col("prediction"), 5).alias("prediction"))
+
+    return run
+
+
 _PLAIN, _L1 = split.SplitConfig(), split.SplitConfig(l1=200.0, max_delta=0.2)
 _FLOOR = split.SplitConfig(min_rows=15_000)
 
@@ -563,7 +595,11 @@ QUERIES = {
     "purify_1d": purified(1), "purify_2d": purified(2), "purify_3d": purified(3), "table_variance_sobol": table_variance, "shap": shap, "faith_shap": faith_shap, "gates": gates,
     "rating_score_lookup": rating_scores, "rating_score_join": rating_join, "rating_rebase": rating_rebase, "relativities": relativities, "factored_box_score": factored_boxes,
     **{f"metric_{n}": metric(n) for n in ("rmse", "auc", "poisson", "gamma", "d2", "lift", "gini")},
-    "fit_and_explain": fit_and_explain, "fit_bagged": fitted(n_bags=2, n_trees=2), "fit_dropout": fitted(dart_rate=0.3), "fit_sampled": fitted(subsample=0.5, colsample=0.7), "fit_refined": fitted(leaf_refine_steps=2), "fit_early_stop": fitted(validation_fraction=0.2, early_stopping=2), "fit_ridge": fitted(ridge_refit=True), "fit_corrected": fit_corrected, "fit_selected": fit_selected,
+    "fit_and_explain": fit_and_explain, "fit_bagged": fitted(n_bags=2, n_trees=2), "fit_dropout": fitted(dart_rate=0.3), "fit_sampled": fitted(subsample=0.5, colsample=0.7), "fit_refined": fitted(leaf_refine_steps=2), "fit_early_stop": fitted(validation_fraction=0.2, early_stopping=2), "fit_ridge": fitted(ridge_refit=True), "fit_corrected": fit_corrected, "fit_selected": fit_selected, "sparse_tables": sparse_tables,
+    "fit_exact": fit_exact(), "fit_exact_out_of_bag": fit_exact(n_bags=3, bag_subsample=0.6, cell_refit=refit.CellRefit(10.0, 1.0)),
+    "fit_exact_selected": fit_exact(selection=refit.Selection(4, refit.SettingsGrid((0.0, 50.0), (0.1, 1.0), (1,), (3,)), picks=3)),
+    "fit_exact_refined": fit_exact(n_trees=1, learning_rate=0.5, leaf_refine_steps=40), "fit_exact_ridge": fit_exact(n_trees=3, learning_rate=0.3, ridge_refit=True),
+    "fit_exact_early_stop": fit_exact(n_trees=6, validation_fraction=0.2, early_stopping=1), "fit_exact_sampled": fit_exact(n_trees=1, subsample=0.5),
 }
 
 _LOW = "select o_orderkey from (select o_orderkey, row_number() over (order by {h}, o_orderkey) i, count(*) over () n from orders) where i <= {k}"
@@ -608,6 +644,8 @@ ORACLE = {
     "rating_rebase": _REBASE_SQL,
     "relativities": f"with {_PURE} select distinct c0::bigint cell, round(exp(e0), 9) relativity from e",
     "factored_box_score": f"select l_orderkey, l_linenumber, round({SCORE_SQL}, 6) + 0e0 raw_score from ({BINNED_SQL})",
+    **{f"fit_exact{k}": _EXACT_SQL for k in ("", "_out_of_bag", "_selected", "_refined", "_ridge", "_early_stop", "_sampled")},
+    "sparse_tables": f"with {_PURE} select c0::bigint cell0, c1::bigint cell1, c2::bigint cell2, round(e012, 9) \"value\" from e where abs(round(e012, 9)) > 0",
     "metric_rmse": f"select round(sqrt(avg((y - p) * (y - p))), 6) rmse from {_PREDICTED}",
     "metric_auc": f"select round(sum(case when c = 1 then below + ties / 2e0 end) / (sum(c)::double * (count(*) - sum(c))), 6) auc from (select c, sum(1 - c) over (order by p range between unbounded preceding and current row) - sum(1 - c) over (partition by p) below, sum(1 - c) over (partition by p) ties from {_PREDICTED})",
     "metric_poisson": f"select round(sum(w * {_POISSON_TERM.format(p='p')}) / sum(w), 6) deviance from {_PREDICTED}",
