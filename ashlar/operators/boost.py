@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seed
 from ..functions.losses import Loss, loss_by_name
-from ..session import arrow_schema, staged
+from ..session import arrow_schema, spread, staged
 from .histogram import DECIMAL, arrow_histograms
 from .model import Axis, InvalidParameter, Model, Split, Tree
 from .ridge import RidgeSystem
@@ -151,18 +151,18 @@ class Booster:
 
     def fit_members(self, binned: DataFrame, library: list[BoostConfig] | None = None) -> tuple[list[Model], list[Member]]:
         """The models of all bags (or of a library's settings, on all rows), grown together."""
-        self.loss.checked(binned)
+        rows = staged(spread(binned.select("rid", *self.columns, "y", "w", "off")), "binned")
+        self.loss.checked(rows)
         if library is None:
             bags = [None] if not self.config.n_bags else list(range(self.config.n_bags))
             members = [Member(self.config, f"raw{i}", {"base": self._base(self.config, bag), "held": 0, "bag": None}) for i, bag in enumerate(bags)]
         else:
             bags = [None] * len(library)
             members = [Member(self._bounded(c), f"raw{i}", {"base": c.seed, "held": 0, "bag": None}) for i, c in enumerate(library)]
-        self._set_bounds(binned, members, bags)
-        self._set_starts(binned, members)
-        state = staged(binned.select("rid", *self.columns, "y", "w", "off", *[(F.lit(m.f0) + F.col("off")).alias(m.column) for m in members]), "binned")
-        self._grow_all(state, members)
-        return [self._finished(binned, m) for m in members], members
+        self._set_bounds(rows, members, bags)
+        self._set_starts(rows, members)
+        self._grow_all(rows.select("*", *[(F.lit(m.f0) + F.col("off")).alias(m.column) for m in members]), members)
+        return [self._finished(rows, m) for m in members], members
 
     @staticmethod
     def _base(config: BoostConfig, bag: int | None) -> int:
@@ -536,10 +536,10 @@ class Booster:
 
         A row stands in one leaf of each tree. The system of all leaves is solved on the sums that two leaves share where
         they are few, and otherwise by a conjugate gradient, a job a step: one number per leaf leaves a task, however
-        many trees there are. All trial steps are judged in one job.
+        many trees there are. All trial steps are judged in one job. Pass stored rows.
         """
         columns, loss, bound = self.columns, self.loss, member.bound
-        rows = staged(binned.select("rid", *columns, "y", "w", (F.lit(member.f0) + F.col("off")).alias(member.column)), "refit")
+        rows = binned.select("rid", *columns, "y", "w", (F.lit(member.f0) + F.col("off")).alias(member.column))
 
         def cells(data: dict[str, np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
             own = in_bag(data["rid"], bound)

@@ -210,10 +210,9 @@ def fit_model(booster: Booster, binned: DataFrame, cell_refit: CellRefit | None
         return select_ensemble(binned, booster.axes, booster.objective, library, selection.picks, base_seed=config.seed, bags=selection.bags, tweedie_rho=booster.rho)
     if cell_refit is None:
         return booster.fit(binned)
-    rows = staged(binned, "bagged")
-    models, members = booster.fit_members(rows)
+    models, members = booster.fit_members(binned)
     averaged = booster.averaged(models)
-    return cell_correction(rows, averaged, cell_refit.base, cell_refit.gamma, held=OUT_OF_BAG_HELD, base_seed=config.seed, bags=(models, members))
+    return cell_correction(binned, averaged, cell_refit.base, cell_refit.gamma, held=OUT_OF_BAG_HELD, base_seed=config.seed, bags=(models, members))
 
 
 def select_ensemble(

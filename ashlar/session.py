@@ -61,6 +61,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over at least as many partitions as tasks run at once, for rows that are read again and again.
+
+    A small file is one partition otherwise; rows that already have enough are not shuffled.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def arrow_schema(ddl: str):
     """Arrow schema of a DDL string, for building output batches."""
     from pyspark.sql.pandas.types import to_arrow_schema
