@@ -23,7 +23,7 @@ from ..session import arrow_schema, spread, staged
 from .histogram import DECIMAL, arrow_histograms
 from .model import Axis, InvalidParameter, Model, Split, Tree
 from .ridge import RidgeSystem
-from .sampling import dropped_trees, sampled_columns
+from .sampling import POISSON_STEPS, dropped_trees, sampled_columns
 from .split import SplitConfig, clamp_monotone, find_split, leaf_values
 
 
@@ -44,6 +44,7 @@ class BoostConfig:
     dart_rate: float = 0.0
     n_bags: int = 0
     bag_subsample: float = 0.8
+    bootstrap: bool = False  # bags of rows drawn with repetition, as Poisson counts, instead of subsamples
     ridge_refit: bool = False
     reanchor: bool | None = None
     restage: int = 40
@@ -173,7 +174,9 @@ class Booster:
         wanted = []
         for m, bag in zip(members, bags, strict=True):
             for name, fraction, stage in (("held", m.config.validation_fraction, "holdout"), ("bag", m.config.bag_subsample if bag is not None else 0.0, "bags")):
-                if fraction:
+                if name == "bag" and fraction and m.config.bootstrap:
+                    m.bound["drawn"] = True
+                elif fraction:
                     wanted.append((m, name, fraction, stage))
         if not wanted:
             return
@@ -194,8 +197,8 @@ class Booster:
                 rid, y, w, off = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
                 terms = (w, w * y, w * (y - off), w * np.exp(off))
                 for i, bound in enumerate(bounds):
-                    own = in_bag(rid, bound)
-                    total[:, i] += [t[own].sum() for t in terms]
+                    times = drawn(rid, bound)
+                    total[:, i] += [(t * times).sum() for t in terms]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(bounds), dtype=np.int32)), *[pa.array(t) for t in total]], schema=schema)
 
         sums = binned.select("rid", "y", "w", "off").mapInArrow(run, ddl).groupBy("i").agg(*[F.sum(c).alias(c) for c in names])
@@ -254,6 +257,9 @@ class Booster:
         column, bound, active, splits, sample = member.column, member.bound, growth.active, growth.splits, growth.sample
 
         def state(batch: dict[str, np.ndarray]):
+            if bound.get("drawn"):
+                again = np.repeat(np.arange(len(batch["rid"])), drawn(batch["rid"], bound))
+                batch = {c: batch[c][again] for c in ("rid", "y", "w", column, *columns)}
             bins = [batch[c] for c in columns]
             raw = batch[column].copy()
             for alpha, tree in active:
@@ -462,9 +468,10 @@ class Booster:
                     for alpha, tree in active:
                         raw += alpha * tree.score(bins)
                     used = _held(data["rid"], bound) & in_bag(data["rid"], bound) if held else _trains(data["rid"], bound)
+                    w = data["w"] * drawn(data["rid"], bound)
                     for i, trial in enumerate(trials):
                         f = raw if trial is None else raw + trial.score(bins)
-                        total[first + i] += loss.numpy_deviance(data["y"][used], f[used], data["w"][used]).sum()
+                        total[first + i] += loss.numpy_deviance(data["y"][used], f[used], w[used]).sum()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], schema=schema)
 
         rows = self._needed(state, list({m.column: m for m, *_ in asked}.values()))
@@ -506,7 +513,8 @@ class Booster:
                 bins, raw = [data[c][own] for c in columns], data["raw"][own]
                 for alpha, tree in trees:
                     raw = raw + alpha * tree.score(bins)
-                yield pa.RecordBatch.from_arrays([pa.array(data["y"][own]), pa.array(data["w"][own]), pa.array(raw)], schema=schema)
+                w = (data["w"] * drawn(data["rid"], bound))[own]
+                yield pa.RecordBatch.from_arrays([pa.array(data["y"][own]), pa.array(w), pa.array(raw)], schema=schema)
 
         rows = binned.select("rid", *columns, "y", "w", (F.lit(member.f0) + F.col("off")).alias("raw"))
         return rows.mapInArrow(run, "y double, w double, raw double")
@@ -548,7 +556,7 @@ class Booster:
                 leaf = tree.leaf(bins)
                 raw += alpha * np.array(tree.leaves)[leaf]
                 at.append(leaf)
-            g, h = loss.numpy_gradient(data["y"][own], raw, data["w"][own])
+            g, h = loss.numpy_gradient(data["y"][own], raw, (data["w"] * drawn(data["rid"], bound))[own])
             return at, g, h
 
         member_column = member.column
@@ -616,11 +624,19 @@ def kth_hashes(rows: DataFrame, wanted: list[tuple[int, str, int]]) -> list[int]
     return out
 
 
+def drawn(keys: np.ndarray, bound: dict) -> np.ndarray:
+    """How often a member's bag has drawn each row: once without a bag, a Poisson count of its hash in a bootstrap."""
+    if bound["bag"] is None and not bound.get("drawn"):
+        return np.ones(len(keys), np.int64)
+    z = seed.mix_seed_array(bound["base"], 0, seed.STAGES["bags"], keys) >> np.uint64(1)
+    if bound.get("drawn"):
+        return np.searchsorted(POISSON_STEPS, z.astype(np.float64) / 2**63, side="right")
+    return (z <= np.uint64(bound["bag"])).astype(np.int64)
+
+
 def in_bag(keys: np.ndarray, bound: dict) -> np.ndarray:
     """Whether a member's bag has drawn each row; all rows without a bag."""
-    if bound["bag"] is None:
-        return np.ones(len(keys), bool)
-    return (seed.mix_seed_array(bound["base"], 0, seed.STAGES["bags"], keys) >> np.uint64(1)) <= np.uint64(bound["bag"])
+    return drawn(keys, bound) > 0
 
 
 def _held(keys: np.ndarray, bound: dict) -> np.ndarray:

@@ -59,15 +59,15 @@ def subsample(df: DataFrame, key: str, fraction: float, base: int, bag: int) ->
     return lowest(hashed(df, key, base, "bags", bag), "_hash", key, math.ceil(fraction * n)).drop("_hash")
 
 
+#: Below which uniform number a Poisson(1) count is 0, 1, ... 7; from the last on it is 8.
+POISSON_STEPS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+
+
 def bootstrap_weights(df: DataFrame, key: str, base: int, bag: int, name: str = "_times") -> DataFrame:
     """Adds how often a bootstrap draws each row, as a Poisson(1) count of its hash. Sums to about n, not to n exactly."""
     u = F.col("_hash") / F.lit(float(1 << 63))
-    cumulative, out, p = 0.0, F.lit(8), math.exp(-1)
-    bounds = []
-    for k in range(8):
-        cumulative += p / math.factorial(k)
-        bounds.append((k, cumulative))
-    for k, bound in reversed(bounds):
+    out = F.lit(len(POISSON_STEPS))
+    for k, bound in reversed(list(enumerate(POISSON_STEPS.tolist()))):
         out = F.when(u < bound, F.lit(k)).otherwise(out)
     return hashed(df, key, base, "bags", bag).withColumn(name, out).drop("_hash")
 

@@ -13,6 +13,7 @@ from ..estimator import BoostedRegressor
 from ..operators.boost import BoostConfig, Booster, Member
 from ..operators.model import Axis, Correction, Model, Split, Tree
 from ..session import table
+from ..sources.frames import claims_frame
 from .binning import BINNED_SQL, BORDERS, binned, floats, rounded
 
 LOSSES = {
@@ -301,6 +302,20 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.bootstrap_weights(table(spark, sf_dir, "orders"), "o_orderkey", 7, 0, "times").select("o_orderkey", F.col("times").cast("long").alias("times"))
 
 
+def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with the part it falls into."""
+    train, test = sampling.hash_split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 4, 7)
+    return train.withColumn("held", F.lit(False)).unionByName(test.withColumn("held", F.lit(True)))
+
+
+def claims_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as policies and their lines as claims: summed amounts, capped counts and exposures."""
+    policies = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 7).alias("claims"), (F.col("o_totalprice") / 200_000).alias("years"))
+    claims = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("amount"))
+    out = claims_frame(policies, claims, "o_orderkey", "amount", "claims", exposure="years")
+    return out.select("o_orderkey", rounded(F.col("amount"), 2).alias("amount"), F.col("claims").cast("long").alias("claims"), rounded(F.col("years")).alias("years"))
+
+
 def column_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k,) for k in sampling.sampled_columns(20, 0.3, 7, 2)], "axis long")
 
@@ -589,7 +604,7 @@ QUERIES = {
     "histogram": hist, "histogram_weighted": hist_weighted, "histogram_two_leaves": hist_two_leaves, "histogram_quantized": hist_quantized, "histogram_arrow": hist_arrow, "histogram_subtract": hist_subtract,
     "split_gain_scan": gain_scan(_PLAIN), "split_gain_two_leaves": gain_scan(_PLAIN, _two_leaves), "best_split": best_split(_PLAIN), "best_split_missing_dir": best_split(_PLAIN, missing=True),
     "best_split_two_leaf_oblivious": best_split(_PLAIN, _two_leaves), "split_credibility": gain_scan(_FLOOR), "split_l1_clamp": gain_scan(_L1),
-    "leaf_values": leaf_values, "leaf_path_smooth": leaf_path_smooth, "mvs_sample_topk": mvs_sample, "validation_carve": validation_carve, "subagging": subagging, "bootstrap_weights": bootstrap, "column_sample": column_sample,
+    "leaf_values": leaf_values, "leaf_path_smooth": leaf_path_smooth, "mvs_sample_topk": mvs_sample, "validation_carve": validation_carve, "subagging": subagging, "bootstrap_weights": bootstrap, "hash_split": hash_split, "claims_join": claims_join, "column_sample": column_sample,
     "tree_score": tree_score, "correction_delta": correction_delta, "dart_rescore": dart_rescore, "reanchor_identity": reanchor("identity"), "reanchor_log": reanchor("log"),
     "ref_weights_uniform": ref_weights("uniform"), "ref_weights_product": ref_weights("product"), "support_counts": support_counts,
     "purify_1d": purified(1), "purify_2d": purified(2), "purify_3d": purified(3), "table_variance_sobol": table_variance, "shap": shap, "faith_shap": faith_shap, "gates": gates,
@@ -599,7 +614,7 @@ QUERIES = {
     "fit_exact": fit_exact(), "fit_exact_out_of_bag": fit_exact(n_bags=3, bag_subsample=0.6, cell_refit=refit.CellRefit(10.0, 1.0)),
     "fit_exact_selected": fit_exact(selection=refit.Selection(4, refit.SettingsGrid((0.0, 50.0), (0.1, 1.0), (1,), (3,)), picks=3)),
     "fit_exact_refined": fit_exact(n_trees=1, learning_rate=0.5, leaf_refine_steps=40), "fit_exact_ridge": fit_exact(n_trees=3, learning_rate=0.3, ridge_refit=True),
-    "fit_exact_early_stop": fit_exact(n_trees=6, validation_fraction=0.2, early_stopping=1), "fit_exact_sampled": fit_exact(n_trees=1, subsample=0.5),
+    "fit_exact_early_stop": fit_exact(n_trees=6, validation_fraction=0.2, early_stopping=1), "fit_exact_sampled": fit_exact(n_trees=1, subsample=0.5), "fit_exact_bootstrap": fit_exact(n_bags=3, bootstrap=True),
 }
 
 _LOW = "select o_orderkey from (select o_orderkey, row_number() over (order by {h}, o_orderkey) i, count(*) over () n from orders) where i <= {k}"
@@ -644,7 +659,10 @@ ORACLE = {
     "rating_rebase": _REBASE_SQL,
     "relativities": f"with {_PURE} select distinct c0::bigint cell, round(exp(e0), 9) relativity from e",
     "factored_box_score": f"select l_orderkey, l_linenumber, round({SCORE_SQL}, 6) + 0e0 raw_score from ({BINNED_SQL})",
-    **{f"fit_exact{k}": _EXACT_SQL for k in ("", "_out_of_bag", "_selected", "_refined", "_ridge", "_early_stop", "_sampled")},
+    **{f"fit_exact{k}": _EXACT_SQL for k in ("", "_out_of_bag", "_selected", "_refined", "_ridge", "_early_stop", "_sampled", "_bootstrap")},
+    "bootstrap_weights": f"select o_orderkey, (case {' '.join(f'when u < {x!r}e0 then {k}' for k, x in enumerate(sampling.POISSON_STEPS.tolist()))} else 8 end)::bigint times from (select o_orderkey, {seed.row_hash_sql('o_orderkey', 7, 0, seed.STAGES['bags'])} / 9223372036854775808e0 u from orders)",
+    "hash_split": f"select o_orderkey, row_number() over (order by {seed.row_hash_sql('o_orderkey', 7, 1, seed.STAGES['holdout'])}, o_orderkey) <= greatest(count(*) over () // 4, 1) held from orders",
+    "claims_join": "select o_orderkey, round(coalesce(a, 0e0), 2) + 0e0 amount, least(o_custkey % 7, 4)::bigint claims, round(least(o_totalprice / 200000, 1e0), 6) + 0e0 as years from orders left join (select l_orderkey, sum(l_extendedprice) a from lineitem where l_quantity > 25 group by 1) on l_orderkey = o_orderkey",
     "sparse_tables": f"with {_PURE} select c0::bigint cell0, c1::bigint cell1, c2::bigint cell2, round(e012, 9) \"value\" from e where abs(round(e012, 9)) > 0",
     "metric_rmse": f"select round(sqrt(avg((y - p) * (y - p))), 6) rmse from {_PREDICTED}",
     "metric_auc": f"select round(sum(case when c = 1 then below + ties / 2e0 end) / (sum(c)::double * (count(*) - sum(c))), 6) auc from (select c, sum(1 - c) over (order by p range between unbounded preceding and current row) - sum(1 - c) over (partition by p) below, sum(1 - c) over (partition by p) ties from {_PREDICTED})",

@@ -114,6 +114,20 @@ def test_hash_bounds(spark):
         assert int((z <= np.uint64(bound)).sum()) == k
 
 
+def test_bootstrap_bags(spark):
+    """Rows drawn twice count twice: a bag is the fit of its repeated rows, and the rows left out are out of bag."""
+    df, axes = rows(spark)
+    config = BoostConfig(n_trees=3, learning_rate=0.4, n_bags=2, bootstrap=True, seed=6, split=SplitConfig(min_rows=15))
+    models, members = Booster(axes, config=config).fit_members(df)
+    for model, member in zip(models, members, strict=True):
+        keys = np.arange(900)
+        times = boost.drawn(keys, member.bound)
+        assert 0.3 < (times == 0).mean() < 0.45 and 0.9 < times.mean() < 1.1
+        repeated = df.join(spark.createDataFrame([(int(k), int(t)) for k, t in zip(keys, times)], "rid long, times int"), "rid").where("times > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times"))))
+        alone = Booster(axes, config=BoostConfig(n_trees=3, learning_rate=0.4, split=SplitConfig(min_rows=15))).fit(repeated.drop("times", "again"))
+        assert same(model, alone, 1e-7)
+
+
 def collected(df):
     table = df.orderBy("rid").toPandas()
     return {c: table[c].to_numpy() for c in table}, [table[f"b{i}"].to_numpy() for i in range(4)]
