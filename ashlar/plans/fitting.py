@@ -313,7 +313,7 @@ def claims_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     policies = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 7).alias("claims"), (F.col("o_totalprice") / 300_000).alias("years"))
     claims = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("amount"))
     out = claims_frame(policies, claims, "o_orderkey", "amount", "claims", exposure="years")
-    return out.select("o_orderkey", rounded(F.col("amount"), 2).alias("amount"), F.col("claims").cast("long").alias("claims"), rounded(F.col("years")).alias("years"))
+    return out.select("o_orderkey", rounded(F.col("amount"), 2).alias("amount"), F.col("claims").cast("long").alias("claims"), rounded(F.col("years"), 9).alias("years"))
 
 
 def column_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -662,7 +662,7 @@ ORACLE = {
     **{f"fit_exact{k}": _EXACT_SQL for k in ("", "_out_of_bag", "_selected", "_refined", "_ridge", "_early_stop", "_sampled", "_bootstrap")},
     "bootstrap_weights": f"select o_orderkey, (case {' '.join(f'when u < {x!r}e0 then {k}' for k, x in enumerate(sampling.POISSON_STEPS.tolist()))} else 8 end)::bigint times from (select o_orderkey, {seed.row_hash_sql('o_orderkey', 7, 0, seed.STAGES['bags'])} / 9223372036854775808e0 u from orders)",
     "hash_split": f"select o_orderkey, row_number() over (order by {seed.row_hash_sql('o_orderkey', 7, 1, seed.STAGES['holdout'])}, o_orderkey) <= greatest(count(*) over () // 4, 1) held from orders",
-    "claims_join": "select o_orderkey, round(coalesce(a, 0e0), 2) + 0e0 amount, least(o_custkey % 7, 4)::bigint claims, round(least(o_totalprice / 300000, 1e0), 6) + 0e0 as years from orders left join (select l_orderkey, sum(l_extendedprice) a from lineitem where l_quantity > 25 group by 1) on l_orderkey = o_orderkey",
+    "claims_join": "select o_orderkey, round(coalesce(a, 0e0), 2) + 0e0 amount, least(o_custkey % 7, 4)::bigint claims, round(least(o_totalprice / 300000, 1e0), 9) + 0e0 as years from orders left join (select l_orderkey, sum(l_extendedprice) a from lineitem where l_quantity > 25 group by 1) on l_orderkey = o_orderkey",
     "sparse_tables": f"with {_PURE} select c0::bigint cell0, c1::bigint cell1, c2::bigint cell2, round(e012, 9) \"value\" from e where abs(round(e012, 9)) > 0",
     "metric_rmse": f"select round(sqrt(avg((y - p) * (y - p))), 6) rmse from {_PREDICTED}",
     "metric_auc": f"select round(sum(case when c = 1 then below + ties / 2e0 end) / (sum(c)::double * (count(*) - sum(c))), 6) auc from (select c, sum(1 - c) over (order by p range between unbounded preceding and current row) - sum(1 - c) over (partition by p) below, sum(1 - c) over (partition by p) ties from {_PREDICTED})",
