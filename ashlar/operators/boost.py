@@ -48,6 +48,7 @@ class BoostConfig:
     ridge_refit: bool = False
     reanchor: bool | None = None
     restage: int = 40
+    hist_bits: int = 30  # gradients in histograms are whole numbers of so many bits; fewer find splits more coarsely
     seed: int = 0
 
     def __post_init__(self) -> None:
@@ -58,6 +59,8 @@ class BoostConfig:
                 raise InvalidParameter(f"{name} lies in (0, 1]")
         if not 0 <= self.validation_fraction < 1 or not 0 <= self.dart_rate < 1:
             raise InvalidParameter("validation_fraction and dart_rate lie in [0, 1)")
+        if not 4 <= self.hist_bits <= 30:
+            raise InvalidParameter("hist_bits lies between 4 and 30")
         if self.early_stopping and not self.validation_fraction:
             raise InvalidParameter("early stopping needs a validation fraction")
 
@@ -352,7 +355,8 @@ class Booster:
             open_ = [g for g in growths if g.growing and level < g.member.config.max_order]
             if not open_:
                 break
-            for growth, hist in zip(open_, self._histograms(state, open_, unit), strict=True):
+            coarse = unit * 2.0 ** (30 - max(m.config.hist_bits for m in members))
+            for growth, hist in zip(open_, self._histograms(state, open_, coarse), strict=True):
                 if not level:
                     growth.history.append(hist[:, growth.columns[0]].sum(1))
                 c = growth.member.config
@@ -366,7 +370,8 @@ class Booster:
                 leaves = np.arange(len(sums))
                 growth.parents, growth.counted = hist, np.where(sums[:, 1, 3] < sums[:, 0, 3], leaves | len(sums), leaves)
         made = [g for g in growths if g.splits]
-        sampled = [g for g in made if g.sample is not None]
+        # the leaves' values are told from all rows and whole gradients, whatever found the splits
+        sampled = [g for g in made if g.sample is not None or g.member.config.hist_bits < 30]
         whole = dict(zip(map(id, sampled), self._leaf_sums(state, [replace(g, sample=None) for g in sampled], unit), strict=True)) if sampled else {}
         trees: dict[int, Tree] = {}
         for g in made:

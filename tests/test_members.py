@@ -114,6 +114,18 @@ def test_hash_bounds(spark):
         assert int((z <= np.uint64(bound)).sum()) == k
 
 
+def test_coarse_histograms_find_the_splits(spark):
+    """Gradients of ten bits find the same trees here, with leaves from whole gradients; of four bits still useful ones."""
+    df, axes = rows(spark)
+    fine, ten, four = (Booster(axes, config=BoostConfig(n_trees=3, learning_rate=0.4, hist_bits=k)).fit(df) for k in (30, 10, 4))
+    assert same(fine, ten, 1e-9)
+    data, bins = collected(df)
+    error = lambda m: float((data["w"] * (m.raw_score(bins) + data["off"] - data["y"]) ** 2).sum())
+    assert error(four) < 1.1 * error(fine)
+    with pytest.raises(InvalidParameter):
+        BoostConfig(hist_bits=3)
+
+
 def test_bootstrap_bags(spark):
     """Rows drawn twice count twice: a bag is the fit of its repeated rows, and the rows left out are out of bag."""
     df, axes = rows(spark)
