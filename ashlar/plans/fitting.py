@@ -172,7 +172,27 @@ def best_split(config: split.SplitConfig, leaf=None, missing: bool = False):
     return run
 
 
-def scan_sql(leaf: str = "0", missing: bool = False, l1: float = 0.0, clamp: float = 0.0, rows: int = 0) -> str:
+def found_split(config: split.SplitConfig):
+    """The split that a tree in work takes at its root, from its own histogram and search."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def state(batch):
+            n = len(batch["g"])
+            return [batch[f"b{i}"] for i in range(3)], np.zeros(n, np.int64), batch["g"], batch["h"], np.ones(n)
+
+        hist = histogram.arrow_histogram(_hist_rows(spark, sf_dir).select("b0", "b1", "b2", "g", "h"), 3, 1, 7, state)
+        best, gain, _ = split.find_split(hist, demo_model().axes, [], config, [0, 1, 2], 7, 3)
+        return spark.createDataFrame([(best.axis, best.bin_le, best.missing_left, round(gain, 4))], "axis long, bin_le long, missing_left boolean, gain double")
+
+    return run
+
+
+def found_sql(score: str, rising: int | None = None) -> str:
+    """The candidate of the best score; a feature ``rising`` may only be cut where its high side has the larger value."""
+    return f"with {scan_sql(rising=rising)} select axis, bin_le, missing_left, round(gain_, 4) + 0e0 gain from scan where ok and gain_ > 0 order by {score} desc, axis, bin_le, missing_left limit 1"
+
+
+def scan_sql(leaf: str = "0", missing: bool = False, l1: float = 0.0, clamp: float = 0.0, rows: int = 0, rising: int | None = None) -> str:
     def term(g: str, h: str) -> str:
         s = g if not l1 else f"(case when {g} > {l1} then {g} - {l1} when {g} < -{l1} then {g} + {l1} else 0e0 end)"
         w = f"(-({s}) / ({h} + 1))"
@@ -189,7 +209,7 @@ def scan_sql(leaf: str = "0", missing: bool = False, l1: float = 0.0, clamp: flo
         sum(g) over o cg, sum(h) over o ch, sum(n) over o cn from c window w as (partition by leaf, axis), o as (partition by leaf, axis order by bin)),
       s as (select axis, bin bin_le, missing_left, tg, th, tn, cg - mg + case when missing_left then mg else 0e0 end lg, ch - mh + case when missing_left then mh else 0e0 end lh, cn - mn + case when missing_left then mn else 0 end ln_
         from p, (values (false), (true)) m(missing_left) where bin >= 1 and bin < nb),
-      scan as (select axis::bigint axis, bin_le::bigint bin_le, missing_left, sum(({term('lg', 'lh')} + {term('(tg - lg)', '(th - lh)')} - {term('tg', 'th')}) / 2) gain_, bool_and(ln_ >= {rows} and tn - ln_ >= {rows}) ok from s group by 1, 2, 3)"""
+      scan as (select axis::bigint axis, bin_le::bigint bin_le, missing_left, sum(({term('lg', 'lh')} + {term('(tg - lg)', '(th - lh)')} - {term('tg', 'th')}) / 2) gain_, bool_and(ln_ >= {rows} and tn - ln_ >= {rows}{'' if rising is None else f' and (axis <> {rising} or lg / (lh + 1) - (tg - lg) / (th - lh + 1) >= -1e-12)'}) ok from s group by 1, 2, 3)"""
 
 
 def scan_shown_sql(**k) -> str:
@@ -604,6 +624,7 @@ QUERIES = {
     "histogram": hist, "histogram_weighted": hist_weighted, "histogram_two_leaves": hist_two_leaves, "histogram_quantized": hist_quantized, "histogram_arrow": hist_arrow, "histogram_subtract": hist_subtract,
     "split_gain_scan": gain_scan(_PLAIN), "split_gain_two_leaves": gain_scan(_PLAIN, _two_leaves), "best_split": best_split(_PLAIN), "best_split_missing_dir": best_split(_PLAIN, missing=True),
     "best_split_two_leaf_oblivious": best_split(_PLAIN, _two_leaves), "split_credibility": gain_scan(_FLOOR), "split_l1_clamp": gain_scan(_L1),
+    "split_monotone": found_split(split.SplitConfig(monotone={0: 1})), "split_budget_prior": found_split(split.SplitConfig(cell_budget=4, budget_power=8.0)), "split_noise": found_split(split.SplitConfig(noise=4e5)),
     "leaf_values": leaf_values, "leaf_path_smooth": leaf_path_smooth, "mvs_sample_topk": mvs_sample, "validation_carve": validation_carve, "subagging": subagging, "bootstrap_weights": bootstrap, "hash_split": hash_split, "claims_join": claims_join, "column_sample": column_sample,
     "tree_score": tree_score, "correction_delta": correction_delta, "dart_rescore": dart_rescore, "reanchor_identity": reanchor("identity"), "reanchor_log": reanchor("log"),
     "ref_weights_uniform": ref_weights("uniform"), "ref_weights_product": ref_weights("product"), "support_counts": support_counts,
@@ -633,6 +654,9 @@ ORACLE = {
     "histogram_arrow": f"select {_SHOW} from ({_hist_sql()})",
     "histogram_subtract": f"select {_SHOW.removeprefix('leaf::bigint leaf, ')} from ({_hist_sql(where='b0 > 2')})",
     "split_gain_scan": scan_shown_sql(), "split_gain_two_leaves": scan_shown_sql(leaf=_LEAF_SQL), "best_split": best_sql(), "best_split_missing_dir": best_sql(missing=True), "best_split_two_leaf_oblivious": best_sql(leaf=_LEAF_SQL),
+    "split_monotone": found_sql("round(gain_, 9)", rising=0),
+    "split_budget_prior": found_sql(f"round(gain_, 9) * (case axis {' '.join(f'when {a} then {n}' for a, n in DATA_BINS.items())} end / 4e0) ** (case when (case axis {' '.join(f'when {a} then {n}' for a, n in DATA_BINS.items())} end) > 4 then -8 else 0 end)"),
+    "split_noise": found_sql(f"round(gain_, 9) + ({seed.row_hash_sql('axis * 4294967296 + (bin_le - 1) * 2 + missing_left::int', 7, 3, seed.STAGES['noise'])} / 9223372036854775808e0 - 0.5e0) * 4e5 / 2"),
     "split_credibility": scan_shown_sql(rows=15_000), "split_l1_clamp": scan_shown_sql(l1=200.0, clamp=0.2),
     "leaf_values": f"select (case when b0 <= 2 then 1 else 0 end + case when b1 <= 1 then 2 else 0 end + case when b2 <= 1 then 4 else 0 end)::bigint leaf, round(0.3e0 * -sum(g) / (sum(h) + 1), 6) + 0e0 \"value\" from {_HIST_ROWS} group by 1",
     "leaf_path_smooth": _SMOOTH_SQL,
