@@ -5,7 +5,7 @@ from ashlar.plans import registry
 
 SF = "/root/testdata/sf0.001"
 # one of each family; the driver compares them all
-NAMES = ["bin_numeric", "grid_quantile_weighted", "target_stat_kfold", "target_stat_auto_smooth", "fisher_bins", "grad_hess_tweedie", "deviance_logistic", "init_poisson", "histogram_subtract", "best_split_missing_dir", "split_l1_clamp", "mvs_sample_topk", "tree_score", "purify_2d", "shap", "rating_score_join", "metric_auc", "metric_gini", "metric_lift"]
+NAMES = ["bin_numeric", "grid_quantile_weighted", "target_stat_kfold", "target_stat_auto_smooth", "fisher_bins", "grad_hess_tweedie", "deviance_logistic", "init_poisson", "histogram_subtract", "best_split_missing_dir", "split_l1_clamp", "mvs_sample_topk", "tree_score", "purify_2d", "shap", "rating_score_join", "metric_auc", "metric_gini", "metric_lift", "grid_refill_tied", "grid_rare_collapse", "target_stat_ordered", "split_monotone", "split_budget_prior", "split_noise", "leaf_values", "reanchor_log", "dart_rescore", "bootstrap_weights", "hash_split", "claims_join", "factored_box_score", "sparse_tables", "fit_exact_out_of_bag", "fit_exact_selected", "fit_exact_refined", "fit_exact_ridge", "fit_exact_bootstrap"]
 
 
 @pytest.mark.parametrize("name", NAMES)
