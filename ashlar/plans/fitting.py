@@ -496,8 +496,15 @@ _REBASE_SQL = f"""with {purify_sql()}, r as (select max(case when c0 = 1 then e0
 
 
 def relativities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, bank = _bank(spark, sf_dir)
-    return spark.createDataFrame([(c, round(float(np.exp(v)), 9)) for c, v in enumerate(bank.tables[(0,)])], "cell long, relativity double")
+    """The first feature's relativities as the rating export of a log-link model has them."""
+    from ..operators.export import rating_export
+
+    model = demo_model()
+    model.objective, model.link = "poisson", "log"
+    bins = score.binned_frame(table(spark, sf_dir, "lineitem"), model.axes, ["l_orderkey"])
+    bank = explain.explain(model, score.cell_frame(bins, explain.merged_axes(model), ["l_orderkey"]))
+    sheet = next(t for t in rating_export(model, bank)["tables"] if t["raw"] == [0])
+    return spark.createDataFrame([(c, round(float(v), 9)) for c, v in enumerate(sheet["relativities"])], "cell long, relativity double")
 
 
 def factored_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
