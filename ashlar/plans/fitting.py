@@ -12,7 +12,7 @@ from ..operators import explain, histogram, refit, sampling, score, split
 from ..estimator import BoostedRegressor
 from ..operators.boost import BoostConfig, Booster, Member
 from ..operators.model import Axis, Correction, Model, Split, Tree
-from ..session import table
+from ..session import spread, staged, table
 from ..sources.frames import claims_frame
 from .binning import BINNED_SQL, BORDERS, binned, floats, rounded
 
@@ -568,6 +568,7 @@ def _fit_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Axis]]:
 def fit_and_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five trees, their exact tables, and both scores of every row."""
     rows, axes = _fit_rows(spark, sf_dir)
+    rows = staged(spread(rows), "flagship")  # fitted, weighed, checked and scored twice
     model = Booster(axes, config=BoostConfig(n_trees=5, learning_rate=0.5)).fit(rows)
     cells = score.cell_frame(rows, explain.merged_axes(model), ["rid"])
     bank = explain.explain(model, cells)
