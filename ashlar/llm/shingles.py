@@ -17,6 +17,11 @@ at most as many bits as the sets differ in members. Parities of 512 parts refuse
 meet, before they are rows; those of as many parts as a set has members refuse most other pairs before whole sets
 travel. The order is by hash, with the most crowded shingles last; which those are changes the cost and never the result.
 
+*Where sets meet.* The (shingle, size, node) entries are sorted by ranges over all tasks and cut into blocks of at most
+``_BLOCK`` sets, so no shingle is one row or one task, however many sets meet at it. A shingle of several blocks has its
+blocks' first members compared along the chain of blocks in the first round; in the third, spans of ``_SPAN`` blocks meet
+the spans whose sizes allow a similarity, each pair of spans in a task of its own.
+
 Sets are compared by 40 bits of each hash: of two sets of 1000 shingles about one in a million counts one too many.
 
 SimHash alone cannot do this: at similarity 0.8 about 10 of 64 bits differ, where no pivot table discards anything.
@@ -25,10 +30,12 @@ SimHash alone cannot do this: at similarity 0.8 about 10 of 64 bits differ, wher
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -43,7 +50,9 @@ TENTHS = 8
 CROWDED = 256
 SAMPLE = 16
 _LAST = 200_000
-_STRIP = 512
+#: Sets of one shingle in a row, and blocks of one shingle that meet others together.
+_BLOCK = 1024
+_SPAN = 16
 _AHEAD = 64
 _PAIRS = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -126,10 +135,64 @@ def _sketched(docs: DataFrame, last: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, _SKETCH_DDL)
 
 
-def _met(marked: DataFrame) -> DataFrame:
-    """``tok, met``: shingles in more than one set's prefix with the ``n, node`` of those sets."""
-    entries = marked.select(F.explode("prefix").alias("tok"), F.struct("n", "node").alias("m"))
-    return entries.groupBy("tok").agg(F.collect_set("m").alias("met")).where("size(met) > 1")
+_MET_DDL = "tok long, blk long, more boolean, met array<struct<n: int, node: long>>"
+
+
+def _cut(batches: Iterator[pa.RecordBatch], block: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Blocks of at most ``block`` entries of one shingle, from a partition of sorted ``tok, n, node``.
+
+    ``more`` marks those whose shingle may have other blocks, here or in the partitions beside. Numbers of blocks ascend
+    in the order of all entries. What only one set has is dropped.
+    """
+    met = schema.field("met").type
+    number = TaskContext.get().partitionId() << 40
+    held, others = np.zeros((3, 0), np.int64), True
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held = np.concatenate((held, [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]), axis=1)
+        tok = held[0]
+        if not len(tok):
+            continue
+        start = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+        many = np.diff(np.append(start, len(tok)))
+        pieces = -(-many // block)
+        run = np.repeat(np.arange(len(start)), pieces)
+        within = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        lo = start[run] + within * block
+        size = np.minimum(block, (start + many)[run] - lo)
+        more = pieces[run] > 1
+        more[run == 0] |= others
+        stop = len(lo)
+        if batch is None:
+            more[run == run[-1]] = True
+        else:  # the last one waits for what follows
+            stop -= 1
+            others = bool(within[-1] > 0 or (others and len(start) == 1))
+        keep = np.flatnonzero((size[:stop] > 1) | more[:stop])
+        if len(keep):
+            ends = np.cumsum(size[keep])
+            places = np.repeat(lo[keep] - ends + size[keep], size[keep]) + np.arange(ends[-1])
+            members = pa.StructArray.from_arrays([pa.array(held[1, places].astype(np.int32)), pa.array(held[2, places])], fields=list(met.value_type))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), members, type=met)
+            yield pa.RecordBatch.from_arrays([pa.array(tok[lo[keep]]), pa.array(number + keep), pa.array(more[keep]), lists], schema=schema)
+        if batch is not None:
+            number += stop
+            held = held[:, lo[stop] :]
+
+
+def _met(sketches: DataFrame) -> DataFrame:
+    """``tok, blk, more, met``: the ``n, node`` of the sets that meet at each shingle of a prefix, in blocks by size."""
+    block, schema = _BLOCK, arrow_schema(_MET_DDL)
+    entries = sketches.select(F.explode("prefix").alias("tok"), "n", "node")
+    ordered = entries.repartitionByRange(partitions(sketches.sparkSession), "tok", "n", "node").sortWithinPartitions("tok", "n", "node")
+    return ordered.mapInArrow(lambda batches: _cut(batches, block, schema), _MET_DDL)
+
+
+def _chain(met: DataFrame) -> DataFrame:
+    """``a, b``: the first members of successive blocks of one shingle; one row a block is all that is gathered."""
+    firsts = met.where("more").select("tok", "blk", F.col("met")[0].alias("m"))
+    pairs = firsts.select(F.lag("m").over(Window.partitionBy("tok").orderBy("blk")).alias("l"), "m")
+    return pairs.where(F.col("m.n") * TENTHS <= F.col("l.n") * 10).select(F.col("l.node").alias("a"), F.col("m.node").alias("b"))
 
 
 def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,33 +281,66 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIR)
 
 
+def _unlike(n: np.ndarray, node: np.ndarray, comp: np.ndarray, bits: np.ndarray, begin: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of each set and those at ``begin`` to ``ends`` that are of another component and may be similar."""
+    partners = np.maximum(ends - begin, 0)
+    upto = np.cumsum(partners)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _PAIRS, side="right")))
+        ahead = partners[lo:hi]
+        a = np.repeat(np.arange(lo, hi), ahead)
+        b = np.repeat(begin[lo:hi], ahead) + np.arange(len(a)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
+        apart = comp[a] != comp[b]
+        a, b = a[apart], b[apart]
+        differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+        may = differ * (10 + TENTHS) <= (n[a] + n[b]) * (10 - TENTHS)
+        a, b = node[a[may]], node[b[may]]
+        if len(a):
+            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], schema=_PAIR)
+        lo = hi
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From ``lo, met``: the pairs of different components, one of them from ``lo`` on, that may be similar."""
+    """From ``met``: the pairs of different components within each list that may be similar."""
     for batch in slices(batches, 64):
-        lists = batch.column(1)
-        many = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        n, node, comp, bits, own = _members(lists)
-        # sizes that a pair allows, each list apart; first members are those of the strip
+        n, node, comp, bits, own = _members(batch.column(0))
         ends = np.searchsorted(own << 40 | n, own << 40 | n * 10 // TENTHS, side="right")
-        place = np.arange(len(n)) - np.repeat(np.cumsum(many) - many, many) - np.repeat(batch.column(0).to_numpy().astype(np.int64), many)
-        partners = np.where((place >= 0) & (place < _STRIP), ends - np.arange(len(n)) - 1, 0)
-        upto = np.cumsum(partners)
-        lo, found = 0, []
-        while lo < len(n):
-            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _PAIRS, side="right")))
-            ahead = partners[lo:hi]
-            a = np.repeat(np.arange(lo, hi), ahead)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
-            apart = comp[a] != comp[b]
-            a, b = a[apart], b[apart]
-            differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
-            may = differ * (10 + TENTHS) <= (n[a] + n[b]) * (10 - TENTHS)
-            a, b = node[a[may]], node[b[may]]
-            found.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
-            lo = hi
-        if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], schema=_PAIR)
+        yield from _unlike(n, node, comp, bits, np.arange(len(n)) + 1, ends)
+
+
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the ``later, met`` of two spans of blocks, or of one: the pairs across them (within it) that may be similar."""
+    earlier, later = [], []
+    for batch in batches:
+        flags, lists = batch.column(batch.schema.get_field_index("later")).to_pylist(), batch.column(batch.schema.get_field_index("met"))
+        for k, is_later in enumerate(flags):
+            (later if is_later else earlier).append(lists.slice(k, 1))
+    sides = [[np.concatenate(x) for x in zip(*(_members(lists)[:4] for lists in side), strict=True)] for side in (earlier, later) if side]
+    for k, side in enumerate(sides):  # all of the earlier span come before those of the later one
+        order = np.lexsort((side[1], side[0]))
+        sides[k] = [x[order] for x in side]
+    n, node, comp, bits = (np.concatenate(x) for x in zip(*sides, strict=True))
+    begin, ends = np.arange(len(n)) + 1, np.searchsorted(n, n * 10 // TENTHS, side="right")
+    if later:
+        many = len(sides[0][0])
+        begin = np.full(len(n), many)
+        ends[many:] = many
+    yield from _unlike(n, node, comp, bits, begin, ends)
+
+
+def _spans(blocks: DataFrame) -> DataFrame:
+    """``a, b``: what ``_between`` finds among the blocks of each shingle that has several, span against span."""
+    numbered = blocks.select("tok", "blk", F.array_min("met.n").alias("lo"), F.array_max("met.n").alias("hi"), "least", "most").withColumn("at", F.floor((F.row_number().over(Window.partitionBy("tok").orderBy("blk")) - 1) / _SPAN))
+    spans = numbered.groupBy("tok", "at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least").alias("least"), F.max("most").alias("most"))
+    one, two = spans.alias("one"), spans.alias("two")
+    meet = (F.col("one.tok") == F.col("two.tok")) & (F.col("one.at") <= F.col("two.at")) & (F.col("two.lo") * TENTHS <= F.col("one.hi") * 10)
+    apart = F.least("one.least", "two.least") < F.greatest("one.most", "two.most")
+    pairs = one.join(two, meet & apart).select("one.tok", F.col("one.at").alias("g"), F.col("two.at").alias("h"))
+    sent = pairs.select("tok", "g", "h", F.explode(F.array_distinct(F.array("g", "h"))).alias("at")).join(numbered.select("tok", "at", "blk"), ["tok", "at"])
+    sent = sent.select("tok", "g", "h", (F.col("at") > F.col("g")).alias("later"), "blk").join(blocks.select("blk", "met"), "blk")
+    return sent.groupBy("tok", "g", "h").applyInArrow(_between, "a long, b long")
 
 
 def _similar(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -288,15 +384,15 @@ def _crowded(docs: DataFrame) -> np.ndarray:
 
 
 def _apart(entries: DataFrame) -> DataFrame:
-    """``tok, met``: the members of the shingles at which more than one component meets."""
-    lists = entries.groupBy("tok").agg(F.collect_list(F.struct("n", "node", "comp", "parities")).alias("met"), F.min("comp").alias("least"), F.max("comp").alias("most"))
-    return lists.where("least < most").select("tok", "met")
+    """``tok, blk, more, met, least, most``: the blocks at which more than one component meets, or may with others'."""
+    lists = entries.groupBy("tok", "blk", "more").agg(F.collect_list(F.struct("n", "node", "comp", "parities")).alias("met"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    return lists.where("more or least < most")
 
 
-def links(docs: DataFrame, marked: DataFrame, sketches: DataFrame) -> DataFrame:
+def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """``a, b``: enough links between nodes to connect all that are connected.
 
-    ``docs`` has ``txt, text``, ``marked`` the sketch of each of its rows and ``sketches`` that of each node.
+    ``docs`` has ``txt, text`` and ``sketches`` the sketch of each node.
     """
     prints = staged(sketches.groupBy("fp").agg(F.min("node").alias("b")), "shingle-prints")
     same = sketches.join(prints, "fp").where("node != b").select(F.col("node").alias("a"), "b")
@@ -304,28 +400,26 @@ def links(docs: DataFrame, marked: DataFrame, sketches: DataFrame) -> DataFrame:
     one, two = prints.select(F.col("fp").alias("a"), F.col("b").alias("x")), prints.select(F.col("fp").alias("b"), F.col("b").alias("y"))
     close = by_print.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same)
 
-    met = staged(_met(marked), "shingle-met")
+    met = staged(_met(sketches), "shingle-met")
     heads = met.select("met").mapInArrow(_to_heads, "a long, b long, next boolean").groupBy("a", "b", "next").agg(F.count("*").alias("times"))
     best = heads.groupBy("b", "next").agg(F.max(F.struct("times", "a")).alias("h")).select(F.col("h.a").alias("a"), "b")
-    likely = close.unionByName(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    likely = close.unionByName(best).unionByName(_chain(met)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = staged(_possible(likely, sketches), "shingle-first")
     near = staged(_similar(docs, sketches, first), "shingle-near")
 
     known = sketches.join(components(near), "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "parities")
-    entries = met.select("tok", F.explode("met").alias("m")).select("tok", "m.n", "m.node")
+    entries = met.select("tok", "blk", "more", F.explode("met").alias("m")).select("tok", "blk", "more", "m.n", "m.node")
     again = staged(_apart(entries.join(known, "node")), "shingle-again")
 
     close = again.select("met").mapInArrow(_nearest, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     second = staged(_possible(close, sketches), "shingle-second")
     near = staged(near.unionByName(_similar(docs, sketches, second)), "shingle-nearer")
 
-    entries = again.select("tok", F.explode("met").alias("m")).select("tok", "m.n", "m.node", "m.comp", "m.parities")
+    entries = again.select("tok", "blk", "more", F.explode("met").alias("m")).select("tok", "blk", "more", "m.n", "m.node", "m.comp", "m.parities")
     known = components(near)
     again = staged(_apart(entries.join(known, "node", "left").withColumn("comp", F.coalesce("root", "comp"))), "shingle-last")
-    short = again.where(F.size("met") <= _STRIP).select(F.lit(0).alias("lo"), "met")
-    strips = again.where(F.size("met") > _STRIP).select(F.explode(F.sequence(F.lit(0), F.size("met") - 1, F.lit(_STRIP))).alias("lo"), "met")
-    strips = short.unionByName(strips.repartition(partitions(docs.sparkSession)))
-    rest = strips.mapInArrow(_across, "a long, b long").distinct().join(first.unionByName(second), ["a", "b"], "left_anti")
+    found = again.where("not more").select("met").mapInArrow(_across, "a long, b long").unionByName(_spans(again.where("more")))
+    rest = found.distinct().join(first.unionByName(second), ["a", "b"], "left_anti")
     return near.unionByName(_similar(docs, sketches, staged(_possible(rest, sketches), "shingle-rest")))
 
 
@@ -343,8 +437,8 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("txt"), F.col(text_col).alias("text"))
     marked = staged(_sketched(texts, _crowded(texts)), "shingle-nodes")
     distinct = staged(marked.groupBy("node").agg(F.min("doc_id").alias("first")), "shingle-distinct")
-    sketches = staged(marked.drop("doc_id", "prefix").dropDuplicates(["node"]), "shingle-sketches")
-    stars = staged(components(links(texts, marked, sketches)), "shingle-stars")
+    sketches = staged(marked.drop("doc_id").dropDuplicates(["node"]), "shingle-sketches")
+    stars = staged(components(links(texts, sketches)), "shingle-stars")
     both = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     smallest = both.join(distinct, "node").groupBy("root").agg(F.min("first").alias("component_id"))
     groups = both.join(smallest, "root").select("node", "root", "component_id")

@@ -58,12 +58,53 @@ def corpus(seed=5):
 def test_against_all_pairs(spark, monkeypatch, crowded):
     monkeypatch.setattr(shingles, "CROWDED", crowded)
     monkeypatch.setattr(shingles, "SAMPLE", 16 if crowded > 4 else 1)
-    monkeypatch.setattr(shingles, "_STRIP", 16)
+    monkeypatch.setattr(shingles, "_BLOCK", 1024 if crowded > 4 else 8)
+    monkeypatch.setattr(shingles, "_SPAN", 2)
     data = corpus()
     got = shingles.near_duplicates(spark.createDataFrame(data, SCHEMA).repartition(5)).collect()
     assert {r.doc_id: r.component_id for r in got} == slow(data) and len(got) == len(data)
 
 
+def test_crowded_shingles_are_cut_into_blocks(spark, monkeypatch):
+    """No row holds more sets than a block; blocks of a shingle cover its sets once, by size; single sets go."""
+    monkeypatch.setattr(shingles, "_BLOCK", 16)
+    rng = random.Random(9)
+    nodes = [(k, rng.randrange(5, 90), [7, 1000 + k] + ([8] if k % 3 else []) + ([9 + k // 2] if k < 40 else [])) for k in range(700)]
+    rows = shingles._met(spark.createDataFrame(nodes, "node long, n int, prefix array<long>").repartition(6)).collect()
+    assert max(len(r.met) for r in rows) <= 16 and len({r.blk for r in rows}) == len(rows)
+    for tok in {t for _, _, p in nodes for t in p}:
+        want = sorted((n, k) for k, n, p in nodes if tok in p)
+        own = sorted((r for r in rows if r.tok == tok), key=lambda r: r.blk)
+        got = [(m.n, m.node) for r in own for m in r.met]
+        assert got == want or (len(want) == 1 and not got)
+        assert len(own) < 2 or all(r.more for r in own)
+
+
+@pytest.mark.parametrize(("block", "span"), [(4, 1), (8, 3), (1024, 16)])
+def test_blocks_pair_as_whole_lists_do(spark, monkeypatch, block, span):
+    """Pairs within and between blocks are those of all members of the shingle, components apart."""
+    monkeypatch.setattr(shingles, "_BLOCK", block)
+    monkeypatch.setattr(shingles, "_SPAN", span)
+    rng = np.random.default_rng(block)
+    base = rng.integers(0, 1 << 63, 60, np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(base, rng.integers(40, 60), replace=False), rng.integers(0, 1 << 63, rng.integers(1, 9), np.uint64)))) for _ in range(120)]
+    parities = [shingles._bits(x)[:64] for x in sets]
+    comp = [k % 7 for k in range(len(sets))]
+    nodes = spark.createDataFrame([(k, len(x), [5, 6 + k % 2]) for k, x in enumerate(sets)], "node long, n int, prefix array<long>").repartition(4)
+    known = spark.createDataFrame([(k, c, bytearray(b)) for k, (c, b) in enumerate(zip(comp, parities, strict=True))], "node long, comp long, parities binary")
+    entries = shingles._met(nodes).selectExpr("tok", "blk", "more", "inline(met)")
+    blocks = shingles._apart(entries.join(known, "node"))
+    found = blocks.where("not more").select("met").mapInArrow(shingles._across, "a long, b long").unionByName(shingles._spans(blocks.where("more")))
+    want = set()
+    for a, x in enumerate(sets):
+        for b in range(a):
+            differ = (int.from_bytes(parities[a]) ^ int.from_bytes(parities[b])).bit_count()
+            small, large = sorted((len(x), len(sets[b])))
+            if comp[a] != comp[b] and large * 8 <= small * 10 and differ * 18 <= (small + large) * 2:
+                want.add((b, a))
+    assert want and {tuple(r) for r in found.collect()} == want
+
+
 def test_stage_links_at_similarity(spark):
     import corpus_pipeline
 
