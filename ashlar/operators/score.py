@@ -1,4 +1,5 @@
-"""Scoring: by trees over binned rows, and by tables over merged cells. Neither shuffles or keeps state."""
+"""Scoring: by trees over binned rows, and by tables over merged cells. Neither keeps state; only tables too large to be
+broadcast, where they are joined, shuffle."""
 
 from __future__ import annotations
 
@@ -9,12 +10,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, ShortType, StructField, StructType
+from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, LongType, ShortType, StructField, StructType
 
 from .explain import TableBank
-from .grids import bins
+from .grids import bin_expression, bins
 from .model import Axis, Model, SchemaMismatch
 
+# Fixed value: borders up to which a column is binned by cases in the JVM.
+FEW_BORDERS = 16
+
 
 def _plain(column: pa.Array) -> np.ndarray:
     return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
@@ -37,8 +41,15 @@ def _check_columns(df: DataFrame, axes: list[Axis]) -> None:
 
 
 def binned_frame(df: DataFrame, axes: list[Axis], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and a bin column ``b{i}`` per axis, read from the column of the axis's name."""
+    """The columns ``keep`` and a bin column ``b{i}`` per axis, read from the column of the axis's name.
+
+    Numbers with few borders are binned by cases in the JVM, so that reading the rows again takes no Python worker; all
+    else in one Arrow pass. The rule is the same.
+    """
     _check_columns(df, axes)
+    numbers = (ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType)
+    if all(a.encoder is None and len(a.borders) <= FEW_BORDERS and isinstance(df.schema[a.name].dataType, numbers) for a in axes):
+        return df.select(*keep, *[bin_expression(F.col(a.name).cast("float").cast("double"), a.borders).alias(f"b{i}") for i, a in enumerate(axes)])
     own = df.select(*keep, *[F.col(a.name).alias(f"_x{i}") for i, a in enumerate(axes)])
     schema = StructType([*[own.schema[c] for c in keep], *[StructField(f"b{i}", ShortType()) for i in range(len(axes))]])
     names = [f.name for f in schema]
@@ -138,36 +149,26 @@ def attributions(cells: DataFrame, bank: TableBank, keep: list[str]) -> DataFram
     return bank_scores(cells, bank, keep, shares=True)
 
 
-def effect_rows(bank: TableBank) -> list[tuple]:
-    """``(table_id, order, raw0, raw1, raw2, cell0, cell1, cell2, value)`` of every cell, tables by falling Sobol share."""
-    rows = []
-    for i, (u, _) in enumerate(bank.sobol()):
-        if u in bank.tables:
-            for at, value in np.ndenumerate(bank.tables[u]):
-                rows.append((i, len(u), *[*u, None, None][:3], *[*map(int, at), None, None][:3], float(value)))
-    return rows
-
-
-EFFECT_DDL = "table_id int, ord int, raw0 int, raw1 int, raw2 int, cell0 int, cell1 int, cell2 int, value double"
+def effect_rows(bank: TableBank, u: tuple[int, ...]) -> pa.Table:
+    """``cell0.., value`` of every cell of a dense table."""
+    v = bank.tables[u]
+    at = np.indices(v.shape, np.int32).reshape(v.ndim, -1)
+    return pa.table({**{f"cell{d}": at[d] for d in range(v.ndim)}, "value": v.ravel().astype(float)})
 
 
 def joined_scores(cells: DataFrame, bank: TableBank, key: str) -> DataFrame:
     """``key, raw_score`` by joining each table's effects on its cells and summing: the warehouse recipe.
 
-    Tables that were written as rows are joined from there; boxes that were not cannot be joined.
+    The rows are read once, and each table adds its effect to them; a cell that a table does not hold adds nothing. Tables
+    that were written as rows are joined from there; boxes that were not cannot be joined.
     """
     if set(bank.boxes) - set(bank.stored):
         raise SchemaMismatch("factored tables are joined once they are written as rows: overflow='sparse'")
-    effects = cells.sparkSession.createDataFrame(effect_rows(bank) or [(None,) * 9], EFFECT_DDL)
-    parts = []
+    spark, total, out = cells.sparkSession, F.lit(bank.f0), cells
     for i, (u, _) in enumerate(bank.sobol()):
-        own = bank.stored[u] if u in bank.stored else effects.where(F.col("table_id") == i)
-        on = [F.col(f"c{r}") == F.col(f"cell{d}") for d, r in enumerate(u)]
-        # a table has at most the cell budget; Spark broadcasts it where it is small enough
-        parts.append(cells.join(own, on).select(key, "value"))
-    if not parts:
-        return cells.select(key, F.lit(bank.f0).alias("raw_score"))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.groupBy(key).agg((F.lit(bank.f0) + F.sum("value")).alias("raw_score"))
+        # from Arrow the effects are local rows of known size, which Spark broadcasts where they are small enough
+        own = bank.stored[u] if u in bank.stored else spark.createDataFrame(effect_rows(bank, u))
+        own = own.select(*[F.col(f"cell{d}").alias(f"_t{i}_{d}") for d in range(len(u))], F.col("value").alias(f"_v{i}"))
+        out = out.join(own, [F.col(f"c{r}") == F.col(f"_t{i}_{d}") for d, r in enumerate(u)], "left").drop(*[f"_t{i}_{d}" for d in range(len(u))])
+        total = total + F.coalesce(F.col(f"_v{i}"), F.lit(0.0))
+    return out.select(key, total.alias("raw_score"))

@@ -124,3 +124,50 @@ def test_ordered_statistics_of_a_hot_level(spark):
     plan = encode.ordered_encodings(rows, 2.0, 1.5, 1, 7)._jdf.queryExecution().sparkPlan().toString()
     groups = rows.withColumn("part", F.shiftright(seed.row_hash(F.col("key"), 7, 0, seed.STAGES["folds"]), 55)).where("label = 'hot'").select("part").distinct().count()
     assert "windowspecdefinition(label" in plan and "part0" in plan and groups > 200
+
+
+def test_joined_scores_pass_the_rows_through_python_once(spark):
+    """One Arrow pass and no shuffle however many tables, effects as local rows, and a score for each row of equal keys."""
+    model = model_of(3, 20, 6)
+    b = np.random.default_rng(5).integers(1, 22, (60, 3))
+    rows = spark.range(60).select((F.col("id") % 40).alias("id"), *[F.element_at(F.array(*[F.lit(float(v) - 1) for v in b[:, k]]), (F.col("id") + 1).cast("int")).alias(f"x{k}") for k in range(3)])
+    binned_rows = score.binned_frame(rows, model.axes, ["id"])
+    cells = score.cell_frame(binned_rows, explain.merged_axes(model), ["id"])
+    bank = explain.explain(model, cells)
+    found = score.joined_scores(cells, bank, "id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(bank.supports()) > 3 and plan.count("MapInArrow") == 1
+    assert "Exchange hashpartitioning" not in plan and "ExistingRDD" not in plan
+    got, want = sorted((r["id"], r["raw_score"]) for r in found.collect()), sorted(zip([i % 40 for i in range(60)], trees_of(model, b), strict=True))
+    assert [i for i, _ in got] == [i for i, _ in want] and all(abs(x - y) < 1e-9 for (_, x), (_, y) in zip(got, want, strict=True))
+
+
+def test_few_borders_are_binned_without_python_by_the_same_rule(spark):
+    borders = np.array([-1.5, float(np.float32(0.1)), 0.5, 16777216.0])
+    doubles = [None, float("nan"), float("inf"), float("-inf"), -0.0, 0.0, -1.5, np.nextafter(-1.5, 0), 0.1, np.nextafter(0.1, 1), 0.5, 0.5000001, 16777216.0, 1e300, -1e300, 5e-324]
+    df = spark.createDataFrame([(i, None if v is None else float(v), None if i == 3 else 16777214 + i, i % 2 == 0) for i, v in enumerate(doubles)], "id int, x double, n long, f boolean")
+    axes = [Axis(0, "x", borders), Axis(1, "n", borders), Axis(2, "x", np.zeros(0))]
+    own = score.binned_frame(df, axes, ["id"])
+    assert "MapInArrow" not in own._jdf.queryExecution().executedPlan().toString()
+    # a flag is not a number, so this frame takes the Arrow pass
+    arrow = score.binned_frame(df, [*axes, Axis(3, "f", borders)], ["id"])
+    assert "MapInArrow" in arrow._jdf.queryExecution().executedPlan().toString()
+    assert own.dtypes == arrow.drop("b3").dtypes
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, arrow.drop("b3").collect()))
+
+
+def test_the_raw_gate_sees_each_joint_cell_once(spark, monkeypatch):
+    """Rows of equal cells go through Python as one, so its work does not grow with the rows."""
+    model = model_of(3, 4, 6)
+    rows, _ = binned(spark, 3, 4)
+    cells = score.cell_frame(rows.crossJoin(spark.range(5).select(F.lit(1).alias("copy"))), explain.merged_axes(model), ["id"])
+    kind, seen = type(cells), []
+    real = kind.mapInArrow
+
+    def counted(self, *a, **k):
+        seen.append(self.count())
+        return real(self, *a, **k)
+
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    bank = explain.explain(model, cells)
+    assert cells.count() == 2000 and len(seen) == 1 and seen[0] <= min(400, int(np.prod([m.cells for m in bank.axes.values()])))
